@@ -41,7 +41,7 @@ def pack_paragraphs(rows: DataFrame, text: str, budget: Column, bodies: str = "b
     """Add the array of segment bodies of ``text``."""
     split = rows.withColumn("_budget", budget).withColumn("_paras", paragraphs(F.col(text), F.col("_budget")))
     split = split.withColumn("_starts", segment_starts(
-        F.transform("_paras", token_count), F.col("_budget")))
+        F.transform("_paras", lambda p: token_count(p)), F.col("_budget")))
     ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_paras")))
     bounds = split.withColumn("_ends", ends)
     packed = F.zip_with("_starts", "_ends", lambda a, b: F.array_join(
