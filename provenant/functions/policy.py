@@ -149,7 +149,7 @@ def over_ceiling(input_tokens: Column, settings: Settings) -> Column:
 
 
 def age_bucket(then: Column, now: Column) -> Column:
-    minutes = F.floor((F.unix_micros(now) - F.unix_micros(then)) / 60_000_000)
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60_000_000)
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     label = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
     return (F.when(minutes < 1, "just now").when(minutes < 60, label(minutes, "m"))

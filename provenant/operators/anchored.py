@@ -124,7 +124,7 @@ def anchors(events: DataFrame, key: str, ts: str, seconds: int, tie: str, slab_s
     span = max(width, (slab_seconds or 3600) * _SECOND)
     kind = events.schema[key].dataType.simpleString()
     moments = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(
-        F.col(key).alias("_key"), F.unix_micros(ts).alias("_us")).agg(F.min(tie).alias("_first"))
+        F.col(key).alias("_key"), _micros(ts).alias("_us")).agg(F.min(tie).alias("_first"))
     moments = moments.withColumn("_slab", F.floor(F.col("_us") / F.lit(span)).cast("bigint"))
     spread = moments.select("_key", "_slab", "_us").repartition("_key", "_slab").sortWithinPartitions("_key", "_slab", "_us")
     steps = spread.mapInPandas(_summaries(width, span), f"_key {kind}, _slab bigint, _us bigint, _leaves bigint")
@@ -135,9 +135,13 @@ def anchors(events: DataFrame, key: str, ts: str, seconds: int, tie: str, slab_s
     return moments.select("_key", "_us", "_first").join(opened, ["_key", "_us"])
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def _placed(events: DataFrame, key: str, ts: str, seconds: int, tie: str, slab_seconds: int | None) -> DataFrame:
     found = anchors(events, key, ts, seconds, tie, slab_seconds)
-    keyed = events.withColumns({"_key": F.col(key), "_us": F.unix_micros(ts)})
+    keyed = events.withColumns({"_key": F.col(key), "_us": _micros(ts)})
     return keyed.join(found, ["_key", "_us"])
 
 

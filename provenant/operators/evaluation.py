@@ -8,6 +8,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from provenant.functions import policy
 from provenant.plans.skew import top_per_group
@@ -29,7 +30,7 @@ def pair_results(golden: DataFrame, results: DataFrame) -> DataFrame:
         "answer": F.coalesce("answer", F.lit(""))})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def difflib_ratio(reference: pd.Series, answer: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which no built-in computes."""
     return pd.Series([None if r is None or a is None else SequenceMatcher(None, r, a).ratio()

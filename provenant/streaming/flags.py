@@ -23,10 +23,13 @@ class _OpenWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch of one key is ordered by time before it is counted.
-        batch = pd.concat(list(rows)).sort_values(["_us", "_id"])
+        frames = [frame for frame in rows if len(frame)]
+        if not frames:
+            return
+        batch = pd.concat(frames).sort_values(["us", "event"])
         anchor, n = self.window.get() if self.window.exists() else (None, 0)
         starts, numbers = [], []
-        for us in batch["_us"]:
+        for us in batch["us"]:
             if anchor is None or us >= anchor + self.width:
                 anchor, n = int(us), 0
             n += 1
@@ -36,7 +39,7 @@ class _OpenWindow(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(anchor // 1000 + self.width // 1000)
-        yield pd.DataFrame({"key": key[0], "event_id": batch["_id"].to_numpy(),
+        yield pd.DataFrame({"key": key[0], "event_id": batch["event"].to_numpy(),
                             "window_start": pd.to_datetime(pd.Series(starts), unit="us"),
                             "n_in_window": numbers, "flagged": [x > self.limit for x in numbers]})
 
@@ -57,9 +60,9 @@ def stream_flags(log: DataFrame, seconds: int, limit: int, key: str = "ip_hash",
     window open at that moment.
     """
     kinds = {c: log.schema[c].dataType.simpleString() for c in (key, event_id)}
-    rows = log.withWatermark(ts, late).select(F.col(key).alias("_key"), F.col(event_id).alias("_id"),
-                                              F.unix_micros(ts).alias("_us"), F.col(ts).alias("_ts"))
+    rows = log.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(event_id).alias("event"),
+                                              F.unix_micros(ts).alias("us"), F.col(ts).alias("at"))
     schema = (f"key {kinds[key]}, event_id {kinds[event_id]}, window_start timestamp, "
               "n_in_window bigint, flagged boolean")
-    return rows.groupBy("_key").transformWithStateInPandas(
+    return rows.groupBy("key").transformWithStateInPandas(
         _OpenWindow(seconds, limit), schema, outputMode="Append", timeMode="EventTime")
