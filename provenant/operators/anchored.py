@@ -82,18 +82,20 @@ def _summaries(width: int, span: int):
 
 
 def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, opened = object(), _NEVER
-    for frame in _whole_groups(frames, ["_key", "_slab"]):
-        rows = []
-        for (this, slab), steps in frame.groupby(["_key", "_slab"], sort=False):
-            if this != key:
-                key, opened = this, _NEVER
-            rows.append((this, slab, opened))
-            at = int(np.searchsorted(steps["_us"].to_numpy(), opened, side="left"))
-            if at < len(steps):
-                opened = int(steps["_leaves"].iloc[at])
-        if rows:
-            yield pd.DataFrame(rows, columns=["_key", "_slab", "_entry"])
+    """Walk the steps of each key in order; only the state of the current slab is carried."""
+    key, slab, entry, opened, moved = None, None, _NEVER, _NEVER, False
+    for frame in frames:
+        found = []
+        for this, part, us, leaves in zip(*(frame[c].tolist() for c in ("_key", "_slab", "_us", "_leaves"))):
+            if this != key or part != slab:
+                if this != key:
+                    opened = _NEVER
+                key, slab, entry, moved = this, part, opened, False
+                found.append((key, slab, entry))
+            if not moved and us >= entry:
+                opened, moved = leaves, True
+        if found:
+            yield pd.DataFrame(found, columns=["_key", "_slab", "_entry"])
 
 
 def _anchors(width: int, span: int):
@@ -121,7 +123,7 @@ def anchors(events: DataFrame, key: str, ts: str, seconds: int, tie: str, slab_s
     """(_key, _us, _first, _anchor): per distinct key and time, the smallest ``tie`` value and
     the time at which the window holding it opened."""
     width = seconds * _SECOND
-    span = max(width, (slab_seconds or 3600) * _SECOND)
+    span = max(width, slab_seconds * _SECOND) if slab_seconds else max(4 * width, 3600 * _SECOND)
     kind = events.schema[key].dataType.simpleString()
     moments = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(
         F.col(key).alias("_key"), _micros(ts).alias("_us")).agg(F.min(tie).alias("_first"))

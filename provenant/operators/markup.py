@@ -114,21 +114,22 @@ def element_rows(html: str | None, url: str, mode: str) -> Iterator[tuple]:
         walker.feed(html or "")
         walker.close()
         nodes = walker.nodes
-        with_children = {n["parent"] for n in nodes if n["sub"]}
+        for n in nodes:
+            own = "".join(n["body"])
+            n["text"] = own if own.strip() else "".join(n["rest"])
+        with_children = {n["parent"] for n in nodes if n["sub"] and n["text"].strip()}
         rows = []
         for n in nodes:
-            body = "".join(n["body"]) if "".join(n["body"]).strip() else "".join(n["rest"])
+            text, number = n["text"], None
             if n["sub"]:
-                if not body.strip():
+                if not text.strip():
                     continue
                 number = " ".join("".join(n["num"]).split()).strip("()") or "?"
-            else:
-                number = None
-                if n["ordinal"] in with_children:
-                    body = ""
+            elif n["ordinal"] in with_children:
+                text = ""
             links = "".join(f'<a href="{link}">' for link in n["links"])
             rows.append((n["ordinal"], n["parent"], n["kind"], number, "".join(n["title"]) or None,
-                         body, url, links, None))
+                         text, url, links, None))
     except Exception as error:  # a bad page must not stop the others
         rows = [(0, None, None, None, None, "", url, (html or "")[:200], f"unexpected error: {error}")]
     yield from rows

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provenant.functions import patterns as P
-from provenant.functions.regex import unicode_pattern
+from provenant.functions.regex import let, unicode_pattern
 from provenant.functions.text import (
     UNKNOWN_NUMBER, clean_ws, decode_entities, detail_url, drop_hidden,
     html_text, norm_title, page_title, provision_kind, provision_number, strip_tags)
@@ -32,11 +32,16 @@ NODES = ("page_id {id}, ordinal int, parent_ordinal int, kind string, number str
 
 def content_container(html: Column, containers: Sequence[tuple[str, str]] = CONTAINERS) -> Column:
     """Markup from the first preferred container to the end of the body, else the body."""
+    return let(html, lambda page: _container(page, containers))
+
+
+def _container(html: Column, containers: Sequence[tuple[str, str]]) -> Column:
     def begin(mark: str, name: str) -> Column:
         attribute = "class" if mark == "." else "id"
         tag = (rf"(?is)<\w+\b[^>]*\b{attribute}\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^>]*>"
                r"(.*?)(?:</body\s*>|\z)")
-        return F.nullif(F.regexp_extract(html, tag, 1), F.lit(""))
+        # Most pages lack most containers: a substring test spares them the pattern.
+        return F.when(html.contains(name), F.nullif(F.regexp_extract(html, tag, 1), F.lit("")))
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return F.coalesce(*[begin(*c) for c in containers], F.nullif(body, F.lit("")), html)
 
@@ -141,11 +146,10 @@ def parse_pages(pages: DataFrame, base: str = "", headings: Sequence[str] = HEAD
     heading = rf"(?i)<(?:{'|'.join(headings)})\b"
     structural = r"(?i)\bclass\s*=\s*[\"'][^\"']*(?:section|chapter|sec_|(?<![\w-])part(?![\w-]))"
     table = r"(?i)<table\b[^>]*\bclass\s*="
-    visible = content_container(drop_hidden(F.coalesce(F.col("html"), F.lit(""))))
-    routed = pages.withColumn("_layout", F.when(visible.rlike(structural), "structural")
-                              .when(visible.rlike(heading), "heading")
-                              .when(visible.rlike(table), "table").otherwise("flat"))
-    pick = lambda name: routed.filter(F.col("_layout") == name).drop("_layout")
+    layout = let(content_container(drop_hidden(F.coalesce(F.col("html"), F.lit("")))), lambda visible: (
+        F.when(visible.rlike(structural), "structural").when(visible.rlike(heading), "heading")
+        .when(visible.rlike(table), "table").otherwise("flat")))
+    pick = lambda name: pages.filter(layout == name)
     raw = _elements(pick("structural"), "structural").unionByName(_elements(pick("table"), "table"))
     nodes = (_finished(raw, base).unionByName(heading_sections(pick("heading"), headings, base))
              .unionByName(flat_sections(pick("flat"))))

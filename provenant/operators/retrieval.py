@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from provenant.functions.text import tokenize
 from provenant.operators.lexical import lexical_topn
 from provenant.operators.vectors import vector_topn
+from provenant.plans.session import stored
 from provenant.plans.skew import top_per_group
 from provenant.settings import Settings
 
@@ -98,8 +99,10 @@ def with_fallback(queries: DataFrame, chunks: DataFrame, settings: Settings = Se
 
     Hits keep ``source`` (0 own language, 1 other) to order equal scores. The flag is set
     whether or not the second search finds anything.
+
+    The first search is stored: its hits are merged, and they decide who searches again.
     """
-    own = search(queries, chunks, settings)
+    own = stored(search(queries, chunks, settings))
     weak = needs_fallback(queries, own, settings)
     second = search(weak.withColumn("language", other(F.col("language"))), chunks, settings)
     hits = own.withColumn("source", F.lit(0)).unionByName(second.withColumn("source", F.lit(1)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,18 +21,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(rows: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; losing an executor costs nothing after it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that cut a lineage: the one the cluster names, or one for local runs."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="provenant-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Write a frame that several branches read and read it back, so that it is computed once.
+
+    The table is columnar, so each branch reads only its columns, and it outlives executors.
+    """
     spark = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="provenant-")
-        context.setCheckpointDir(shared)
-    return rows.checkpoint()
+    path = f"{shared_folder(spark)}/provenant-{uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.plans.session import configure, spread
+from provenant.plans.session import configure, shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,9 +33,5 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a table that is written and read back, where the cluster keeps such."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="provenant-")
-    from uuid import uuid4
-    return f"{shared.rstrip('/')}/provenant-{uuid4().hex}"
+    """A new folder for tables that are written and read back."""
+    return f"{shared_folder(spark)}/provenant-{uuid4().hex}"

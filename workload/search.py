@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.text import tokenize
 from provenant.operators import lexical, retrieval, revisions, vectors
+from provenant.plans.session import stored
 from provenant.settings import Settings
 from workload.base import query
 from workload.corpus import CHUNK_SQL, doc_chunks
@@ -226,7 +227,7 @@ _HYBRID_DOCS = _DOCS.replace("from documents)", "from documents), e as (select v
 
 
 def _hybrid_chunks(t):
-    return _text_chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+    return stored(_text_chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left"))
 
 
 def _hybrid_queries(t):
@@ -328,8 +329,9 @@ select query_id, rank, chunk_id, round(score, 9) as score, round(rerank_score, 6
 from ranked where rank <= 8""")
 def passage_search(t):
     """For each benchmark passage, the eight best document chunks with scores and tier."""
-    chunks = doc_chunks(t).select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "language", "act_id", "hierarchy_path", "content",
-                                  tokenize(F.col("content")).alias("tokens"))
+    # A corpus holds its chunks with their tokens as a table; here it is made from the documents.
+    chunks = stored(doc_chunks(t).select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "language", "act_id", "hierarchy_path", "content",
+                                         tokenize(F.col("content")).alias("tokens")))
     queries = _asked(t)
     hits = retrieval.rrf(None, lexical.lexical_topn(queries, chunks.drop("language", "act_id", "content"), SETTINGS.top_n, SETTINGS), SETTINGS)
     ranked = retrieval.topk(retrieval.rerank(hits, queries, chunks, settings=SETTINGS), SETTINGS.top_k)
