@@ -9,18 +9,46 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from provenant.plans.session import stored
+
 MAX_DEPTH = 5
 READABLE_KINDS = ["section", "subsection", "clause"]
 _NAMED_KINDS = ["part", "chapter", "section"]
 
 
-def kind_label(kind: Column, number: Column, title: Column, parent: Column) -> Column:
-    """Named kinds open a new path part; smaller ones append their number in brackets."""
-    heading = F.concat(parent, F.lit(" > "), F.initcap(kind), F.lit(" "), number)
-    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat(
-        heading, F.lit(" ("), F.trim(title), F.lit(")"))).otherwise(heading)
-    return F.when(kind.isin(_NAMED_KINDS), named).otherwise(
-        F.concat(parent, F.lit("("), number, F.lit(")")))
+def label_suffix(kind: Column, number: Column, title: Column) -> Column:
+    """What a node adds to its parent's label: named kinds a new path part, others "(number)"."""
+    titled = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(" ("), F.trim(title), F.lit(")"))).otherwise("")
+    return F.when(kind.isin(_NAMED_KINDS), F.concat(F.lit(" > "), F.initcap(kind), F.lit(" "), number, titled)).otherwise(
+        F.concat(F.lit("("), number, F.lit(")")))
+
+
+def _climb(nodes: DataFrame, tree: str, max_depth: int) -> DataFrame:
+    """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans are dropped.
+
+    Only nodes that have children climb, one join per level; all others then take the path of
+    their parent in a single join, so the bulk of a tree is shuffled once.
+    """
+    parents = nodes.select(F.col(tree), F.col("_up").alias("id")).filter("id is not null").distinct()
+    inner = nodes.join(parents, [tree, "id"], "left_semi").select(tree, "id", "_up", "_number", "_suffix")
+    climbing = inner.select(F.col(tree), "id", F.lit(0).alias("depth"), F.col("_number").alias("_path"),
+                            F.col("_suffix").alias("_label"), F.col("_up").alias("_next"))
+    for _ in range(max_depth - 2):
+        above = inner.select(F.col(tree), F.col("id").alias("_next"), F.col("_number").alias("_n"), F.col("_suffix").alias("_s"),
+                             F.col("_up").alias("_then"), F.lit(True).alias("_met"))
+        met = F.col("_met").isNotNull()
+        climbing = climbing.join(above, [tree, "_next"], "left").select(
+            tree, "id", F.when(met, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.when(met, F.concat("_n", F.lit("/"), "_path")).otherwise(F.col("_path")).alias("_path"),
+            F.when(met, F.concat("_s", "_label")).otherwise(F.col("_label")).alias("_label"),
+            F.when(met, F.col("_then")).otherwise(F.col("_next")).alias("_next"))
+    # A parent that could not be followed up to a root is missing or too deep.
+    reached = climbing.filter("_next is null").select(
+        F.col(tree), F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "_path", "_label")
+    roots = nodes.filter("_up is null").select("*", F.lit(0).alias("depth"), F.col("_number").alias("_path"), F.col("_suffix").alias("_label"))
+    below = nodes.filter("_up is not null").join(reached, [tree, "_up"]).withColumns(
+        {"_path": F.concat("_path", F.lit("/"), "_number"), "_label": F.concat("_label", "_suffix")})
+    return roots.unionByName(below.select(*roots.columns))
 
 
 def descend(nodes: DataFrame, tree: str = "act_id", root_label: str | None = None,
@@ -31,32 +59,15 @@ def descend(nodes: DataFrame, tree: str = "act_id", root_label: str | None = Non
     missing is dropped. ``root_label`` names the column with the label of the tree; ``pad``
     left-pads numbers with zeros, otherwise paths order as text ("10" before "2").
     """
-    number = F.lpad("number", pad, "0") if pad else F.col("number")
+    acts = nodes.filter("kind = 'act'").select(F.col(tree), F.col("id").alias("parent_id"), F.lit(True).alias("_act"))
+    freed = nodes.filter("kind <> 'act'").join(acts, [tree, "parent_id"], "left").select(
+        *nodes.columns, F.when(F.col("_act").isNull(), F.col("parent_id")).alias("_up"))
+    keyed = freed.withColumns({
+        "_number": F.lpad("number", pad, "0") if pad else F.col("number"),
+        "_suffix": label_suffix(F.col("kind"), F.col("number"), F.col("title"))})
     label = F.col(root_label) if root_label else F.lit("")
-    acts = nodes.filter("kind = 'act'").select(F.col(tree), F.col("id").alias("_act"))
-    plain = nodes.filter("kind <> 'act'")
-    freed = plain.join(acts, (plain["parent_id"] == acts["_act"]) & (plain[tree] == acts[tree]), "left")
-    freed = freed.select(plain["*"], F.when(F.col("_act").isNull(), F.col("parent_id")).alias("_up"))
-
-    def placed(rows: DataFrame, depth: int, path: Column, above: Column) -> DataFrame:
-        return rows.withColumns({
-            "depth": F.lit(depth), "sort_path": path,
-            "hierarchy_path": kind_label(F.col("kind"), F.col("number"), F.col("title"), above)})
-
-    level = placed(freed.filter("_up is null"), 0, number, label)
-    levels = [level]
-    inner = freed.filter("_up is not null")
-    for depth in range(1, max_depth):
-        above = level.select(F.col(tree), F.col("id").alias("_up"), F.col("sort_path").alias("_path"),
-                             F.col("hierarchy_path").alias("_above"))
-        below = inner.join(above, [tree, "_up"])
-        level = placed(below, depth, F.concat("_path", F.lit("/"), number), F.col("_above")).select(
-            *levels[0].columns)
-        levels.append(level)
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
-    return whole.drop("_up")
+    return _climb(keyed, tree, max_depth).select(
+        *nodes.columns, "depth", F.col("_path").alias("sort_path"), F.concat(label, "_label").alias("hierarchy_path"))
 
 
 def sort_paths(nodes: DataFrame, pad: int | None = None, tree: str = "act_id") -> DataFrame:
@@ -76,11 +87,13 @@ def nest(nodes: DataFrame, tree: str = "act_id", max_depth: int = MAX_DEPTH,
          fields: Sequence[str] = ("id", "kind", "number", "title", "sort_path")) -> DataFrame:
     """One row per root with its descendants nested as arrays, ordered by sort_path.
 
-    Built from the deepest level up, one grouping per level. The result is one value per root
+    Built from the deepest level up, one grouping per level over a stored copy of the nodes with
+    their depth. The result is one value per root
     by definition, so it fits trees of document size; for wider ones use ``descend``.
     """
     columns = list(dict.fromkeys([tree, "id", "parent_id", "sort_path", *fields]))
-    placed = _depths(nodes.select(*columns), tree, max_depth)
+    keyed = nodes.select(*columns).withColumns({"_up": F.col("parent_id"), "_number": F.lit(""), "_suffix": F.lit("")})
+    placed = stored(_climb(keyed, tree, max_depth).select(*columns, "depth"))
     nested: DataFrame | None = None
     for depth in range(max_depth - 1, -1, -1):
         here = placed.filter(F.col("depth") == depth).drop("depth")
@@ -96,18 +109,6 @@ def nest(nodes: DataFrame, tree: str = "act_id", max_depth: int = MAX_DEPTH,
     return nested.drop("parent_id")
 
 
-def _depths(nodes: DataFrame, tree: str, max_depth: int) -> DataFrame:
-    columns = nodes.columns
-    level = nodes.filter("parent_id is null").withColumn("depth", F.lit(0))
-    whole, inner = level, nodes.filter("parent_id is not null")
-    for depth in range(1, max_depth):
-        above = level.select(tree, F.col("id").alias("parent_id"))
-        level = inner.join(above, [tree, "parent_id"], "left_semi").select(*columns).withColumn(
-            "depth", F.lit(depth))
-        whole = whole.unionByName(level)
-    return whole
-
-
 def reading_order(nodes: DataFrame, kinds: Sequence[str] = READABLE_KINDS, tree: str = "act_id",
                   order: str = "sort_path") -> DataFrame:
     """Readable nodes with their neighbours in the reading order of their tree."""
