@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provenant.functions.language import detect_language, search_language
 from provenant.operators import retrieval
 from provenant.operators.retrieval import ScorePairs
+from provenant.plans.session import stored
 from provenant.settings import Settings
 
 
@@ -39,7 +40,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, revisions: DataFrame, today:
     asked = routed(queries, today)
     dated = retrieval.with_revision(chunks.withColumnRenamed("id", "chunk_id"), revisions)
     fused, flags = retrieval.with_fallback(asked, dated, settings)
-    ranked = retrieval.topk(retrieval.rerank(fused, asked, dated, scorer, settings), settings.top_k)
+    ranked = stored(retrieval.topk(retrieval.rerank(fused, asked, dated, scorer, settings), settings.top_k))
     payload = dated.select("chunk_id", "act_id", "hierarchy_path", "content", "source_url", F.col("language").alias("chunk_language"))
     return Retrieved(asked.join(flags, "query_id"), ranked.join(payload, "chunk_id"),
                      retrieval.confidence(flags, ranked, settings))

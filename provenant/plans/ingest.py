@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from provenant.functions.hashing import stable_id
 from provenant.operators import chunking, hierarchy, parsing, revisions as rev
+from provenant.plans.session import stored
 from provenant.settings import Settings
 
 
@@ -39,9 +40,9 @@ def ingest(pages: DataFrame, acts: DataFrame, provisions: DataFrame, revisions:
     labels = acts.select("slug", F.concat("full_name_en", F.lit(", "), F.col("act_year").cast("string")).alias("root_label"))
     changed, idle = rev.split_not_modified(pages.join(labels, "slug"))
     nodes, warnings = parsing.parse_pages(changed, base)
-    tree = hierarchy.descend(identified(nodes, changed), "page_id", "root_label")
-    # A path names a provision of an act in every language.
-    tree = tree.withColumn("provision_id", stable_id(F.col("act_id"), F.col("sort_path")))
+    tree = hierarchy.descend(stored(identified(nodes, changed)), "page_id", "root_label")
+    # A path names a provision of an act in every language. Parsed once, read by every step below.
+    tree = stored(tree.withColumn("provision_id", stable_id(F.col("act_id"), F.col("sort_path"))))
     incoming = tree.select(
         F.col("provision_id").alias("id"), "act_id", F.when(F.col("parent_id").isNotNull(), stable_id(
             F.col("act_id"), F.regexp_replace("sort_path", "/[^/]*$", ""))).alias("parent_id"),
@@ -49,12 +50,12 @@ def ingest(pages: DataFrame, acts: DataFrame, provisions: DataFrame, revisions:
     merged_provisions = rev.upsert_provisions(provisions, incoming).drop("outcome")
 
     dated = tree.withColumn("provenance", F.lit("snapshot"))
-    merged, outcomes = rev.merge_revisions(revisions, dated)
+    merged, outcomes = (stored(part) for part in rev.merge_revisions(revisions, dated))
     labelled = tree.groupBy("provision_id", "language").agg(
         F.max_by(F.struct("act_id", "hierarchy_path"), "ordinal").alias("p")).select(
         "provision_id", "language", "p.act_id", "p.hierarchy_path")
     pending = rev.pending_revisions(merged, outcomes).join(labelled, ["provision_id", "language"])
-    fresh = chunking.corpus_chunks(pending, settings)
+    fresh = stored(chunking.corpus_chunks(pending, settings))
     kept = rev.replace_chunks(chunks.select(*fresh.columns), fresh)
 
     of_act = outcomes.join(labelled.drop("hierarchy_path"), ["provision_id", "language"])
