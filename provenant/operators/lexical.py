@@ -93,10 +93,11 @@ def count_density(tokens: Column, terms: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.array_contains(terms, t))) * F.lit(COVER_WEIGHT)
 
 
-def document_frequency(queries_terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(term, df) of the words that queries use, counted before anything is grouped by word."""
-    used = queries_terms.select("term").distinct()
-    return postings.join(used, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(query_terms: DataFrame, postings: DataFrame, salts: int) -> DataFrame:
+    """(term, df) of the words that queries use; counts are summed per task before the shuffle."""
+    used = query_terms.select("term").distinct()
+    kept = salted_join(postings, used, ["term"], ["chunk_id"], salts, "left_semi")
+    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def content_hits(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
@@ -106,12 +107,12 @@ def content_hits(queries: DataFrame, chunks: DataFrame, n: int, settings: Settin
     words = q.select("query_id", F.posexplode_outer("clauses").alias("clause", "c")).select(
         "query_id", "clause", F.size("c.terms").alias("n_terms"), F.explode_outer("c.terms").alias("term"))
     postings = chunks.select("chunk_id", F.explode_outer(F.array_distinct("tokens")).alias("term"))
-    frequency = document_frequency(words, postings)
+    frequency = document_frequency(words, postings, settings.salts)
     # An alternative with a word that no chunk has cannot match.
     pivots = words.join(frequency, "term").groupBy("query_id", "clause", "n_terms").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"),
         F.count(F.lit(1)).alias("known")).filter("known = n_terms")
-    candidates = postings.join(pivots.select("term").distinct(), "term", "left_semi")
+    candidates = salted_join(postings, pivots.select("term").distinct(), ["term"], ["chunk_id"], settings.salts, "left_semi")
     loaded = candidates.join(chunks.select("chunk_id", "tokens", *[c for c in _SCOPE if c in chunks.columns]), "chunk_id")
     asked = pivots.select("query_id", "clause", "term").join(
         q.select("query_id", "clauses", *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in q.columns]), "query_id")

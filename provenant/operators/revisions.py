@@ -163,7 +163,14 @@ def cancel_runs(runs: DataFrame, now: Column, act: str | None = None) -> DataFra
 
 
 def open_windows(events: DataFrame, key: str, at: str, order: Sequence[str]) -> DataFrame:
-    """State history to dated rows: each row holds from its day until the next one starts."""
-    history = Window.partitionBy(key).orderBy(at, *order)
-    return events.withColumns({"effective_from": F.to_date(at),
-                               "effective_to": F.to_date(F.lead(at).over(history))})
+    """State history to dated rows: each row holds from its day until the next one starts.
+
+    The next row is sought within the day first; the last row of a day takes the first moment
+    of the key's next day, so a busy key is spread over its days.
+    """
+    days = events.groupBy(key, F.to_date(at).alias("_day")).agg(F.min(at).alias("_first"))
+    following = days.select(key, "_day", F.lead("_first").over(Window.partitionBy(key).orderBy("_day")).alias("_later"))
+    inside = Window.partitionBy(key, "_day").orderBy(at, *order)
+    rows = events.withColumn("_day", F.to_date(at)).withColumn("_next", F.lead(at).over(inside)).join(following, [key, "_day"])
+    return rows.withColumns({"effective_from": F.col("_day"),
+                             "effective_to": F.to_date(F.coalesce("_next", "_later"))}).drop("_day", "_next", "_later")

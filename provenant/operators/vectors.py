@@ -188,8 +188,8 @@ def _grid_topn(queries: DataFrame, chunks: DataFrame, n: int, schema: str, setti
     return q.groupBy("_row", "_col").cogroup(c.groupBy("_row", "_col")).applyInArrow(best, schema)
 
 
-def approximate_topn(queries: DataFrame, chunks: DataFrame, n: int, distance: float = 1.2,
-                     bucket_length: float = 0.5, tables: int = 6, seed: int = 42,
+def approximate_topn(queries: DataFrame, chunks: DataFrame, n: int, distance: float = 1.35,
+                     bucket_length: float = 1.0, tables: int = 6, seed: int = 42,
                      settings: Settings = Settings()) -> DataFrame:
     """As vector_topn, over candidates from locality-sensitive hashing only.
 
