@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +21,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables that cut a lineage: the one the cluster names, or one for local runs."""
+    """The folder for tables that cut a lineage: the one the cluster names, else one in the session's warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="provenant-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/provenant-tables").rstrip("/")
 
 
 def stored(rows: DataFrame) -> DataFrame:
