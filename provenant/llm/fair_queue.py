@@ -103,8 +103,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int =
         if last is None:
             inside_cut = [F.floor(F.least(finish(e), F.lit(float(HORIZON))) * STEPS) < cut for e in range(max_repeats)]
         else:
-            end = F.struct(F.lit(last["finish"]), F.lit(last["draw"]), F.lit(last["doc_id"]), F.lit(last["copy"]))
-            inside_cut = [F.struct(finish(e), F.col("draw"), F.col("doc_id"), F.lit(e)) <= end for e in range(max_repeats)]
+            kinds = {name: copies.schema[name].dataType for name in ("finish", "draw", "doc_id", "copy")}
+            end = F.struct(*[F.lit(last[name]).cast(kind).alias(name) for name, kind in kinds.items()])
+            inside_cut = [F.struct(finish(e).alias("finish"), "draw", "doc_id", F.lit(e).alias("copy")) <= end
+                          for e in range(max_repeats)]
         counted = sum((F.when(x, 1).otherwise(0) for x in inside_cut), F.lit(0))
     return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"),
                          F.coalesce(F.col("size") * counted, F.lit(0)).cast("long").alias("taken"))
