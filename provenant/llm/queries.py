@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import fair_queue
+from provenant.llm import decision_list, fair_queue, one_permutation
 from provenant.plans.session import configure
 
 
@@ -14,12 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = decision_list.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return fair_queue.mix(table(spark, folder, "documents")).drop("source")
 
 
+def op9_one_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    return one_permutation.compare(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decision_list": op6_decision_list,
     "op8_fair_queue": op8_fair_queue,
+    "op9_one_permutation": op9_one_permutation,
 }
 
 SQL: dict[str, str] = {"op8_fair_queue": fair_queue.MIX_SQL}

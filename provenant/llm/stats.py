@@ -13,28 +13,24 @@ from provenant.llm.base import words
 PLACE_BITS = 24
 
 
-def repeated_words(tokens: str, window: int = 5) -> str:
-    """SQL: words inside windows that occur at least twice in the array of words ``tokens``.
+def repeated_words(tokens: str, hashes: str, window: int = 5) -> str:
+    """SQL: words inside windows that occur at least twice in the array ``tokens``.
 
-    Windows are ordered by hash and position; neighbours with equal hashes count only if their words are equal,
-    so a collision of hashes adds nothing. The lengths covered by the repeated windows are then summed without overlap.
+    ``hashes`` has one hash per window. Windows are ordered by hash and position; neighbours with equal hashes count
+    only if their words are equal, so a collision of hashes adds nothing. The lengths that the repeated windows cover
+    are then summed without overlap. ``transform(array(x), y -> ...)[0]`` names x, so that it is computed once.
     """
-    keys = (f"sort_array(transform(sequence(1, size({tokens}) - {window - 1}), i -> "
-            f"shiftleft(shiftright(xxhash64({', '.join(f'element_at({tokens}, i + {k})' for k in range(window))}), {PLACE_BITS}), {PLACE_BITS}) + i))")
-    place = f"({{}} & {(1 << PLACE_BITS) - 1})"
-    same = (f"shiftright({{0}}, {PLACE_BITS}) = shiftright({{1}}, {PLACE_BITS}) AND "
-            f"slice({tokens}, cast({place.format('{0}')} as int), {window}) = slice({tokens}, cast({place.format('{1}')} as int), {window})")
-    left, right = same.format("x", "get(keys, j - 1)"), same.format("x", "get(keys, j + 1)")
-    starts = (f"sort_array(transform(filter(transform({keys_array(keys)}, keys -> transform(keys, (x, j) -> "
-              f"if(coalesce({left}, false) OR coalesce({right}, false), {place.format('x')}, 0L)))[0], p -> p > 0), p -> p))")
-    covered = (f"aggregate(transform(array({starts}), s -> transform(s, (p, j) -> "
-               f"least({window}L, coalesce(get(s, j + 1), p + {window}L) - p)))[0], 0L, (a, b) -> a + b)")
-    return covered
+    mask = (1 << PLACE_BITS) - 1
+    ordered = f"sort_array(transform({hashes}, (x, i) -> shiftleft(shiftright(x, {PLACE_BITS}), {PLACE_BITS}) + i + 1))"
 
+    def equal(other: str) -> str:
+        return (f"coalesce(shiftright(x, {PLACE_BITS}) = shiftright({other}, {PLACE_BITS}) AND "
+                f"slice({tokens}, cast(x & {mask} as int), {window}) = slice({tokens}, cast({other} & {mask} as int), {window}), false)")
 
-def keys_array(keys: str) -> str:
-    """SQL: an array around a value, so that a lambda can name it and it is computed once."""
-    return f"array({keys})"
+    starts = (f"transform(array({ordered}), keys -> filter(transform(keys, (x, j) -> "
+              f"if({equal('get(keys, j - 1)')} OR {equal('get(keys, j + 1)')}, x & {mask}, 0L)), p -> p > 0))[0]")
+    return (f"transform(array(sort_array({starts})), s -> aggregate(transform(s, (p, j) -> "
+            f"least({window}L, coalesce(get(s, j + 1) - p, {window}L))), 0L, (a, b) -> a + b))[0]")
 
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +53,7 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         count_of("#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(has_repeat, F.expr(repeated_words("w"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(has_repeat, F.expr(repeated_words("w", "h"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.coalesce(next_to_same, F.lit(0)).cast("long").alias("n_stutters"),
         count_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         count_of("!").alias("n_exclaims"), count_of("0123456789").alias("n_digits"), F.size("lines").cast("long").alias("n_lines"))
