@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import decision_list, fair_queue, one_permutation
+from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, token_counts
 from provenant.plans.session import configure
 
 
@@ -14,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return harmonic.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     judged, _ = decision_list.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -28,6 +37,8 @@ def op9_one_permutation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_harmonic_packing": op1_harmonic_packing,
+    "op3_token_counts": op3_token_counts,
     "op6_decision_list": op6_decision_list,
     "op8_fair_queue": op8_fair_queue,
     "op9_one_permutation": op9_one_permutation,
