@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, token_counts
+from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, tag_paths, token_counts
 from provenant.plans.session import configure
 
 
@@ -36,12 +36,17 @@ def op9_one_permutation(spark: SparkSession, folder: str) -> DataFrame:
     return one_permutation.compare(table(spark, folder, "documents"))
 
 
+def op10_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return tag_paths.extract(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_token_counts": op3_token_counts,
     "op6_decision_list": op6_decision_list,
     "op8_fair_queue": op8_fair_queue,
     "op9_one_permutation": op9_one_permutation,
+    "op10_tag_paths": op10_tag_paths,
 }
 
 SQL: dict[str, str] = {"op8_fair_queue": fair_queue.MIX_SQL}
