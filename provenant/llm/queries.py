@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, tag_paths, token_counts
+from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, pseudonyms, tag_paths, token_counts
 from provenant.plans.session import configure
 
+#: The test tables' key; a deployment passes its own secret.
+PSEUDONYM_KEY = "test tables"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
@@ -23,6 +26,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
 def op6_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     judged, _ = decision_list.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -43,6 +50,7 @@ def op10_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_decision_list": op6_decision_list,
     "op8_fair_queue": op8_fair_queue,
     "op9_one_permutation": op9_one_permutation,
