@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import decision_list, fair_queue, harmonic, one_permutation, pseudonyms, tag_paths, token_counts
+from provenant.llm import decision_list, fair_queue, harmonic, kneser_ney, one_permutation, pseudonyms, tag_paths, token_counts
 from provenant.plans.session import configure
 
 #: The test tables' key; a deployment passes its own secret.
@@ -35,6 +35,12 @@ def op6_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = kneser_ney.fit(docs, table(spark, folder, "labels"))
+    return kneser_ney.score(docs, model).select("doc_id", "n_tokens", "perplexity", "threshold", "accepted")
+
+
 def op8_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return fair_queue.mix(table(spark, folder, "documents")).drop("source")
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_decision_list": op6_decision_list,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_fair_queue": op8_fair_queue,
     "op9_one_permutation": op9_one_permutation,
     "op10_tag_paths": op10_tag_paths,
