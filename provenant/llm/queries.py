@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from provenant.llm import decision_list, fair_queue, harmonic, kneser_ney, one_permutation, pseudonyms, tag_paths, token_counts
+from provenant.llm import crf, decision_list, fair_queue, harmonic, kneser_ney, one_permutation, pseudonyms, tag_paths, token_counts
 from provenant.plans.session import configure
 
 #: The test tables' key; a deployment passes its own secret.
@@ -26,6 +26,12 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = crf.predict(docs, crf.fit(docs))
+    return found.select("doc_id", F.coalesce(crf.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
 
@@ -56,6 +62,7 @@ def op10_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_crf": op4_crf,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_decision_list": op6_decision_list,
     "op7_kneser_ney": op7_kneser_ney,
