@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from provenant.llm import crf, decision_list, fair_queue, harmonic, kneser_ney, one_permutation, pseudonyms, tag_paths, token_counts
+from provenant.llm import crf, decision_list, fair_queue, harmonic, kneser_ney, one_permutation, pseudonyms, signature_tree, tag_paths, token_counts
 from provenant.plans.session import configure
 
 #: The test tables' key; a deployment passes its own secret.
@@ -22,6 +22,10 @@ def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_tree.link(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +65,7 @@ def op10_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_signature_tree": op2_signature_tree,
     "op3_token_counts": op3_token_counts,
     "op4_crf": op4_crf,
     "op5_pseudonyms": op5_pseudonyms,
