@@ -21,6 +21,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
+from struct import pack as pack_numbers
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +32,7 @@ from provenant.plans.session import stored
 
 CAPACITY, SLACK, WORKERS_PER_GROUP = 2048, 8, 64
 #: Entries of a worker's table of token ids.
-TABLE = 400_000
+TABLE = 800_000
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker bigint, sequence_id bigint, offset bigint"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "sequence_id", "offset"]
 
@@ -54,7 +55,8 @@ class Ids:
         for i in range(0, len(unknown), 10_000):
             some = unknown[i:i + 10_000]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False)):
-                table[part] = pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[:4 * len(e.ids)] if e.ids else b""
+                ids = e.ids
+                table[part] = pack_numbers(f"<{len(ids)}I", *ids)
 
     def split(self, text: str) -> list[str | bytes]:
         """Texts between special strings, and those strings' ids."""
