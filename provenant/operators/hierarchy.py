@@ -1,6 +1,7 @@
 """Provision trees as adjacency lists: paths, labels, nesting, reading order.
 
-Trees are at most MAX_DEPTH deep, so a walk is that many equi-joins on the parent key.
+Trees may have any depth: each round of joins doubles the stretch of ancestors that a node has
+collected, so a walk takes the logarithm of the depth in rounds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provenant.plans.session import stored
 
-MAX_DEPTH = 5
 READABLE_KINDS = ["section", "subsection", "clause"]
 _NAMED_KINDS = ["part", "chapter", "section"]
 
@@ -23,27 +23,33 @@ def label_suffix(kind: Column, number: Column, title: Column) -> Column:
         F.concat(F.lit("("), number, F.lit(")")))
 
 
-def _climb(nodes: DataFrame, tree: str, max_depth: int) -> DataFrame:
-    """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans are dropped.
+def _climb(nodes: DataFrame, tree: str) -> DataFrame:
+    """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans and cycles are left out.
 
-    Only nodes that have children climb, one join per level; all others then take the path of
+    Only nodes that have children climb, by pointer doubling; all others then take the path of
     their parent in a single join, so the bulk of a tree is shuffled once.
     """
     parents = nodes.select(F.col(tree), F.col("_up").alias("id")).filter("id is not null").distinct()
-    inner = nodes.join(parents, [tree, "id"], "left_semi").select(tree, "id", "_up", "_number", "_suffix")
-    climbing = inner.select(F.col(tree), "id", F.lit(0).alias("depth"), F.col("_number").alias("_path"),
-                            F.col("_suffix").alias("_label"), F.col("_up").alias("_next"))
-    for _ in range(max_depth - 2):
-        above = inner.select(F.col(tree), F.col("id").alias("_next"), F.col("_number").alias("_n"), F.col("_suffix").alias("_s"),
-                             F.col("_up").alias("_then"), F.lit(True).alias("_met"))
+    climbing = stored(nodes.join(parents, [tree, "id"], "left_semi").select(
+        F.col(tree), "id", F.lit(0).alias("depth"), F.col("_number").alias("_path"),
+        F.col("_suffix").alias("_label"), F.col("_up").alias("_next"), F.lit(False).alias("_lost")))
+    waiting = None
+    while True:
+        open_ = climbing.filter("_next is not null and not _lost").count()
+        # Each round some node reaches its root, but for nodes below a cycle, which never do.
+        if open_ == 0 or open_ == waiting:
+            break
+        waiting = open_
+        above = climbing.select(F.col(tree), F.col("id").alias("_next"), F.col("depth").alias("_d"), F.col("_path").alias("_p"),
+                                F.col("_label").alias("_l"), F.col("_next").alias("_then"), F.col("_lost").alias("_gone"), F.lit(True).alias("_met"))
         met = F.col("_met").isNotNull()
-        climbing = climbing.join(above, [tree, "_next"], "left").select(
-            tree, "id", F.when(met, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(met, F.concat("_n", F.lit("/"), "_path")).otherwise(F.col("_path")).alias("_path"),
-            F.when(met, F.concat("_s", "_label")).otherwise(F.col("_label")).alias("_label"),
-            F.when(met, F.col("_then")).otherwise(F.col("_next")).alias("_next"))
-    # A parent that could not be followed up to a root is missing or too deep.
-    reached = climbing.filter("_next is null").select(
+        climbing = stored(climbing.join(above, [tree, "_next"], "left").select(
+            tree, "id", F.when(met, F.col("depth") + F.col("_d") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.when(met, F.concat("_p", F.lit("/"), "_path")).otherwise(F.col("_path")).alias("_path"),
+            F.when(met, F.concat("_l", "_label")).otherwise(F.col("_label")).alias("_label"),
+            F.when(met, F.col("_then")).otherwise(F.col("_next")).alias("_next"),
+            (F.col("_lost") | F.coalesce("_gone", F.col("_next").isNotNull())).alias("_lost")))
+    reached = climbing.filter("_next is null and not _lost").select(
         F.col(tree), F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "_path", "_label")
     roots = nodes.filter("_up is null").select("*", F.lit(0).alias("depth"), F.col("_number").alias("_path"), F.col("_suffix").alias("_label"))
     below = nodes.filter("_up is not null").join(reached, [tree, "_up"]).withColumns(
@@ -51,12 +57,17 @@ def _climb(nodes: DataFrame, tree: str, max_depth: int) -> DataFrame:
     return roots.unionByName(below.select(*roots.columns))
 
 
+def unplaced(nodes: DataFrame, placed: DataFrame, tree: str = "act_id") -> DataFrame:
+    """Nodes that have no path: their ancestors are missing or form a cycle."""
+    return nodes.filter("kind <> 'act'").join(placed.select(tree, "id"), [tree, "id"], "left_anti")
+
+
 def descend(nodes: DataFrame, tree: str = "act_id", root_label: str | None = None,
-            pad: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+            pad: int | None = None) -> DataFrame:
     """Add depth, sort_path and hierarchy_path to (tree, id, parent_id, kind, number, title).
 
-    Nodes of kind "act" are transparent: their children count as roots. A node whose parent is
-    missing is dropped. ``root_label`` names the column with the label of the tree; ``pad``
+    Nodes of kind "act" are transparent: their children count as roots. Nodes that no root
+    reaches are left out; ``unplaced`` lists them. ``root_label`` names the column with the label of the tree; ``pad``
     left-pads numbers with zeros, otherwise paths order as text ("10" before "2").
     """
     acts = nodes.filter("kind = 'act'").select(F.col(tree), F.col("id").alias("parent_id"), F.lit(True).alias("_act"))
@@ -66,7 +77,7 @@ def descend(nodes: DataFrame, tree: str = "act_id", root_label: str | None = Non
         "_number": F.lpad("number", pad, "0") if pad else F.col("number"),
         "_suffix": label_suffix(F.col("kind"), F.col("number"), F.col("title"))})
     label = F.col(root_label) if root_label else F.lit("")
-    return _climb(keyed, tree, max_depth).select(
+    return _climb(keyed, tree).select(
         *nodes.columns, "depth", F.col("_path").alias("sort_path"), F.concat(label, "_label").alias("hierarchy_path"))
 
 
@@ -83,7 +94,7 @@ def walk(nodes: DataFrame, root_label: str, tree: str = "act_id") -> DataFrame:
     return descend(nodes, tree, root_label).filter(F.coalesce("text", F.lit("")) != "")
 
 
-def nest(nodes: DataFrame, tree: str = "act_id", max_depth: int = MAX_DEPTH,
+def nest(nodes: DataFrame, tree: str = "act_id",
          fields: Sequence[str] = ("id", "kind", "number", "title", "sort_path")) -> DataFrame:
     """One row per root with its descendants nested as arrays, ordered by sort_path.
 
@@ -93,9 +104,10 @@ def nest(nodes: DataFrame, tree: str = "act_id", max_depth: int = MAX_DEPTH,
     """
     columns = list(dict.fromkeys([tree, "id", "parent_id", "sort_path", *fields]))
     keyed = nodes.select(*columns).withColumns({"_up": F.col("parent_id"), "_number": F.lit(""), "_suffix": F.lit("")})
-    placed = stored(_climb(keyed, tree, max_depth).select(*columns, "depth"))
+    placed = stored(_climb(keyed, tree).select(*columns, "depth"))
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
     nested: DataFrame | None = None
-    for depth in range(max_depth - 1, -1, -1):
+    for depth in range(deepest, -1, -1):
         here = placed.filter(F.col("depth") == depth).drop("depth")
         if nested is None:
             here = here.withColumn("children", F.array())

@@ -17,9 +17,11 @@ def _keyed(files: DataFrame) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-    html = _keyed(files.option("pathGlobFilter", "*.html").text(root)).withColumnRenamed("value", "html")
-    meta = _keyed(files.option("pathGlobFilter", "*.meta.json").text(root)).select(
+    def whole(names: str) -> DataFrame:
+        return _keyed(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names))
+
+    html = whole("*.html").withColumnRenamed("value", "html")
+    meta = whole("*.meta.json").select(
         "slug", "language", F.from_json("value", "url string, fetched_at timestamp").alias("m"))
     return html.join(meta, ["slug", "language"]).select(
         stable_id(F.col("slug"), F.col("language")).alias("page_id"), "slug", "language",

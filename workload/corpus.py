@@ -1,7 +1,7 @@
 """Hierarchy, upserts, revisions, chunks, embeddings, language."""
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from provenant.functions import hashing, language, text
 from provenant.operators import chunking, embedding, hierarchy, revisions
@@ -26,10 +26,11 @@ def _geography(t, customers=True):
         F.col("s_suppkey").cast("string").alias("number"), F.col("s_name").alias("title"))
     nodes = root.unionByName(parts).unionByName(sections)
     if customers:
-        # A customer hangs below the supplier of its own number, where there is one.
-        clauses = t.customer.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("c_custkey") == F.col("s_suppkey")).join(
+        # Customers are dealt to the suppliers by their numbers.
+        n = t.supplier.count()
+        clauses = t.customer.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("c_custkey") % n == F.col("s_suppkey") % n).join(
             place, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            "act_id", key("c", "c_custkey").alias("id"), key("s", "c_custkey").alias("parent_id"), F.lit("clause").alias("kind"),
+            "act_id", key("c", "c_custkey").alias("id"), key("s", "s_suppkey").alias("parent_id"), F.lit("clause").alias("kind"),
             F.col("c_custkey").cast("string").alias("number"), F.lit(None).cast("string").alias("title"))
         nodes = nodes.unionByName(clauses)
     return nodes
@@ -49,7 +50,7 @@ tree as (
   select act_id, 'c' || c_custkey, 'clause', 2, n_nationkey || '/' || s_suppkey || '/' || c_custkey,
          lpad(cast(n_nationkey as varchar), 6, '0') || '/' || lpad(cast(s_suppkey as varchar), 6, '0') || '/' || lpad(cast(c_custkey as varchar), 6, '0'),
          act_id || ' > Part ' || n_nationkey || ' (' || n_name || ') > Section ' || s_suppkey || ' (' || s_name || ')(' || c_custkey || ')'
-  from customer join supplier on c_custkey = s_suppkey join place on s_nationkey = n_nationkey)
+  from customer join supplier on c_custkey % (select count(*) from supplier) = s_suppkey % (select count(*) from supplier) join place on s_nationkey = n_nationkey)
 """
 
 
@@ -81,6 +82,35 @@ def reading_order(t):
     return hierarchy.reading_order(nodes, tree="part").select("id", "prev_id", "next_id")
 
 
+def _chains(t):
+    """Orders of a customer, each below the one before: chains as deep as a customer has orders."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return t.orders.select(F.col("o_custkey").alias("act_id"), F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(before).alias("parent_id"),
+                           F.lit("clause").alias("kind"), (F.col("o_orderkey") % 97).cast("string").alias("number"), F.lit(None).cast("string").alias("title"))
+
+
+@query("""
+with recursive links as (select o_custkey as act_id, o_orderkey as id, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent_id,
+    cast(o_orderkey % 97 as varchar) as number from orders),
+tree as (select act_id, id, 0 as depth, number as sort_path, '(' || number || ')' as hierarchy_path from links where parent_id is null
+  union all
+  select l.act_id, l.id, tree.depth + 1, tree.sort_path || '/' || l.number, tree.hierarchy_path || '(' || l.number || ')' from tree join links l on l.parent_id = tree.id)
+select act_id, id, depth, sort_path, hierarchy_path from tree""")
+def deep_tree_paths(t):
+    return hierarchy.descend(_chains(t)).select("act_id", "id", "depth", "sort_path", "hierarchy_path")
+
+
+@query("""
+with links as (select o_custkey as act_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as place from orders)
+select act_id, id from links where act_id % 5 = 0 and place > 2""")
+def unplaced_nodes(t):
+    """Chains of which some lose their second order: all that hung below it is listed."""
+    chains = _chains(t)
+    second = Window.partitionBy("act_id").orderBy("id")
+    cut = chains.withColumn("_place", F.row_number().over(second)).filter("act_id % 5 <> 0 or _place <> 2").drop("_place")
+    return hierarchy.unplaced(cut, hierarchy.descend(cut)).select("act_id", "id")
+
+
 def _order_nodes(t):
     none = F.lit(None).cast("string")
     orders = t.orders.select(F.col("o_orderkey").alias("act_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"), none.alias("parent_id"),
@@ -103,7 +133,7 @@ kids as (select l_orderkey, string_agg(l_linenumber || '(' || flags || ')', ','
 select 'o' || o_orderkey as id, coalesce(tree, '') as tree from orders left join kids on o_orderkey = l_orderkey""")
 def nested_trees(t):
     """Orders with their lines and the flags of each line as nested nodes."""
-    tree = hierarchy.nest(_order_nodes(t), max_depth=3)
+    tree = hierarchy.nest(_order_nodes(t))
     leaf = lambda n: F.concat(n["number"], F.lit("("), F.array_join(F.transform(n["children"], lambda c: c["number"]), ""), F.lit(")"))
     return tree.select("id", F.array_join(F.transform("children", leaf), ",").alias("tree"))
 

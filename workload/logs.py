@@ -38,8 +38,8 @@ def searched_acts(t):
 
 
 def _order_provisions(t):
-    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        t.supplier.select(F.col("s_suppkey").alias("act_id")), F.col("o_custkey") == F.col("act_id"))
+    n = t.supplier.count()
+    orders = t.orders.join(t.supplier.select(F.col("s_suppkey").alias("act_id")), F.col("o_custkey") % n == F.col("act_id") % n)
     kind = F.when(F.col("o_orderstatus") == "O", "chapter").when(F.col("o_orderstatus") == "F", "section").otherwise("clause")
     return orders.select(
         F.col("o_orderkey").alias("id"), "act_id", F.lit(None).cast("bigint").alias("parent_id"), kind.alias("kind"),
@@ -48,9 +48,9 @@ def _order_provisions(t):
 
 
 _PROVISIONS = """
-with p as (select o_orderkey as id, o_custkey as act_id, case o_orderstatus when 'O' then 'chapter' when 'F' then 'section' else 'clause' end as kind,
+with p as (select o_orderkey as id, s_suppkey as act_id, case o_orderstatus when 'O' then 'chapter' when 'F' then 'section' else 'clause' end as kind,
    cast(o_orderkey as varchar) as number, case when o_orderpriority <> '5-LOW' then o_orderpriority end as title, lpad(cast(o_orderkey as varchar), 9, '0') as sort_path
-  from orders join supplier on o_custkey = s_suppkey)
+  from orders join supplier on o_custkey % (select count(*) from supplier) = s_suppkey % (select count(*) from supplier))
 """
 
 
