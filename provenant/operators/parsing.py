@@ -17,6 +17,7 @@ from provenant.functions.text import (
     UNKNOWN_NUMBER, clean_ws, decode_entities, detail_url, drop_hidden,
     html_text, norm_title, page_title, provision_kind, provision_number, strip_tags)
 from provenant.operators.markup import element_rows
+from provenant.plans.session import stored
 
 # Where the content of a page sits, in order of preference.
 CONTAINERS = [(".", "lawCon"), ("#", "sub_section_content"), (".", "act_content"),
@@ -31,17 +32,38 @@ NODES = ("page_id {id}, ordinal int, parent_ordinal int, kind string, number str
 
 
 def content_container(html: Column, containers: Sequence[tuple[str, str]] = CONTAINERS) -> Column:
-    """Markup from the first preferred container to the end of the body, else the body."""
+    """Markup inside the first preferred container, up to its own end tag, else that of the body."""
     return let(html, lambda page: _container(page, containers))
 
 
+def _balanced(rest: Column, tag: Column) -> Column:
+    """What precedes the end tag that closes an element whose start tag stands before ``rest``.
+
+    The markup is cut before each tag of the same name; depth is counted over the pieces. An element that is
+    never closed runs to the end.
+    """
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit("(?![\\w-]))")))
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
+
+    def step(state: Column, piece: Column) -> Column:
+        moved = (F.when(piece.startswith("</"), -1)
+                 .when(F.lower(piece).startswith(F.concat(F.lit("<"), F.lower(tag))) & ~piece.rlike("^<[^>]*/>"), 1).otherwise(0))
+        depth = state["depth"] + moved
+        return F.when((state["depth"] == 0) | (depth == 0), F.struct(F.lit(0).alias("depth"), state["length"].alias("length"))).otherwise(
+            F.struct(depth.alias("depth"), (state["length"] + F.length(piece)).alias("length")))
+
+    return F.substring(rest, F.lit(1), F.aggregate(pieces, begin, step, lambda state: state["length"]))
+
+
 def _container(html: Column, containers: Sequence[tuple[str, str]]) -> Column:
     def begin(mark: str, name: str) -> Column:
         attribute = "class" if mark == "." else "id"
-        tag = (rf"(?is)<\w+\b[^>]*\b{attribute}\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^>]*>"
+        tag = (rf"(?is)<(\w+)\b[^>]*\b{attribute}\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^>]*>"
                r"(.*?)(?:</body\s*>|\z)")
+        found = let(F.struct(F.regexp_extract(html, tag, 1).alias("tag"), F.regexp_extract(html, tag, 2).alias("rest")),
+                    lambda x: F.when(x["tag"] != "", _balanced(x["rest"], x["tag"])))
         # Most pages lack most containers: a substring test spares them the pattern.
-        return F.when(html.contains(name), F.nullif(F.regexp_extract(html, tag, 1), F.lit("")))
+        return F.when(html.contains(name), F.nullif(found, F.lit("")))
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return F.coalesce(*[begin(*c) for c in containers], F.nullif(body, F.lit("")), html)
 
@@ -90,26 +112,30 @@ def flat_sections(pages: DataFrame) -> DataFrame:
         F.col("url").alias("source_url")).filter("text <> ''")
 
 
-def _elements(pages: DataFrame, mode: str) -> DataFrame:
-    """Run the markup walker over pages; a failing page yields one warning row."""
+def _elements(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """Run the markup walker over each page's container, in the first of the modes that finds a node.
+
+    A page without nodes yields one row that carries its html, and a failing page one warning row.
+    """
     id_type = pages.schema["page_id"].dataType.simpleString()
-    schema = NODES.format(id=id_type)
+    schema = NODES.format(id=id_type) + ", html string"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {name: [] for name in ("page_id", "ordinal", "parent_ordinal", "kind", "number",
-                                             "title", "text", "source_url", "markup", "warning")}
-            for page_id, url, html in zip(*(batch.column(c).to_pylist()
-                                            for c in ("page_id", "url", "html"))):
-                for row in element_rows(html, url, mode):
-                    for name, value in zip(columns, (page_id, *row)):
+                                             "title", "text", "source_url", "markup", "warning", "html")}
+            for page_id, url, html, inner in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "inner"))):
+                rows = next((found for mode in modes if (found := list(element_rows(inner, url, mode)))), None)
+                for row in rows or [(None, None, None, None, None, None, url, None, None)]:
+                    for name, value in zip(columns, (page_id, *row, None if rows else html)):
                         columns[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns["page_id"], batch.column("page_id").type)]
                 + [pa.array(columns[c], pa.int32() if "ordinal" in c else pa.string())
                    for c in list(columns)[1:]], names=list(columns))
 
-    return pages.select("page_id", "url", "html").mapInArrow(walk, schema)
+    inner = content_container(F.coalesce(F.col("html"), F.lit("")))
+    return pages.select("page_id", "url", "html", inner.alias("inner")).mapInArrow(walk, schema)
 
 
 def _finished(nodes: DataFrame, base: str) -> DataFrame:
@@ -125,7 +151,7 @@ def _finished(nodes: DataFrame, base: str) -> DataFrame:
 
 def structural_sections(pages: DataFrame, base: str = "") -> DataFrame:
     """Parts, chapters and sections marked by class, with their sub-provisions."""
-    return _finished(_elements(pages, "structural"), base)
+    return _finished(_elements(pages, ["structural"]), base)
 
 
 def sub_provisions(pages: DataFrame, base: str = "") -> DataFrame:
@@ -134,26 +160,41 @@ def sub_provisions(pages: DataFrame, base: str = "") -> DataFrame:
 
 def table_sections(pages: DataFrame, base: str = "") -> DataFrame:
     """Every table with a class is one section."""
-    return _finished(_elements(pages, "table"), base)
+    return _finished(_elements(pages, ["table"]), base)
 
 
 def parse_pages(pages: DataFrame, base: str = "", headings: Sequence[str] = HEADINGS
                 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, warnings): classes, else headings, else tables, else the flat page.
 
-    Which layout a page has is decided from its markup, so each page takes one branch.
+    Markup decides which layout a page is tried in first; a page in which that layout finds no node goes on to
+    the next. So every page yields nodes or a warning.
     """
     heading = rf"(?i)<(?:{'|'.join(headings)})\b"
     structural = r"(?i)\bclass\s*=\s*[\"'][^\"']*(?:section|chapter|sec_|(?<![\w-])part(?![\w-]))"
     table = r"(?i)<table\b[^>]*\bclass\s*="
-    layout = let(content_container(drop_hidden(F.coalesce(F.col("html"), F.lit("")))), lambda visible: (
-        F.when(visible.rlike(structural), "structural").when(visible.rlike(heading), "heading")
-        .when(visible.rlike(table), "table").otherwise("flat")))
-    pick = lambda name: pages.filter(layout == name)
-    raw = _elements(pick("structural"), "structural").unionByName(_elements(pick("table"), "table"))
-    nodes = (_finished(raw, base).unionByName(heading_sections(pick("heading"), headings, base))
-             .unionByName(flat_sections(pick("flat"))))
-    empty = pick("flat").filter(html_text(content_container(F.coalesce(F.col("html"), F.lit("")))) == "")
+
+    def next_layout(visible: Column) -> Column:
+        return F.when(visible.rlike(heading), "heading").when(visible.rlike(table), "table").otherwise("flat")
+
+    def inside(html: Column) -> Column:
+        return content_container(drop_hidden(F.coalesce(html, F.lit(""))))
+
+    layout = let(inside(F.col("html")), lambda visible: F.when(visible.rlike(structural), "structural").otherwise(next_layout(visible)))
+    placed = stored(pages.select("page_id", "url", "html", layout.alias("layout")))
+    pick = lambda rows, name: rows.filter(F.col("layout") == name).drop("layout")
+    first = stored(_elements(pick(placed, "structural"), ["structural"]))
+    rest = first.filter("html is not null").select("page_id", F.col("source_url").alias("url"), "html", next_layout(inside(F.col("html"))).alias("layout"))
+    again = stored(rest)
+    later = placed.filter("layout <> 'structural'").unionByName(again)
+    # A page with headings has a node as soon as it has text; only its table or nothing could be left otherwise.
+    second = stored(_elements(pick(later, "table"), ["table"]))
+    flat = pick(later, "flat").unionByName(second.filter("html is not null").select("page_id", F.col("source_url").alias("url"), "html"))
+    raw = first.filter("html is null").unionByName(second.filter("html is null")).drop("html")
+    nodes = (_finished(raw, base).unionByName(heading_sections(pick(later, "heading"), headings, base))
+             .unionByName(flat_sections(flat)))
+    blank = html_text(content_container(F.coalesce(F.col("html"), F.lit("")))) == ""
+    empty = flat.unionByName(pick(later, "heading")).filter(blank)
     warnings = raw.filter("warning is not null").select(
         "page_id", F.col("warning").alias("message"), F.substring("markup", 1, 200).alias("context"))
     return nodes, warnings.unionByName(empty.select(

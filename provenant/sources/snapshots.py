@@ -57,3 +57,18 @@ def write_snapshots(pages: DataFrame, root: str, force: bool = False) -> None:
 
 def read_snapshot_store(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select(*PAGE_COLUMNS)
+
+
+def write_snapshot_files(pages: DataFrame, root: str) -> None:
+    """One text file per page under html/slug=/language=/, and the pages' addresses beside them as a table."""
+    texts = pages.select("slug", "language", F.coalesce("html", F.lit("")).alias("value"))
+    texts.write.partitionBy("slug", "language").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(f"{root}/html")
+    pages.select("slug", "language", "url", "fetched_at").write.parquet(f"{root}/meta")
+
+
+def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
+    """Pages as written by ``write_snapshot_files``, each file whole."""
+    texts = spark.read.schema("value string, slug string, language string").text(f"{root}/html", wholetext=True)
+    html = texts.select("slug", "language", F.rtrim(F.col("value"), F.lit("\x00")).alias("html"))
+    return html.join(spark.read.parquet(f"{root}/meta"), ["slug", "language"]).select(
+        stable_id(F.col("slug"), F.col("language")).alias("page_id"), "slug", "language", "url", "html", "fetched_at", F.lit(False).alias("not_modified"))

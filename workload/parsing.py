@@ -236,11 +236,54 @@ def page_titles(t):
     return t.pages.select("page_id", text.page_title(F.col("html")).alias("title"))
 
 
-@query("""select page_id, regexp_extract(html, '(?is)<div class="ad">(.*?)(?:</body\\s*>|\\z)', 1) as markup from pages""")
+@query("""select page_id, regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1) as markup from pages""")
 def content_containers(t):
     return t.pages.select("page_id", parsing.content_container(F.col("html"), [("#", "law_content"), (".", "ad")]).alias("markup"))
 
 
+@query("""select page_id, repeat('<div>', cast(page_id % 4 as integer)) || '<h2>' || page_id || '. A</h2><DIV x="1">' || url || '<div/></DIV><divided></divided>'
+  || repeat('</div>', cast(page_id % 4 as integer)) || 'tail' as markup from pages""")
+def container_bounds(t):
+    """Pages wrapped so that the container ends before siblings; what it holds is known."""
+    depth = (F.col("page_id") % 4).cast("int")
+    inner = F.concat(F.repeat(F.lit("<div>"), depth), F.lit("<h2>"), F.col("page_id").cast("string"), F.lit('. A</h2><DIV x="1">'), F.col("url"),
+                     F.lit("<div/></DIV><divided></divided>"), F.repeat(F.lit("</div>"), depth), F.lit("tail"))
+    page = F.concat(F.lit('<html><body><nav><div>n</div></nav><div class="x lawCon">'), inner, F.lit('</div ><div class="footer">OUTSIDE</div></body></html>'))
+    return t.pages.select("page_id", parsing.content_container(page).alias("markup"))
+
+
+_MIXED = {
+    0: ('<div class="lawCon"><div class="section"><div class="sec_head">1. A</div><div class="sec_content">', '</div></div></div><div class="section">OUT</div>'),
+    1: ("<h2>2. B</h2><p>", "</p>"), 2: ('<table class="t"><tr><th>3. C</th></tr><tr><td>', "</td></tr></table>"), 3: ("<p>", "</p>"),
+    4: ("<h2>4. D</h2><p>", '</p><div class="sec_content">x</div>'), 5: ('<div class="sec_head">', "</div>"), 6: ("<script>", "</script>")}
+
+
+@query("""select page_id, 1 as nodes, 'section' as kind, case page_id % 7 when 0 then '1' when 1 then '2' when 2 then '3' when 4 then '4' else '1' end as number,
+  case page_id % 7 when 0 then '1. A' when 1 then '2. B' when 2 then '3. C' when 4 then '4. D' end as title,
+  case when page_id % 7 = 4 then url || ' x' else url end as text, 0 as warnings from pages where page_id % 7 <> 6
+union all select page_id, 0, null, null, null, null, 1 from pages where page_id % 7 = 6""")
+def mixed_layout_pages(t):
+    """Every page in one of seven layouts, three of them misleading: each gives a node or a warning."""
+    html = F.lit("")
+    for k, (before, after) in _MIXED.items():
+        html = F.when(F.col("page_id") % 7 == k, F.concat(F.lit(before), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(after))).otherwise(html)
+    pages = t.pages.select("page_id", "url", F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"))
+    nodes, warnings = parsing.parse_pages(pages)
+    one = nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("nodes"), *[F.min(c).alias(c) for c in ("kind", "number", "title", "text")])
+    told = warnings.groupBy("page_id").agg(F.count(F.lit(1)).alias("warnings"))
+    return one.join(told, "page_id", "full").withColumns({c: F.coalesce(c, F.lit(0)).cast("int") for c in ("nodes", "warnings")})
+
+
+@query("""select 'p' || page_id as slug, case when page_id % 2 = 0 then 'en' else 'bn' end as language, url, sha256(html) as html_hash, make_timestamp((1700000000 + page_id) * 1000000) as fetched_at from pages""")
+def snapshot_files(t):
+    """Pages written to the file layout of a crawl, one file each, and read back whole."""
+    root = scratch(t.spark) + "/files"
+    pages = t.pages.select(F.concat(F.lit("p"), "page_id").alias("slug"), F.when(F.col("page_id") % 2 == 0, "en").otherwise("bn").alias("language"), "url", "html",
+                           F.timestamp_seconds(1_700_000_000 + F.col("page_id")).alias("fetched_at"))
+    snapshots.write_snapshot_files(pages, root)
+    return snapshots.read_snapshot_files(t.spark, root).select("slug", "language", "url", F.sha2("html", 256).alias("html_hash"), "fetched_at")
+
+
 _SECTIONS = f"""
 with marked as (
   select page_id, url, string_split(regexp_replace(regexp_replace({sql_visible(_BODY)}, '(?i)<(?:h1|h2|h3|h4|h5)\\b[^>]*>', chr(1) || chr(2), 'g'),
