@@ -136,7 +136,7 @@ def sample_eval(chunks: DataFrame, acts: DataFrame, n: int, seed: int, pools: Da
     records, if given, are appended as they are.
     """
     named = chunks.filter(F.col("hierarchy_path").contains(label))
-    drawn = top_per_group(named, ["act_id", "language"], [F.xxhash64(F.lit(seed), "id"), F.asc("id")], n, "_n")
+    drawn = top_per_group(named, ["act_id", "language"], [F.sha2(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")), 256), F.asc("id")], n, "_n")
     # A drawn chunk without a readable number is dropped, not replaced.
     rows = drawn.withColumn("expected_section", policy.first_section(F.col("hierarchy_path"))).filter(
         "expected_section is not null")

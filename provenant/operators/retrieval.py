@@ -146,12 +146,16 @@ def rerank(hits: DataFrame, queries: DataFrame, contents: DataFrame, scorer: Sco
     return scored.withColumn("rank", F.row_number().over(best)).drop("fused_rank")
 
 
+class ScorerUnavailable(Exception):
+    """Raised by a scorer that cannot be reached; other errors of a scorer fail the job."""
+
+
 def _score_batches(pairs: DataFrame, scorer: ScorePairs) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             try:
                 values = list(scorer(frame["query_text"].tolist(), frame["content"].tolist()))
-            except Exception:  # an unavailable scorer leaves the fused order
+            except ScorerUnavailable:  # leaves the fused order
                 values = [None] * len(frame)
             yield frame.assign(rerank_score=pd.Series(values, index=frame.index, dtype="float64"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)

@@ -60,11 +60,12 @@ def merge_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
 
     ``incoming``: provision_id, language, text, source_url, fetched_at, and optionally
     effective_from, amended_from, provenance and ordinal. Equal text leaves the open row; other
-    text closes it on the day of the fetch and opens a new one. Texts are compared by hash, so
-    the text of stored rows is never shuffled for it.
+    text closes it on the day of the fetch and opens a new one. Several fetches of a key in one batch
+    are taken in time order, so each change of its text becomes a revision. Texts are compared by hash,
+    and of the stored rows only the open ones are joined, without their text being needed for it.
 
-    Outcomes carry ``collisions``: further rows of the batch with the same key, of which the
-    last on the page wins. A fetch older than the open row is ignored as stale.
+    Outcomes have a row per key and fetch. ``collisions`` counts further rows of the same fetch,
+    of which the last on the page wins. A fetch older than the open row is ignored as stale.
     """
     keys = ["provision_id", "language"]
     optional = {"effective_from": "date", "amended_from": "date", "provenance": "string", "ordinal": "int"}
@@ -72,33 +73,37 @@ def merge_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
         if name not in incoming.columns:
             incoming = incoming.withColumn(name, F.lit(None).cast(kind))
     written = incoming.filter(F.coalesce("text", F.lit("")) != "").withColumn("content_hash", content_hash(F.col("text")))
-    fields = [c for c in ("text", "source_url", "fetched_at", *optional, "content_hash")]
-    position = F.struct("fetched_at", F.coalesce("ordinal", F.lit(0)), "content_hash")
-    batch = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), position).alias("_r"),
-                                       (F.count(F.lit(1)) - 1).alias("collisions"))
-    batch = batch.select(*keys, "collisions", *[F.col(f"_r.{f}").alias(f) for f in fields])
+    fields = [c for c in ("text", "source_url", *optional, "content_hash")]
+    position = F.struct(F.coalesce("ordinal", F.lit(0)), "content_hash")
+    batch = written.groupBy(*keys, "fetched_at").agg(F.max_by(F.struct(*fields), position).alias("_r"),
+                                                     (F.count(F.lit(1)) - 1).alias("collisions"))
+    batch = batch.select(*keys, "fetched_at", "collisions", *[F.col(f"_r.{f}").alias(f) for f in fields])
 
     open_rows = current.filter("effective_to is null").select(
         *keys, F.col("content_hash").alias("_hash"), F.col("effective_from").alias("_since"))
     day = F.to_date("fetched_at")
-    judged = batch.join(open_rows, keys, "left").withColumn(
-        "outcome", F.when(F.col("_hash").isNull(), "new")
-        .when(F.col("_hash") == F.col("content_hash"), "unchanged")
-        .when(day < F.col("_since"), "stale").otherwise("updated"))
-
-    changed = judged.filter(F.col("outcome").isin("new", "updated"))
+    in_time = Window.partitionBy(*keys, "_stale").orderBy("fetched_at")
+    before = F.coalesce(F.lag("content_hash").over(in_time), F.col("_hash"))
+    judged = (batch.join(open_rows, keys, "left")
+              .withColumn("_stale", F.coalesce((day < F.col("_since")) & (F.col("_hash") != F.col("content_hash")), F.lit(False)))
+              .withColumn("_before", before)
+              .withColumn("outcome", F.when(F.col("_stale"), "stale").when(F.col("_before").isNull(), "new")
+                          .when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")))
+
+    changed = judged.filter(F.col("outcome").isin("new", "updated")).withColumn(
+        "_until", F.lead(day).over(Window.partitionBy(*keys).orderBy("fetched_at")))
     inserted = changed.select(
         stable_id(*[F.col(k) for k in keys], day, F.col("content_hash")).alias("id"), *keys,
         translation_status(F.col("language")).alias("translation_status"), "text",
         F.coalesce("effective_from", "amended_from", day).alias("effective_from"),
-        F.lit(None).cast("date").alias("effective_to"), F.lit(None).cast("string").alias("amending_act_id"),
+        F.col("_until").alias("effective_to"), F.lit(None).cast("string").alias("amending_act_id"),
         F.coalesce("provenance", F.lit("snapshot")).alias("provenance"), "content_hash", "source_url",
         "fetched_at")
-    closing = changed.filter("outcome = 'updated'").select(*keys, day.alias("_closed"))
-    kept = current.join(closing, keys, "left").withColumn(
-        "effective_to", F.coalesce("effective_to", "_closed")).select(*current.columns)
+    closing = changed.filter("_hash is not null").groupBy(*keys).agg(F.min(day).alias("_closed"))
+    closed, still = current.filter("effective_to is not null"), current.filter("effective_to is null")
+    still = still.join(closing, keys, "left").withColumn("effective_to", F.col("_closed")).select(*current.columns)
     outcomes = judged.select(*keys, "outcome", "collisions", "content_hash", day.alias("fetched_on"))
-    return kept.unionByName(inserted, allowMissingColumns=True).select(*current.columns), outcomes
+    return closed.unionByName(still).unionByName(inserted, allowMissingColumns=True).select(*current.columns), outcomes
 
 
 def pending_revisions(revisions: DataFrame, outcomes: DataFrame) -> DataFrame:

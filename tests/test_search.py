@@ -149,7 +149,7 @@ def test_rerank(spark):
     assert _rerank(spark, scorer=lambda q, c: [len(x) for x in c])[0] == ("c2", True)
 
     def down(questions, contents):
-        raise RuntimeError("unavailable")
+        raise retrieval.ScorerUnavailable("unavailable")
     assert _rerank(spark, scorer=down) == [("c0", False), ("c1", False), ("c2", False), ("c3", False)]
 
 

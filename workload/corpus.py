@@ -208,6 +208,26 @@ revs as (
 """
 
 
+_FETCHES = """fetched as (select doc_id, lang, d, text || case when (doc_id // (d + 1)) % 2 = 1 then ' x' else '' end as text,
+    date '2024-01-01' + cast(d as integer) as day from documents, unnest(range(4)) as u(d)),
+ hashed as (select doc_id, lang, day, sha256(text) as h from fetched),
+ judged as (select *, lag(h) over (partition by doc_id, lang order by day) as prev from hashed),
+ changed as (select *, lead(day) over (partition by doc_id, lang order by day) as until from judged where prev is null or prev <> h)"""
+
+
+@query(f"with {_FETCHES} select doc_id as provision_id, lang as language, h as content_hash, cast(day as date) as effective_from, cast(until as date) as effective_to from changed")
+def revision_history(t):
+    """Four dated fetches per document in one batch, with texts that change and come back: one revision per change."""
+    day = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    rows = t.documents.withColumn("d", day)
+    mark = F.when(F.floor(F.col("doc_id") / (F.col("d") + 1)) % 2 == 1, " x").otherwise("")
+    fetches = rows.select(F.col("doc_id").alias("provision_id"), F.col("lang").alias("language"), F.concat("text", mark).alias("text"),
+                          F.concat(F.lit("http://acts.example/"), "source").alias("source_url"),
+                          F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).alias("fetched_at"))
+    merged, _ = revisions.merge_revisions(t.spark.createDataFrame([], _EMPTY), fetches)
+    return merged.select("provision_id", "language", "content_hash", "effective_from", "effective_to")
+
+
 @query(_REV + """select sha256(doc_id || chr(31) || lang || chr(31) || effective_from || chr(31) || h) as id, doc_id as provision_id, lang as language,
  'reference_translation' as translation_status, h as content_hash, effective_from, effective_to from revs""")
 def revision_merge(t):
@@ -352,18 +372,17 @@ def hashed_vectors(texts, role):
 
 
 @query("""with codes as (
-  select doc_id, unicode(unnest(string_split(text, ''))) % 32 as dim from documents where length(text) = strlen(text)),
+  select doc_id, unicode(unnest(string_split(text, ''))) % 32 as dim from documents),
  counts as (select doc_id, dim, count(*) as n from codes group by all)
  select doc_id, array_to_string(list_transform(range(32), lambda d: coalesce(list_extract(map_values(m), list_position(map_keys(m), d)), 0)), ' ') as vector
  from (select doc_id, map_from_entries(list((dim, n))) as m from counts group by doc_id)""")
 def plugin_embedding(t):
-    """The embedding stage with a plug-in, over whole texts (plain ones, so that SQL can count)."""
-    plain = t.documents.filter(F.length("text") == F.octet_length("text"))
-    vectors = embedding.embed(plain.select("doc_id", "text"), "text", "document", hashed_vectors)
+    """The embedding stage with a plug-in, over whole texts."""
+    vectors = embedding.embed(t.documents.select("doc_id", "text"), "text", "document", hashed_vectors)
     return vectors.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("vector"))
 
 
-@query()
+@query("select doc_id, 64 as dims, 1.0::double as norm from documents where len(trim(text)) > 0")
 def hashed_embedding(t):
     rows = embedding.hashed_embedding(t.documents.select("doc_id", "text"), "text", 64)
     return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate(

@@ -123,15 +123,16 @@ def compared_runs(t):
     return evaluation.compare_runs(two.filter("n = 1"), two.filter("n = 2")).withColumn("delta", F.round("delta", 6))
 
 
-@query("""select source as act_slug, lang as language, least(count(*), 3) as drawn, 'factual' as category from documents group by all
- union all select null, 'en', count(*), 'pool' from benchmark""")
+@query("""select source as act_slug, lang as language, 'factual' as category, source || '-' || lang || '-gen-' || sha256(cast(doc_id as varchar))[1:6] as id
+ from documents qualify row_number() over (partition by source, lang order by sha256('7|' || doc_id), doc_id) <= 3
+ union all select null, 'en', 'pool', 'pool-' || item_id from benchmark""")
 def sampled_records(t):
     """Three chunks per act and language by seeded hash order, then the fixed pool."""
     chunks = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("act_id"), F.col("lang").alias("language"),
                                 F.concat("source", F.lit(" > Section "), "doc_id").alias("hierarchy_path"), F.col("text").alias("content"))
     acts = t.documents.select(F.col("source").alias("id"), F.col("source").alias("slug"), F.col("source").alias("full_name_en")).distinct()
     pool = t.benchmark.select(F.concat(F.lit("pool-"), "item_id").alias("id"), F.lit("en").alias("language"), F.lit("pool").alias("category"), F.lit(True).alias("should_decline"))
-    return evaluation.sample_eval(chunks, acts, 3, 7, pool).groupBy("act_slug", "language", "category").agg(F.count(F.lit(1)).alias("drawn"))
+    return evaluation.sample_eval(chunks, acts, 3, 7, pool).select("act_slug", "language", "category", "id")
 
 
 @query(f"""with w as (select doc_id, substring({_ASCII}, 1, 200) as a, substring({_ASCII}, 51, 200) as b from documents)

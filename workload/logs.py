@@ -1,6 +1,6 @@
 """Browsing and query-log analytics."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from provenant.functions import policy
 from provenant.operators import anchored, browse, logs
@@ -25,11 +25,10 @@ def _acts(t):
 @query("""select act_year, full_name_en, row_number() over (order by act_year, full_name_en) as place from (
   select 1900 + s_nationkey as act_year, 'The ' || s_name || ' Act' as full_name_en from supplier)""")
 def listed_acts(t):
-    """Acts in reading order, with the place of each (monotonic over the sorted frame's one range)."""
-    from provenant.plans.skew import running_number
-    rows = _acts(t).withColumn("_all", F.lit(0))
-    return running_number(rows, ["_all"], [F.col("act_year"), F.col("full_name_en")], F.col("act_year"), "place").select(
-        F.col("act_year").cast("bigint").alias("act_year"), "full_name_en", "place")
+    """Acts in reading order, with the place of each: ids rise along the ranges of the sorted frame."""
+    listed = browse.list_acts(_acts(t)).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    return listed.select(F.col("act_year").cast("bigint").alias("act_year"), "full_name_en", place.alias("place"))
 
 
 @query("select s_suppkey as id from supplier where contains(lower(s_name), lower('R#00000001')) or contains(lower('The ' || s_name || ' Act'), lower('R#00000001'))")
@@ -240,9 +239,12 @@ def thread_count(t):
     return logs.thread_count(_thread_log(t))
 
 
-@query()
+@query("select true as within_five_percent")
 def thread_count_approx(t):
-    return logs.thread_count(_thread_log(t), approx=True)
+    """The sketch's count beside the exact one."""
+    exact = logs.thread_count(_thread_log(t)).withColumnRenamed("total", "exact")
+    return logs.thread_count(_thread_log(t), approx=True).join(exact).select(
+        (F.abs(F.col("total") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_five_percent"))
 
 
 def _thread_feedback(t):

@@ -330,7 +330,7 @@ def flat_sections(t):
 def _lines(t):
     """Documents as lines of at least one visible character."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "&", "&amp;")), lambda x: F.trim(x) != "")
-    return t.documents.withColumn("lines", lines).filter(F.size("lines") > 1)
+    return t.documents.withColumn("lines", lines).filter(F.size("lines") > 0)
 
 
 def _nested_pages(t):
@@ -349,7 +349,7 @@ with docs as (select doc_id, list_filter(string_split(text, chr(10)), lambda x:
 
 @query(_LINES_SQL + f"""
 select doc_id as page_id, 0 as ordinal, cast(null as integer) as parent_ordinal, 'section' as kind,
-       {sql_number(sql_norm('lines[1]'))} as number, {sql_norm('lines[1]')} as title, '' as text from docs where len(lines) > 1
+       {sql_number(sql_norm('lines[1]'))} as number, {sql_norm('lines[1]')} as title, '' as text from docs where len(lines) > 0
 union all
 select doc_id, cast(i as integer), 0, 'subsection', cast(i as varchar), null, {sql_norm('lines[i + 1]')}
 from docs, unnest(range(1, len(lines))) as u(i) where len(lines) > 1""")
@@ -367,7 +367,7 @@ def sub_provisions(t):
 
 @query(_LINES_SQL + f"""
 select doc_id as page_id, 'chapter' as kind, {sql_number(sql_norm('lines[1]'))} as number, {sql_norm('lines[1]')} as title,
-       {sql_norm("array_to_string(lines[2:], ' ')")} as text from docs where len(lines) > 1""")
+       {sql_norm("array_to_string(lines[2:], ' ')")} as text from docs where len(lines) > 0""")
 def table_sections(t):
     rows = F.array_join(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.concat(
         F.lit("<tr><td>"), x, F.lit("</td></tr>"))), "")

@@ -258,7 +258,8 @@ def hybrid_search(t):
 select query_id, count(*) as hits, round(max(score), 9) as best, max(score) < 0.02 as weak from fused group by all""")
 def fused_strength(t):
     """Which questions found too little and would search the other language."""
-    queries, hits = _hybrid_queries(t), retrieval.hybrid(_hybrid_queries(t), _hybrid_chunks(t))
+    queries = _hybrid_queries(t)
+    hits = stored(retrieval.hybrid(queries, _hybrid_chunks(t)))
     weak = retrieval.needs_fallback(queries, hits).select("query_id", F.lit(True).alias("weak"))
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score"), 9).alias("best"))
     return found.join(weak, "query_id", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
