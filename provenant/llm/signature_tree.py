@@ -8,7 +8,8 @@ discards pairs of nodes whose largest possible overlap is too small for the simi
 one component. What remains is verified on the full sets.
 
 There are two passes. In the first, a pair that passes the bounds is taken for a link while a list is searched, so that a
-list of n similar classes yields n - 1 pairs to verify, not all of them. Verified links give components. In the
+list of n similar classes yields n - 1 pairs, not all of them, and of all lists one pair per class is verified. Verified
+links give components. In the
 second, all pairs that pass the bounds and lie in different components are verified. After it no link between
 components can be missing, so the components are exact, though links within one are not enumerated.
 
@@ -35,9 +36,9 @@ from provenant.llm.components import components
 from provenant.plans.session import stored
 
 SHINGLE, SHARE, BASE = 5, 80, 100
-FREQUENT, BLOCK, LEAF = 50_000, 2048, 16
+FREQUENT, BLOCK, LEAF, GROUP = 400_000, 2048, 16, 1000
 #: Entries of a worker's table of words, and tokens that are counted at a time for frequency.
-TABLE, CHUNK = 500_000, 1_000_000
+TABLE, CHUNK = 250_000, 2_000_000
 #: Bits of the filter of candidate documents; a full filter only ships more sets.
 FILTER_BITS = 1 << 23
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -98,13 +99,13 @@ def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles that at least one in a hundred, and eight, of the different sets of some part of the table share."""
+    """Shingles that three different sets, and one in two thousand, of some part of the table share; the most frequent ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size, classes = Words(), [], 0, set()
 
         def chunk() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(8, len(held) // 100)
+            often = n >= max(3, len(held) // 2000)
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
@@ -122,7 +123,15 @@ def _frequent(rows: DataFrame) -> np.ndarray:
             yield chunk()
 
     found = rows.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column("token").to_numpy()
+    found = stored(found)
+    # From the most frequent down, as long as they fit; there are few different counts among frequent ones.
+    least, room = 3, FREQUENT
+    for n, c in found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        if c > room:
+            least = n + 1
+            break
+        room -= c
+    top = found.filter(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
@@ -379,43 +388,50 @@ def _candidates(lists: DataFrame, classes: DataFrame, roots: DataFrame | None, s
     return rows.mapInArrow(_searcher(spanning), "a bigint, b bigint").distinct()
 
 
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group with its parent first, the members whose sets are similar enough to their parent's."""
+    words, group, parent, own = Words(), None, None, np.zeros(0, np.uint64)
+    for batch in batches:
+        left, right = [], []
+        for key, is_parent, name, text in zip(*(batch.column(c).to_pylist() for c in ("group", "parent", "class", "text"))):
+            if key != group:
+                group, parent = key, None
+            # A repeated id may stand for several texts; the class tells which one is meant.
+            tokens = shingles(text, words)
+            if _class_of(tokens) != name:
+                continue
+            if is_parent:
+                parent, own = name, tokens
+            elif parent is not None:
+                both = len(np.intersect1d(own, tokens, assume_unique=True))
+                if BASE * both >= SHARE * (len(own) + len(tokens) - both):
+                    left.append(parent)
+                    right.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-                     .join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
-    # A bounded filter spares most documents' sets the shuffle.
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = (members.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
-             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
-    size = 32768 // 8
-    bits = np.zeros(FILTER_BITS // 8 + 2 * size, np.uint8)
-    for r in parts:
-        bits[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    # bitmap_bucket_number counts from 1, and positions within a bucket from 0.
-    marked = rows.withColumn("at", F.bitmap_bucket_number(bit) * 32768 + F.bitmap_bit_position(bit))
+    """The pairs whose full sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, filter_ = Words(), shared.value
-        for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            there = (filter_[at // 8] >> (at % 8).astype(np.uint8)) & 1
-            some = batch.filter(pa.array(there.astype(bool)))
-            for b in range(0, some.num_rows, 500):
-                few = some.slice(b, 500)
-                tokens = [shingles(t.as_py(), words).view(np.int64) for t in few.column("text")]
-                keys = [_class_of(t.view(np.uint64)) for t in tokens]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                                                 names=["doc_id", "class", "tokens"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    full = marked.filter("at is not null").mapInArrow(run, f"doc_id {kind}, class bigint, tokens array<bigint>")
-    # A repeated id may stand for several texts; the class tells which one is meant.
-    full = stored(full.join(members, ["doc_id", "class"]).select("class", "tokens").dropDuplicates(["class"]))
-    pairs = pairs.join(full.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
-    pairs = pairs.join(full.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
-    both = F.size(F.array_intersect("left", "right"))
-    return stored(pairs.filter(BASE * both >= SHARE * (F.size("left") + F.size("right") - both)).select("a", "b").distinct())
+    A pair's first class is the parent of a group, at most GROUP others its members. Each row carries a text, which is
+    smaller than its set; a parent's text is repeated per group, so no group is large.
+    """
+    groups = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")))
+    members = pairs.join(groups, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("group"), F.lit(False).alias("parent"), F.col("b").alias("class"))
+    parents = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        F.xxhash64("a", F.col("part").cast("bigint")).alias("group"), F.lit(True).alias("parent"), F.col("a").alias("class"))
+    seats = members.union(parents)
+    holders = stored(seats.select("class").distinct().join(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
+    # A filter of FILTER_BITS / 8 bytes at most spares most documents' texts the shuffle.
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    parts = (holders.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
+             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    marked = rows.withColumns({"part": F.bitmap_bucket_number(bit), "bit": F.bitmap_bit_position(bit)}).join(F.broadcast(parts), "part")
+    byte = F.ascii(F.decode(F.substr("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    texts = marked.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("doc_id", "text")
+    texts = texts.join(holders, "doc_id").select("class", "text")
+    seated = seats.join(texts, "class").repartition("group").sortWithinPartitions("group", F.desc("parent"))
+    return stored(seated.select("group", "parent", "class", "text").mapInArrow(_tested, "a bigint, b bigint").distinct())
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,9 +440,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = stored(_sets(rows, _frequent(rows)))
     classes = sets.filter("bitmap is not null").select("class", "n", "bitmap").dropDuplicates(["class"])
     lists = _lists(sets)
-    first = _verified(stored(_candidates(lists, classes, None, True)), sets, rows)
+    # Lists overlap, so a class has candidates in each; one of them is enough to begin with.
+    tried = stored(_candidates(lists, classes, None, True).groupBy("b").agg(F.min("a").alias("a")))
+    first = _verified(tried, sets, rows)
     roots = stored(components(first))
-    more = stored(_candidates(lists, classes, roots, False))
+    more = stored(_candidates(lists, classes, roots, False).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = _verified(more, sets, rows)
         roots = stored(components(first.union(links)))
