@@ -208,24 +208,27 @@ revs as (
 """
 
 
-_FETCHES = """fetched as (select doc_id, lang, d, text || case when (doc_id // (d + 1)) % 2 = 1 then ' x' else '' end as text,
+FETCHES = """fetched as (select doc_id, lang, d, text || case when (doc_id // (d + 1)) % 2 = 1 then ' x' else '' end as text,
     date '2024-01-01' + cast(d as integer) as day from documents, unnest(range(4)) as u(d)),
  hashed as (select doc_id, lang, day, sha256(text) as h from fetched),
  judged as (select *, lag(h) over (partition by doc_id, lang order by day) as prev from hashed),
  changed as (select *, lead(day) over (partition by doc_id, lang order by day) as until from judged where prev is null or prev <> h)"""
 
 
-@query(f"with {_FETCHES} select doc_id as provision_id, lang as language, h as content_hash, cast(day as date) as effective_from, cast(until as date) as effective_to from changed")
+@query(f"with {FETCHES} select doc_id as provision_id, lang as language, h as content_hash, cast(day as date) as effective_from, cast(until as date) as effective_to from changed")
 def revision_history(t):
     """Four dated fetches per document in one batch, with texts that change and come back: one revision per change."""
+    merged, _ = revisions.merge_revisions(t.spark.createDataFrame([], _EMPTY), fetches(t))
+    return merged.select("provision_id", "language", "content_hash", "effective_from", "effective_to")
+
+
+def fetches(t):
     day = F.explode(F.sequence(F.lit(0), F.lit(3)))
     rows = t.documents.withColumn("d", day)
     mark = F.when(F.floor(F.col("doc_id") / (F.col("d") + 1)) % 2 == 1, " x").otherwise("")
-    fetches = rows.select(F.col("doc_id").alias("provision_id"), F.col("lang").alias("language"), F.concat("text", mark).alias("text"),
-                          F.concat(F.lit("http://acts.example/"), "source").alias("source_url"),
-                          F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).alias("fetched_at"))
-    merged, _ = revisions.merge_revisions(t.spark.createDataFrame([], _EMPTY), fetches)
-    return merged.select("provision_id", "language", "content_hash", "effective_from", "effective_to")
+    return rows.select(F.col("doc_id").alias("provision_id"), F.col("lang").alias("language"), F.concat("text", mark).alias("text"),
+                       F.concat(F.lit("http://acts.example/"), "source").alias("source_url"),
+                       F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).alias("fetched_at"))
 
 
 @query(_REV + """select sha256(doc_id || chr(31) || lang || chr(31) || effective_from || chr(31) || h) as id, doc_id as provision_id, lang as language,

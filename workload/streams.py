@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from provenant.operators import revisions
 from provenant.streaming import flags, ingest, metrics
 from workload.base import query, scratch
-from workload.corpus import _EMPTY
+from workload.corpus import _EMPTY, FETCHES, fetches
 from workload.logs import METRIC_SQL, event_log, rounded
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,22 +56,24 @@ def stream_flags(t):
             t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-@query("select cast(doc_id as bigint) as provision_id, sha256(text) as content_hash from documents")
+@query(f"with {FETCHES} select doc_id as provision_id, lang as language, h as content_hash, cast(day as date) as effective_from, cast(until as date) as effective_to from changed")
 def stream_ingest(t):
-    """Documents arriving as pages; every micro-batch is merged into the stored revisions."""
+    """Four crawls of all documents arrive one after the other, the last with the first's pages again; the stream is
+    stopped and started anew half way. The stored revisions equal those of one batch merge."""
     root = scratch(t.spark)
-    store = {"path": None}
+    store = ingest.VersionedTable(t.spark, f"{root}/revisions", _EMPTY)
+    store.begin()
 
     def merge(batch, batch_id):
-        current = t.spark.read.schema(_EMPTY).parquet(store["path"]) if store["path"] else t.spark.createDataFrame([], _EMPTY)
-        incoming = batch.select(F.col("page_id").alias("provision_id"), "language", F.col("html").alias("text"), F.col("url").alias("source_url"), "fetched_at")
-        # Each batch writes its own version; a repeated batch writes the same one again.
-        path = f"{root}/revisions-{batch_id}"
-        revisions.merge_revisions(current, incoming)[0].write.mode("overwrite").parquet(path)
-        store["path"] = path
-
-    pages = _stream(t, "documents").select(
-        F.col("doc_id").alias("page_id"), F.col("lang").alias("language"), F.col("source").alias("url"), F.col("text").alias("html"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("fetched_at"))
-    ingest.stream_ingest(pages, merge, root + "/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(_EMPTY).parquet(store["path"]).select("provision_id", "content_hash")
+        incoming = batch.select(F.col("page_id").cast("long").alias("provision_id"), "language", F.col("html").alias("text"), F.col("url").alias("source_url"), "fetched_at")
+        store.write(revisions.merge_revisions(store.before(batch_id), incoming)[0], batch_id)
+
+    rows = fetches(t).select(F.col("provision_id").cast("string").alias("page_id"), F.col("source_url").alias("slug"), "language", F.col("source_url").alias("url"),
+                             F.col("text").alias("html"), "fetched_at", F.lit(False).alias("not_modified"))
+    days = [F.to_date("fetched_at") == F.lit(f"2024-01-0{d}").cast("date") for d in (1, 2, 3, 4)]
+    for crawl in (days[0], days[1], days[2], days[3] | days[0]):
+        rows.filter(crawl).coalesce(1).write.mode("append").parquet(f"{root}/pages")
+        if crawl is not days[0]:
+            pages = ingest.page_stream(t.spark, f"{root}/pages", 1)
+            ingest.stream_ingest(pages, merge, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.before().select("provision_id", "language", "content_hash", "effective_from", "effective_to")
