@@ -133,3 +133,12 @@ ANNOTATION_CHARS = 500
 # Words of a question that may match a hierarchy path: stripped of these, longer than this.
 PATH_WORD_STRIP = "?.,;:'\"!()"
 PATH_WORD_MIN_CHARS = 3
+
+# Marks of rendered context and section lists.
+PROVISION_BLOCK = ('<provision chunk_id="', '" path="', '">\n', "\n</provision>\nTo cite this provision use: {cite:", "}")
+QUESTION_BLOCK = ("<question>\n", "\n</question>")
+PART_LINE, CHAPTER_LINE, TITLE_MARK = "\n### Part ", "\n#### Chapter ", ": "
+SECTION_IN_CHAPTER, SECTION_ALONE, SECTION_SIGN, SECTION_TITLE_MARK = "  - ", "- ", "§", " — "
+OTHER_LINE = ("    - (", ")")
+ACT_HEAD, ACT_NUMBER, ACT_OF, ACT_END = "## ", "*Act ", " of ", "*"
+NOT_INDEXED = "\n*Section data not yet indexed. Trigger ingestion to populate.*"

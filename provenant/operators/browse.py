@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from provenant.functions import patterns as P
 from provenant.operators.hierarchy import nest
 from provenant.sources.tables import lookup
 
-NOT_INDEXED = "\n*Section data not yet indexed. Trigger ingestion to populate.*"
-
 
 def list_acts(acts: DataFrame, by_number: bool = False) -> DataFrame:
     """By year, then English name or act number; names order by their UTF-8 bytes."""
@@ -59,11 +58,11 @@ def section_lines(provisions: DataFrame, tree: str = "act_id") -> DataFrame:
     inside = F.last(F.when(F.col("kind").isin("part", "chapter"), F.col("kind")), True).over(so_far) == "chapter"
     has_title = F.coalesce("title", F.lit("")) != ""
     titled = lambda mark: F.when(has_title, F.concat(F.lit(mark), "title")).otherwise("")
-    line = (F.when(F.col("kind") == "part", F.concat(F.lit("\n### Part "), "number", titled(": ")))
-            .when(F.col("kind") == "chapter", F.concat(F.lit("\n#### Chapter "), "number", titled(": ")))
+    line = (F.when(F.col("kind") == "part", F.concat(F.lit(P.PART_LINE), "number", titled(P.TITLE_MARK)))
+            .when(F.col("kind") == "chapter", F.concat(F.lit(P.CHAPTER_LINE), "number", titled(P.TITLE_MARK)))
             .when(F.col("kind") == "section", F.concat(
-                F.when(inside, "  - ").otherwise("- "), F.lit("§"), "number", titled(" — ")))
-            .otherwise(F.concat(F.lit("    - ("), "number", F.lit(")"))))
+                F.when(inside, P.SECTION_IN_CHAPTER).otherwise(P.SECTION_ALONE), F.lit(P.SECTION_SIGN), "number", titled(P.SECTION_TITLE_MARK)))
+            .otherwise(F.concat(F.lit(P.OTHER_LINE[0]), "number", F.lit(P.OTHER_LINE[1]))))
     return provisions.filter("kind <> 'act'").withColumn("line", line)
 
 
@@ -74,11 +73,11 @@ def section_list(acts: DataFrame, provisions: DataFrame, language: str = "en") -
         F.array_sort(F.collect_list(F.struct("sort_path", "id", "line"))).alias("l"))
     counts = provisions.groupBy("act_id").agg(F.count(F.lit(1)).alias("n"))
     name = F.col("full_name_bn" if language == "bn" else "full_name_en")
-    head = F.array(F.concat(F.lit("## "), name),
-                   F.concat(F.lit("*Act "), "act_number", F.lit(" of "), F.col("act_year").cast("string"), F.lit("*")), F.lit(""))
+    head = F.array(F.concat(F.lit(P.ACT_HEAD), name),
+                   F.concat(F.lit(P.ACT_NUMBER), "act_number", F.lit(P.ACT_OF), F.col("act_year").cast("string"), F.lit(P.ACT_END)), F.lit(""))
     joined = acts.withColumnRenamed("id", "act_id").join(body, "act_id", "left").join(counts, "act_id", "left")
     lines = F.coalesce(F.transform("l", lambda x: x["line"]), F.array().cast("array<string>"))
-    tail = F.when(F.coalesce("n", F.lit(0)) <= 1, F.array(F.lit(NOT_INDEXED))).otherwise(F.array().cast("array<string>"))
+    tail = F.when(F.coalesce("n", F.lit(0)) <= 1, F.array(F.lit(P.NOT_INDEXED))).otherwise(F.array().cast("array<string>"))
     return joined.select("act_id", F.array_join(F.concat(head, lines, tail), "\n").alias("text"))
 
 

@@ -53,13 +53,13 @@ def resolve_responses(responses: DataFrame, contexts: DataFrame, text: str = "te
 def assemble_context(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, context, question, input_tokens): ranked chunks as fenced blocks."""
     block = F.concat(
-        F.lit('<provision chunk_id="'), F.col("chunk_id").cast("string"), F.lit('" path="'), F.col("hierarchy_path"),
-        F.lit('">\n'), F.col("content"), F.lit("\n</provision>\nTo cite this provision use: {cite:"),
-        F.col("chunk_id").cast("string"), F.lit("}"))
+        F.lit(P.PROVISION_BLOCK[0]), F.col("chunk_id").cast("string"), F.lit(P.PROVISION_BLOCK[1]), F.col("hierarchy_path"),
+        F.lit(P.PROVISION_BLOCK[2]), F.col("content"), F.lit(P.PROVISION_BLOCK[3]),
+        F.col("chunk_id").cast("string"), F.lit(P.PROVISION_BLOCK[4]))
     blocks = hits.select("query_id", F.struct("rank", block.alias("block")).alias("b")).groupBy("query_id").agg(
         F.array_sort(F.collect_list("b")).alias("b"))
     joined = F.array_join(F.transform("b", lambda b: b["block"]), "\n\n")
-    question = F.concat(F.lit("<question>\n"), F.col("query_text"), F.lit("\n</question>"))
+    question = F.concat(F.lit(P.QUESTION_BLOCK[0]), F.col("query_text"), F.lit(P.QUESTION_BLOCK[1]))
     rows = queries.select("query_id", question.alias("question")).join(
         blocks.select("query_id", joined.alias("context")), "query_id", "left").withColumn(
         "context", F.coalesce("context", F.lit("")))
