@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text
 from provenant.operators import parsing
+from provenant import schemas
+from provenant.plans.ingest import ingest
+from provenant.plans.session import stored
 from provenant.sources import evaluation, links, registry, snapshots, tables
 from workload.base import query, scratch
 
@@ -438,3 +441,38 @@ def latest_amendments(t):
 @query("select page_id, 'act' as kind, '0' as number, url as source_url from pages")
 def act_roots(t):
     return parsing.act_roots(t.pages).drop("title")
+
+
+# The whole ingest over the pages: two crawls, the second with some pages changed and some reported as unchanged.
+
+_INGEST_CHUNKS = ("id string, revision_id string, provision_id string, act_id string, chunk_index int, language string, hierarchy_path string, "
+                  "content string, tokens array<string>, token_count int")
+
+
+def _crawl(t, second):
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(F.col("html"), F.lit("</article>"), F.lit("<p>amended</p></article>"))).otherwise(F.col("html")) if second else F.col("html")
+    return t.pages.select(F.col("page_id").cast("string").alias("page_id"), F.concat(F.lit("act-"), "page_id").alias("slug"),
+                          F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("language"), "url", html.alias("html"),
+                          F.to_timestamp(F.lit("2024-02-01" if second else "2024-01-01")).alias("fetched_at"),
+                          (F.col("page_id") % 10 == 9 if second else F.lit(False)).alias("not_modified"))
+
+
+@query(f"""with crawls as (select page_id, url, regexp_extract(html, '<html lang="(\\w+)"', 1) as language, html as first_html,
+   case when page_id % 3 = 0 then replace(html, '</article>', '<p>amended</p></article>') else html end as second_html from pages),
+ texts as (select page_id, language, (select {_FLAT.replace('html', 'first_html')}) as a, (select {_FLAT.replace('html', 'second_html')}) as b from crawls)
+select 'act-' || page_id as act_id, language, sha256(a) as content_hash, date '2024-01-01' as effective_from,
+   case when a <> b and page_id % 10 <> 9 then date '2024-02-01' end as effective_to,
+   case when page_id % 10 = 9 then null when a = b then 'unchanged' else 'updated' end as second_outcome from texts
+union all select 'act-' || page_id, language, sha256(b), date '2024-02-01', null, 'updated' from texts where a <> b and page_id % 10 <> 9""")
+def ingest_pages(t):
+    """Parse, place, merge and chunk all pages twice: the revisions after it, with the outcome of the second crawl."""
+    slugs = t.pages.select(F.concat(F.lit("act-"), "page_id").alias("slug"))
+    acts = slugs.select(F.col("slug").alias("id"), "slug", F.col("slug").alias("full_name_en"), F.lit(2000).alias("act_year"))
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    empty = t.spark.createDataFrame
+    one = ingest(_crawl(t, False), acts, empty([], schemas.PROVISIONS), empty([], schemas.REVISIONS), empty([], _INGEST_CHUNKS), stamp, stamp)
+    two = ingest(_crawl(t, True), acts, stored(one.provisions), one.revisions, stored(one.chunks), stamp, stamp)
+    names = stored(two.provisions).select(F.col("id").alias("provision_id"), "act_id")
+    outcomes = two.outcomes.select("provision_id", "language", F.col("outcome").alias("second_outcome"))
+    return two.revisions.join(names, "provision_id").join(outcomes, ["provision_id", "language"], "left").select(
+        "act_id", "language", "content_hash", "effective_from", "effective_to", "second_outcome")
