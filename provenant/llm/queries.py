@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tag_paths": op10_tag_paths,
 }
 
-SQL: dict[str, str] = {"op8_fair_queue": fair_queue.MIX_SQL}
+SQL: dict[str, str] = {"op2_signature_tree": signature_tree.LINK_SQL, "op8_fair_queue": fair_queue.MIX_SQL}

@@ -19,7 +19,8 @@ of lists but never the result. Lists longer than ``BLOCK`` are searched in pairs
 
 Cases: letters A-Z count as small. A text of one to four words has one shingle, its whole sequence. A null text, an empty one
 and one without words has no shingle, is linked with nothing and is its own component. Documents that repeat are one
-class, and rows that repeat an id each get the component of their text. A null id counts as largest. Distinct sets
+class, and rows that repeat an id each get the component of their text. A null id counts as largest; a text that only rows without id
+have is linked with equal texts alone. Distinct sets
 are told apart by a 64-bit hash of the set. Only the named columns are read.
 """
 
@@ -452,3 +453,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = named.withColumn("root", F.coalesce("root", "class"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+LINK_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM parts),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r ON s.doc_id = r.doc_id
+"""
