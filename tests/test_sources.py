@@ -2,7 +2,6 @@ import json
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from provenant import schemas
 from provenant.sources import evaluation, links, registry, snapshots, tables
