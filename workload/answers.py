@@ -244,6 +244,33 @@ def response_paths(t):
     return _responses(t).select("query_id", "path", "declined", "degraded")
 
 
+_SEVEN = ["cache_hit", "section_list", "declined", "cost_refused", "provider_failed", "guardrail_failed", "answered"]
+
+
+@query(f"""select conv_id as query_id, path, path = 'cache_hit' as cached, path = 'declined' as declined,
+  path in ('cost_refused', 'provider_failed', 'guardrail_failed') as degraded, case when path = 'cache_hit' then 'kept' when path = 'section_list' then '## list' end as body
+  from (select distinct conv_id, {_SEVEN!r}[conv_id % 7 + 1] as path from conversations)""")
+def all_response_paths(t):
+    """Every question is brought onto one of the seven paths by what is found, cached, drafted and asked for."""
+    key = F.col("query_id")
+    case = key % 7
+    queries = _first_questions(t).select(
+        "query_id", F.concat(F.when(case == 1, "List the sections of the act. ").otherwise("Notice period of workers under section "), key.cast("string")).alias("query_text"),
+        F.lit("en").alias("detected_language"), F.lit("2024-01-15").cast("date").alias("as_of"), F.array(F.lit("2")).alias("act_ids"))
+    hits = queries.select("query_id", F.concat(F.lit("c"), key).alias("chunk_id"), F.lit(1).alias("rank"),
+                          F.when(case == 2, 0.0001).otherwise(0.5).alias("score"), F.lit(2).cast("bigint").alias("act_id"), F.lit("Act > Section 5").alias("hierarchy_path"), F.lit("http://acts.example/2").alias("source_url"),
+                          F.when(case == 3, F.repeat(F.lit("long text "), 20_000)).otherwise(F.lit("short text")).alias("content"))
+    drafts = queries.select("query_id", F.when(case == 5, "You must pay.").otherwise("As said.").alias("text"),
+                            F.when(case == 5, "You cannot pay.").otherwise("As said.").alias("retry_text"), (case == 4).alias("failed"))
+    contexts = responses.citation_contexts(hits, _acts(t))
+    lists = t.supplier.filter("s_suppkey = 2").select(F.lit("2").alias("act_id"), F.lit("## list").alias("text"))
+    first = responses.respond(queries, hits, contexts, drafts, DISCLAIMERS, DECLINES, SETTINGS, section_lists=lists)
+    cache = first.filter(case == 0).select(F.col("cache_key").alias("key"), F.lit("kept").alias("text"))
+    done = responses.respond(queries, hits, contexts, drafts, DISCLAIMERS, DECLINES, SETTINGS, cache=cache, section_lists=lists)
+    body = policy.split_disclaimer(F.col("answer"))["body"]
+    return done.select("query_id", "path", "cached", "declined", "degraded", F.when(F.col("path").isin("cache_hit", "section_list"), body).alias("body"))
+
+
 def _responses(t):
     queries, drafts = _response_inputs(t)
     hits = _hits(t)
