@@ -33,9 +33,9 @@ from provenant.llm.base import SPACES
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 #: Feature places of a word: its hashed features, padded with the empty feature 0.
-PLACES = 24
+PLACES = 16
 #: Entries of a worker's table of words.
-TABLE = 300_000
+TABLE = 500_000
 
 
 @dataclass(frozen=True)
@@ -88,9 +88,9 @@ def features(letters: str, lexicon: dict[str, int], place: Places) -> list[int]:
         return [place["none"]] + [0] * (PLACES - 1)
     padded = f"^{letters}$"
     names = [f"w{letters}", f"l{lexicon.get(letters, 0)}", "a" if letters.isascii() else "u"]
-    for k in (1, 2, 3, 4):
+    for k in (1, 3):
         names += (f"p{letters[:k]}", f"s{letters[-k:]}")
-    grams = [padded[i:i + k] for k in (2, 3) for i in range(len(padded) - k + 1)]
+    grams = [padded[i:i + 3] for i in range(len(padded) - 2)]
     # Words with more n-grams than places keep an even spread of them.
     room = PLACES - len(names)
     if len(grams) > room:
