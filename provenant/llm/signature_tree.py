@@ -15,7 +15,8 @@ components can be missing, so the components are exact, though links within one
 
 Frequent shingles (shared passages) come last in the order, so that they are in the prefix only of documents that consist of
 them. They are counted in every part of the table; at most ``FREQUENT`` of them are shipped, which affects the length
-of lists but never the result. Lists longer than ``BLOCK`` are searched in pairs of blocks.
+of lists but never the result. Lists longer than ``BLOCK`` are searched block by block in the first pass; in the second
+those that still hold several components are searched in pairs of blocks.
 
 Cases: letters A-Z count as small. A text of one to four words has one shingle, its whole sequence. A null text, an empty one
 and one without words has no shingle, is linked with nothing and is its own component. Documents that repeat are one
@@ -37,7 +38,7 @@ from provenant.llm.components import components
 from provenant.plans.session import stored
 
 SHINGLE, SHARE, BASE = 5, 80, 100
-FREQUENT, BLOCK, LEAF, GROUP = 400_000, 2048, 16, 1000
+FREQUENT, BLOCK, LEAF, GROUP = 400_000, 256, 16, 128
 #: Entries of a worker's table of words, and tokens that are counted at a time for frequency.
 TABLE, CHUNK = 250_000, 2_000_000
 #: Bits of the filter of candidate documents; a full filter only ships more sets.
@@ -377,13 +378,22 @@ def _candidates(lists: DataFrame, classes: DataFrame, roots: DataFrame | None, s
         rows = lists.join(roots, lists["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
         mixed_lists = rows.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("list")
         rows = rows.join(mixed_lists, "list")
-    # Blocks of a long list meet in pairs; a block with itself has no sides.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
-        F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
-    rows = rows.select("class", "root", "list", F.explode(meets).alias("m"))
-    rows = rows.select("class", "root", F.xxhash64("list", "m.i", "m.j").alias("group"), F.col("m.side").cast("int").alias("side"))
+    seat = lambda i, j, side: [F.xxhash64("list", i, j).alias("group"), side.cast("int").alias("side")]
+    if spanning:
+        # Each block of a long list by itself, and the least classes of all blocks together: rows do not multiply.
+        rows = rows.withColumn("block", own)
+        leaders = rows.filter(F.col("size") > BLOCK).groupBy("list", "size", "block").agg(F.min("class").alias("class")).withColumn("root", F.col("class"))
+        part = F.pmod(F.xxhash64("class"), F.ceil(blocks / BLOCK).cast("int")).cast("int")
+        rows = rows.select("class", "root", *seat(F.col("block"), F.col("block"), F.lit(0))).union(
+            leaders.select("class", "root", *seat(F.lit(-1), part, F.lit(0))))
+    else:
+        # Blocks meet in pairs; a block with itself has no sides.
+        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
+            F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
+        rows = rows.select("class", "root", "list", F.explode(meets).alias("m")).select(
+            "class", "root", *seat(F.col("m.i"), F.col("m.j"), F.col("m.side")))
     rows = rows.join(classes.select("class", "n", "bitmap"), "class")
     rows = rows.repartition("group").sortWithinPartitions("group").select("group", "class", "root", "side", "n", "bitmap")
     return rows.mapInArrow(_searcher(spanning), "a bigint, b bigint").distinct()
