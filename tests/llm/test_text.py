@@ -235,3 +235,19 @@ def test_no_trusted_text(spark):
     model = kneser_ney.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert model is None
     assert {r.doc_id: r.accepted for r in kneser_ney.score(docs, model).collect()} == {1: True, 2: False}
+
+
+def test_quality_model_counts_all_trusted_text(spark):
+    # Shapes repeat, so the n-grams of the many documents are few; one in ten is of a rare language with words of its own.
+    docs = spark.range(13_000).selectExpr("id as doc_id", "if(id % 10 = 0, 'rare words of ours', concat('common words ', id % 7)) as text", "if(id % 10 = 0, 'xx', 'en') as lang")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    model = kneser_ney.fit(docs, labels)
+    assert model.counted + model.held_out == 13_000 and 8_300 < model.counted < 9_000
+
+
+def test_each_language_has_its_vocabulary(spark):
+    hot = [(i, " ".join(f"hot{chr(97 + j)}" for j in range(12)), "en") for i in range(200)]
+    rare = [(200 + i, "rarea rareb rarea rareb", "xx") for i in range(12)]
+    docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string")
+    model = kneser_ney.fit(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"), kneser_ney.Settings(vocabulary=5))
+    assert {"rarea", "rareb"} < set(model.words) and len(model.words) == 7
