@@ -1,14 +1,15 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word is labelled with a language, in the context of its neighbours, so that text that switches between languages is
-read word by word. A word's features are its affixes, its character n-grams, its membership in each language's lexicon
-of frequent words, and its shape; they are hashed into one table of weights. Transitions between the labels of neighbouring
+read word by word. A word's features are its affixes of one to four letters, all its character bigrams and trigrams, its
+membership in each language's lexicon of frequent words, and its shape; they are hashed into one table of weights, and
+the weights of all features of a word are added up, however many it has. Transitions between the labels of neighbouring
 words are learned with them. Training maximises the likelihood of spans of known language that are
 spliced into switching sequences, by the forward-backward algorithm and adaptive gradient steps. A document's
 language is the label with the largest sum of word posteriors, each weighted by the letters of its word; its score is
 that label's share.
 
-The model is fitted on a bounded sample of documents; documents are scored in Arrow batches where they lie. Sequences
+The model is fitted on a bounded sample of documents, and of windows drawn from anywhere in each; documents are scored in Arrow batches where they lie. Sequences
 of a batch are walked together, longest first, one matrix step per word position.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without training documents all are. Words without a
@@ -22,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,16 @@ from provenant.llm.base import SPACES
 
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
-#: Feature places of a word: its hashed features, padded with the empty feature 0.
-PLACES = 16
 #: Entries of a worker's table of words.
 TABLE = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Training documents per language, at most about so many, and words taken of each.
+    #: Training documents per language, at most about so many, and words taken of each, in windows from all of its text.
     docs_per_language: int = 250
     words_per_doc: int = 400
+    window: int = 40
     hash_bits: int = 16
     lexicon: int = 300
     epochs: int = 12
@@ -83,20 +84,27 @@ def letters_of(word: str) -> str:
 
 
 def features(letters: str, lexicon: dict[str, int], place: Places) -> list[int]:
-    """Places of a word's features, padded. ``lexicon`` gives a bit mask of the languages whose frequent words it is among."""
+    """Places of a word's features. ``lexicon`` gives a bit mask of the languages whose frequent words it is among."""
     if not letters:
-        return [place["none"]] + [0] * (PLACES - 1)
+        return [place["none"]]
     padded = f"^{letters}$"
     names = [f"w{letters}", f"l{lexicon.get(letters, 0)}", "a" if letters.isascii() else "u"]
-    for k in (1, 3):
+    for k in range(1, min(4, len(letters)) + 1):
         names += (f"p{letters[:k]}", f"s{letters[-k:]}")
-    grams = [padded[i:i + 3] for i in range(len(padded) - 2)]
-    # Words with more n-grams than places keep an even spread of them.
-    room = PLACES - len(names)
-    if len(grams) > room:
-        grams = [grams[i * len(grams) // room] for i in range(room)]
-    own = list({place[n]: 0 for n in (*names, *grams)})
-    return own + [0] * (PLACES - len(own))
+    for k in (2, 3):
+        names += (padded[i:i + k] for i in range(len(padded) - k + 1))
+    return list({place[n]: 0 for n in names})
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All places one after the other, and how many each word has."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
+
+
+def _added(weights: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of each word's weights; every word has a feature."""
+    return np.add.reduceat(weights[flat], np.cumsum(lengths) - lengths, axis=0)
 
 
 class Words:
@@ -130,8 +138,7 @@ class Words:
     def emissions(self) -> np.ndarray:
         """Scores of all words met so far."""
         if self.new:
-            added = self.model.weights[np.array(self.new, np.int64)].sum(axis=1)
-            self.scores = np.concatenate((self.scores, added))
+            self.scores = np.concatenate((self.scores, _added(self.model.weights, *_flat(self.new))))
             self.new = []
         return self.scores
 
@@ -211,7 +218,7 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
     if not languages:
         return None
     index = {lang: i for i, lang in enumerate(languages)}
-    split = [(index[lang], text.split()[:settings.words_per_doc]) for lang, text in texts]
+    split = [(index[lang], text.split()) for lang, text in texts]
     counts = [Counter() for _ in languages]
     for label, words in split:
         counts[label].update(map(letters_of, words))
@@ -237,7 +244,7 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
             rows.append(table[w])
         if rows:
             docs.append((label, np.array(rows)))
-    where = np.array(places, np.int64).reshape(-1, PLACES)
+    where = [np.array(x, np.int64) for x in places]
     rng = np.random.default_rng(settings.seed)
     squares = [np.full(x.shape, 1e-6) for x in (model.weights, model.transitions, model.starts)]
     for _ in range(settings.epochs):
@@ -247,7 +254,8 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
             grid, active = _padded([w for w, _ in batch])
             truth, _ = _padded([y for _, y in batch])
             rows, inverse = np.unique(grid, return_inverse=True)
-            emission = model.weights[where[rows]].sum(axis=1)[inverse.reshape(grid.shape)]
+            flat, lengths = np.concatenate([where[r] for r in rows]), np.array([len(where[r]) for r in rows])
+            emission = _added(model.weights, flat, lengths)[inverse.reshape(grid.shape)]
             p, expected = posteriors(emission, active, model.transitions, model.starts, pairs=True)
             live = np.arange(grid.shape[1])[None, :] < active[:, None]
             error = -p
@@ -255,9 +263,7 @@ def train(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
             error[~live] = 0.0
             n = live.sum()
             by_word = np.stack([np.bincount(inverse.ravel(), error[:, :, k].ravel(), len(rows)) for k in range(labels)], axis=1)
-            flat = where[rows].ravel()
-            gradient = np.stack([np.bincount(flat, np.repeat(by_word[:, k], PLACES), size) for k in range(labels)], axis=1) / n
-            gradient[0] = 0.0
+            gradient = np.stack([np.bincount(flat, np.repeat(by_word[:, k], lengths), size) for k in range(labels)], axis=1) / n
             seen = np.zeros((labels, labels))
             both = live[1:]
             np.add.at(seen, (truth[:-1][both], truth[1:][both]), 1.0)
@@ -282,8 +288,12 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, settings.docs_per_language / n))])
-    head = F.array_join(F.slice(F.split(F.trim("text"), SPACES), 1, settings.words_per_doc), " ")
-    sample = rows.filter(draw < share[F.col("lang")]).select("lang", head.alias("text"), draw.alias("draw"), "doc_id").collect()
+    drawn = rows.filter(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), "doc_id", F.split(F.trim("text"), SPACES).alias("words"))
+    windows = F.sequence(F.lit(0), F.ceil(F.size("words") / settings.window).cast("int") - 1)
+    order = F.array_sort(F.transform(windows, lambda i: F.struct(F.xxhash64("doc_id", F.lit("window"), i).alias("h"), i.alias("i"))))
+    some = F.array_sort(F.transform(F.slice(order, 1, max(1, settings.words_per_doc // settings.window)), lambda x: x["i"]))
+    spans = F.flatten(F.transform(some, lambda i: F.slice("words", i * settings.window + 1, settings.window)))
+    sample = drawn.select("lang", F.array_join(spans, " ").alias("text"), "draw", "doc_id").collect()
     sample.sort(key=lambda r: (r["draw"], str(r["doc_id"]), r["text"]))
     return train([(r["lang"], r["text"]) for r in sample], settings)
 

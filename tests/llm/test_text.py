@@ -251,3 +251,18 @@ def test_each_language_has_its_vocabulary(spark):
     docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string")
     model = kneser_ney.fit(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"), kneser_ney.Settings(vocabulary=5))
     assert {"rarea", "rareb"} < set(model.words) and len(model.words) == 7
+
+
+def test_all_parts_of_a_word_count():
+    place = crf.Places(16)
+    found = crf.features("abcdefghijklmnopqrstuvwxyz", {}, place)
+    assert {place[n] for n in ("de", "ab", "cde", "xyz", "pab", "pabcd", "syz", "swxyz", "lmn")} <= set(found)
+    # A text without spaces is one word; its end counts too.
+    assert place["zz!"[:2]] in crf.features("あいう" * 50 + "zz", {}, place)
+
+
+def test_languages_are_learned_from_whole_texts(spark):
+    rows = [(i, "filler " * 800 + ("late " if i % 2 else "tard ") * 800, "en" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.fit(docs, crf.Settings(epochs=1))
+    assert {"late", "tard"} <= set(model.lexicon)
