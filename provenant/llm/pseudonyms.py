@@ -3,7 +3,9 @@
 A text is cut at its candidates (one pattern of alternatives); each candidate that passes the validation of its kind is
 replaced, all else stays as it is, character for character. A value is read as a row of symbols, each with its own
 radix: digits 10, letters 26 per case, hexadecimal digits 16, the parts of an address or date their ranges, punctuation
-1. The left and right halves are added to in turn, modulo the radix, with a keyed hash of the other half. That is a
+1. The left and right halves are added to in turn, modulo the radix, with a keyed hash of the other half. The halves are
+cut in the middle of the row; for e-mail addresses, and where that leaves one half without a symbol that can change, in
+the middle of the symbols that can. A single such symbol first goes through a keyed order of its values. That is a
 permutation of the values of one format, so equal values stay equal across all documents and different ones different.
 Check digits are computed anew.
 
@@ -122,16 +124,25 @@ def _steps(key: str) -> list[str]:
         "when 'hex' then transform(e.cs, c -> cast(conv(c, 16, 10) as int)) "
         f"else zip_with(e.cs, e.r, (c, r) -> if(r = 1, 0, {letter})) end))",
     ]
+    # p: places of the symbols that can change; h: where the halves are cut.
+    steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'v', e.v, 'p', "
+                 "filter(transform(e.r, (x, i) -> if(x > 1, i, -1)), i -> i >= 0)))")
+    middle = "size(e.v) div 2"
+    lone = (f"array_sort(transform(sequence(0, e.r[e.p[0]] - 1), y -> named_struct('h', sha2(concat_ws('|', {_quoted(key)}, e.kind, "
+            "array_join(e.r, ','), 'lone', y), 256), 'y', y)))[x].y")
+    steps.append(f"transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'h', cast(case when size(e.p) < 2 then {middle} "
+                 f"when e.kind <> 'email' and e.p[0] < {middle} and element_at(e.p, -1) >= {middle} then {middle} else e.p[cast(size(e.p) div 2 as int)] end as int), "
+                 f"'v', if(size(e.p) = 1, transform(e.v, (x, i) -> if(i = e.p[0], {lone}, x)), e.v)))")
     for k in range(ROUNDS):
         left = k % 2 == 0
-        half = "size(e.v) div 2"
+        half = "e.h"
         other = f"slice(e.v, cast({half} as int) + 1, size(e.v))" if left else f"slice(e.v, 1, cast({half} as int))"
         changes = f"i < {half}" if left else f"i >= {half}"
         # Formats are apart: the kind and the radices take part in the hash.
-        steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'v', e.v, 'g', if(e.kind is null, '', "
+        steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'h', e.h, 'v', e.v, 'g', if(e.kind is null, '', "
                      f"sha2(concat_ws('|', {_quoted(key)}, e.kind, array_join(e.r, ','), '{k}', array_join({other}, ',')), 256))))")
         drawn = "cast(conv(substring(sha2(concat(e.g, ':', i), 256), 1, 12), 16, 10) as bigint)"
-        steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'v', transform(e.v, (x, i) -> "
+        steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'h', e.h, 'v', transform(e.v, (x, i) -> "
                      f"if({changes} and e.r[i] > 1, cast((x + {drawn}) % e.r[i] as int), x))))")
     symbol = ("case when e.kind = 'hex' then if(e.m = lower(e.m), lower(hex(e.v[p])), hex(e.v[p])) when e.r[p] = 1 then c "
               "when e.r[p] = 10 then char(48 + e.v[p]) when c rlike '[a-z]' then char(97 + e.v[p]) else char(65 + e.v[p]) end")

@@ -183,3 +183,14 @@ def test_pseudonyms_are_a_permutation(spark):
     docs = spark.createDataFrame([(i, f"id {i:03d}-{i % 99 + 1:02d}-0001") for i in range(1, 600)], SCHEMA)
     texts = [r.text for r in pseudonyms.pseudonymize(docs, "k").collect()]
     assert len(set(texts)) == 599 and all(re.fullmatch(r"id \d{3}-\d{2}-\d{4}", t) for t in texts)
+
+
+def test_addresses_of_one_shape_do_not_share_a_shift(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs, lone = [a + b for a in letters for b in letters], list(letters)
+    rows = [(i, f"{v}@mail.example.com") for i, v in enumerate(pairs + lone)]
+    got = {r.doc_id: r.text.split("@")[0] for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    for values, at in ((pairs, 0), (lone, len(pairs))):
+        new = [got[at + i] for i in range(len(values))]
+        assert len(set(new)) == len(values)
+        assert len({tuple((ord(y) - ord(x)) % 26 for x, y in zip(a, b)) for a, b in zip(values, new)}) > 5
