@@ -4,8 +4,8 @@ Stages, in order: reject text of low quality, keep one document of each group of
 data by pseudonyms, mix the sources to their weights, pack the tokens. All but the last return the columns of
 ``documents``.
 
-Rows with the same doc_id: the second stage keeps one row per id; the others keep them apart. Rows without an id are
-treated as sharing one.
+Rows with the same doc_id, or without one, are kept apart; the second stage goes by their texts. The fourth treats rows
+without an id as sharing one.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; documents without words are all kept."""
-    linked = signature_tree.link(docs)
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    """Of each group of linked texts one row, that with the least id; rows without words are all kept."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+    # Rows of equal sets are reduced to one in the map tasks.
+    one = docs.filter(worded).withColumn("_class", signature_tree.class_column("text")).groupBy("_class").agg(F.min_by(row, order).alias("_first"))
+    chosen = signature_tree.chosen_classes(docs).withColumnRenamed("class", "_class")
+    return one.join(chosen, "_class", "left_semi").select("_first.*").union(docs.filter(~worded))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

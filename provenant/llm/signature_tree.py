@@ -30,9 +30,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from provenant.llm.components import components
 from provenant.plans.session import stored
@@ -445,8 +446,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(seated.select("group", "parent", "class", "text").mapInArrow(_tested, "a bigint, b bigint").distinct())
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_shingles, and component_id, the least id that links reach."""
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Per document its id, class and set size; and the root of each class that is linked with others."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(_sets(rows, _frequent(rows)))
     classes = sets.filter("bitmap is not null").select("class", "n", "bitmap").dropDuplicates(["class"])
@@ -459,6 +460,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     if not more.isEmpty():
         links = _verified(more, sets, rows)
         roots = stored(components(first.union(links)))
+    return sets, roots
+
+
+def class_column(text: str) -> Column:
+    """The class of a text's set, also of the empty one."""
+    @F.pandas_udf("bigint")
+    def classes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words()
+        for batch in batches:
+            yield pd.Series([_class_of(shingles(x, words)) for x in batch], dtype="int64")
+
+    return classes(text)
+
+
+def chosen_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(class) of each component the one that has its least id."""
+    sets, roots = _linked(docs, id_col, text_col)
+    least = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    named = least.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("least")).select("least.class")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_shingles, and component_id, the least id that links reach."""
+    sets, roots = _linked(docs, id_col, text_col)
     named = sets.select("doc_id", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -147,3 +147,15 @@ def test_pipeline(spark, folder):
         assert at <= 2048
     ids = {p.doc_id for p in pieces}
     assert not ids & {401, 402, *range(300, 320)} and len(ids) > 50
+
+
+def test_rows_of_one_id_are_not_duplicates(spark):
+    random.seed(6)
+    texts = [" ".join(f"w{random.randint(0, 10**6)}" for _ in range(40)) for _ in range(8)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[0] + " more"), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[1]),
+            (3, texts[4]), (3, texts[4]), (3, texts[5]), (3, None), (None, " \n"), (4, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n_chars int").repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, texts[0]), (2, texts[1]), (-1, texts[2]), (-1, texts[3]), (3, texts[4]), (3, texts[5]), (3, ""), (-1, " \n"), (4, "")])
