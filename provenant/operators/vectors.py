@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from provenant.plans.session import stored
 from provenant.plans.skew import top_per_group
 from provenant.settings import Settings
 
@@ -191,9 +192,9 @@ def _grid_topn(queries: DataFrame, chunks: DataFrame, n: int, schema: str, setti
 def approximate_topn(queries: DataFrame, chunks: DataFrame, n: int, distance: float = 1.35,
                      bucket_length: float = 1.0, tables: int = 6, seed: int = 42,
                      settings: Settings = Settings()) -> DataFrame:
-    """As vector_topn, over candidates from locality-sensitive hashing only.
+    """As vector_topn, over candidates from locality-sensitive hashing; queries with fewer than n are searched exactly.
 
-    On unit vectors the squared distance is 2 - 2 cos, so ``distance`` bounds the cosine.
+    On unit vectors the squared distance is 2 - 2 cos, so ``distance`` bounds the cosine of candidates.
     Scope columns of both sides are applied to the candidates.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
@@ -211,7 +212,10 @@ def approximate_topn(queries: DataFrame, chunks: DataFrame, n: int, distance: fl
     score = F.round(1 - F.col("d") * F.col("d") / 2, SCORE_DIGITS)
     local = pairs.select(F.col("datasetA.query_id").alias("query_id"),
                          F.col("datasetB.chunk_id").alias("chunk_id"), score.alias("score"))
-    return top_per_group(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], n)
+    found = stored(top_per_group(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], n))
+    whole = found.filter(F.col("rank") == n).select("query_id")
+    rest = vector_topn(queries.join(whole, "query_id", "left_anti"), chunks, n, settings)
+    return found.join(whole, "query_id", "left_semi").unionByName(rest)
 
 
 def scoped(pairs: DataFrame, query, chunk, query_columns: list[str], chunk_columns: list[str]) -> DataFrame:

@@ -168,3 +168,16 @@ def test_as_of_bounds(spark):
     ids = lambda day, **kw: sorted(r.id for r in retrieval.as_of(rows, F.lit(day).cast("date"), **kw).collect())
     assert ids("2024-01-31") == ["1"] and ids("2024-02-01") == ["1", "2"] and ids("2023-12-31") == []
     assert ids("2024-02-01", latest_only=["p"]) == ["2"]
+
+
+def test_approximate_search_fills_up_and_finds_nine_in_ten(spark):
+    rng = np.random.default_rng(8)
+    chunk_rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(400, 32)))]
+    # The last question points away from most chunks.
+    asked = [(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(12, 32)))] + [("far", (-np.mean([v for _, v in chunk_rows], axis=0)).tolist())]
+    chunks = spark.createDataFrame(chunk_rows, "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    for distance in (1.35, 0.5):
+        got = {(r.query_id, r.chunk_id) for r in vectors.approximate_topn(queries, chunks, 10, distance).collect()}
+        want = {(r.query_id, r.chunk_id) for r in vectors.vector_topn(queries, chunks, 10).collect()}
+        assert len(got) == len(want) == 130 and len(got & want) >= 0.9 * len(want)
