@@ -4,9 +4,11 @@ A page is read into its text leaves, each with its root-to-leaf path of tags. Pe
 punctuation marks of all its leaves are added up and divided by the number of leaves: running text has long leaves with
 punctuation on few paths, menus have many short leaves without. The two ratios are fused, smoothed along the page
 and thresholded by their spread. The selected leaves vote for the container that holds them (an article or main
-element, else the lowest element with most of the selected text), and all of the container is the main text, so
+element, else the lowest element with all of the selected text), and all of the container is the main text, so
 that short headings and last lines of the article are not lost. Elements that are never part of an article (menus, page
-headers and footers, sidebars, notices, adverts, forms, reader comments, scripts) neither vote nor count.
+headers and footers, sidebars, notices, adverts, forms, reader comments, scripts) neither vote nor count. A form, or an
+element that its class or id makes one of them, is taken for a layout around the page instead if it holds a main element,
+most of the page's text, or an article with half of it; reader comments only if they hold a main element or all text.
 
 Each page is one row of one Arrow batch; nothing is shuffled.
 
@@ -49,7 +51,12 @@ ASIDE_WORDS = frozenset((
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments "
     "commentlist cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
     "notification pagination pager popup related replies reply respond share sharing sidebar skip social subscribe toolbar widget").split())
+#: Of these, what may hold more text than the article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: A form, or an element with such a word, with this share of the page's text is its layout.
+LAYOUT = 0.75
 _WORDS = re.compile(r"[a-z]+")
+KEPT, DOUBTFUL, COMMENTS, ASIDE = range(4)
 
 
 @dataclass
@@ -58,6 +65,7 @@ class Element:
     parent: Element | None
     aside: bool
     path: str
+    own: int = 0
     leaves: list[int] = field(default_factory=list)
     votes: float = 0.0
 
@@ -69,23 +77,58 @@ class Leaf:
     block: int
 
 
-def _is_aside(tag: str, markup: str, parent: Element) -> bool:
-    if tag in ASIDE_TAGS:
-        return True
+def _aside_kind(tag: str, markup: str, parent: Element) -> int:
+    kind = DOUBTFUL if tag == "form" else KEPT
+    if tag in ASIDE_TAGS and kind == KEPT:
+        return ASIDE
     inside = _within(parent, "article", "main")
     if tag == "header" and not inside:
-        return True
+        return ASIDE
     for name, a, b, c in _ATTRIBUTE.findall(markup):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return ASIDE
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and ASIDE_WORDS & set(_WORDS.findall(value)):
+            return ASIDE
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (words := ASIDE_WORDS & set(_WORDS.findall(value))):
             # A header of the article itself holds its title.
-            if not (inside and ASIDE_WORDS & set(_WORDS.findall(value)) == {"header"}):
-                return True
-    return False
+            if not (inside and words == {"header"}):
+                kind = max(kind, COMMENTS if words & COMMENT_WORDS else DOUBTFUL)
+    return kind
+
+
+def _settle(elements: list[Element], leaves: list[Leaf]) -> None:
+    """Which elements are aside, once it is known what they hold; parents come before children."""
+    for element in elements:
+        element.aside = element.parent.aside or element.own == ASIDE
+    if any(e.own in (DOUBTFUL, COMMENTS) for e in elements):
+        held: dict[int, int] = defaultdict(int)
+        total = 0
+        for leaf in leaves:
+            size, element = len(leaf.text.strip()), leaf.element
+            if not element.aside:
+                total += size
+                while element is not None:
+                    held[id(element)] += size
+                    element = element.parent
+        marked: set[int] = set()
+        articles: dict[int, int] = defaultdict(int)
+        for element in reversed(elements):
+            if element.tag in ("article", "main") and not element.aside and held[id(element)]:
+                up = element.parent
+                while up is not None:
+                    if element.tag == "main":
+                        marked.add(id(up))
+                    articles[id(up)] = max(articles[id(up)], held[id(element)])
+                    up = up.parent
+        for element in elements:
+            if element.own in (DOUBTFUL, COMMENTS):
+                size = held[id(element)]
+                layout = id(element) in marked or size and size == total or element.own == DOUBTFUL and (
+                    size >= LAYOUT * total or 2 * articles[id(element)] >= total) and size
+                element.aside = element.parent.aside or not layout
+            else:
+                element.aside = element.parent.aside or element.own == ASIDE
 
 
 def _within(element: Element | None, *tags: str) -> bool:
@@ -100,6 +143,7 @@ def leaves_of(page: str) -> list[Leaf]:
     """The visible text leaves in page order, with their elements and blocks."""
     root = Element("", None, False, "")
     stack, out, block, at, n = [root], [], 0, 0, len(page)
+    elements: list[Element] = []
 
     def text(part: str) -> None:
         if part and not part.isspace() or part and out and out[-1].block == block:
@@ -144,7 +188,9 @@ def leaves_of(page: str) -> list[Leaf]:
                 if stack[i].tag in CONTAINERS:
                     break
         parent = stack[-1]
-        stack.append(Element(tag, parent, parent.aside or _is_aside(tag, markup, parent), f"{parent.path}/{tag}"))
+        stack.append(Element(tag, parent, False, f"{parent.path}/{tag}", _aside_kind(tag, markup, parent)))
+        elements.append(stack[-1])
+    _settle(elements, out)
     return out
 
 
@@ -194,7 +240,7 @@ def _inside(element: Element | None, container: Element) -> bool:
 
 
 def _container(leaves: list[Leaf], chosen: list[int]) -> Element:
-    """The article or main element with most of the chosen text, else the lowest element with nearly all of it."""
+    """The article or main element with most of the chosen text, else the lowest element with all of it."""
     total, weight, order = 0, {}, {}
     for i in chosen:
         size, element = len(leaves[i].text.strip()), leaves[i].element
@@ -207,7 +253,7 @@ def _container(leaves: list[Leaf], chosen: list[int]) -> Element:
     if marked:
         best = max(w for w, _ in marked)
         return next(e for w, e in marked if w == best)
-    enough = [(e.path.count("/"), e) for k, e in order.items() if weight[k] >= 0.9 * total and e.tag not in ("p", "span", "b", "i", "a")]
+    enough = [(e.path.count("/"), e) for k, e in order.items() if weight[k] == total and e.tag not in ("p", "span", "b", "i", "a")]
     return max(enough, key=lambda x: x[0])[1]
 
 

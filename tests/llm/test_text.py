@@ -266,3 +266,20 @@ def test_languages_are_learned_from_whole_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = crf.fit(docs, crf.Settings(epochs=1))
     assert {"late", "tard"} <= set(model.lexicon)
+
+
+def test_layouts_around_the_page_are_read():
+    body = "<p>" + "First, a long text with words. " * 8 + "</p><p>" + "Second, it is long as well. " * 8 + "</p>"
+    side = "<div class=sidebar>More, here.</div>"
+    want = tag_paths.main_text(f"<body><div>{body}</div></body>")
+    assert want.count("First") == want.count("Second") == 8
+    for shell in ("<div class='layout has-sidebar'>{}</div>", "<div id=page class=no-sidebar>{}</div>", "<div class=menu-open>{}</div>", "<form>{}</form>"):
+        assert tag_paths.main_text("<body>" + shell.format(f"<div>{body}</div>{side}") + "</body>") == want
+    # An article with short text beside long comments keeps to itself.
+    assert tag_paths.main_text(f"<body><div>{body}</div><div id=comments>{body * 6}</div></body>") == want
+
+
+def test_all_chosen_leaves_are_kept():
+    a, b = "<p>" + "Some long text, with words. " * 30 + "</p>", "<p>" + "Other text, it is long. " * 30 + "</p>"
+    text = tag_paths.main_text(f"<body><div id=a>{a * 10}</div><div id=b>{b}</div></body>")
+    assert text.count("Some") == 300 and text.count("Other") == 30
