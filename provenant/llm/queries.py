@@ -91,8 +91,8 @@ def op12_pivot_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def op13_merge_transducer(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = transducer.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    return transducer.decode(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = transducer.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

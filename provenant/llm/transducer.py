@@ -21,10 +21,10 @@ repeat an id are separate; only named columns are read. An empty table gives an
 from __future__ import annotations
 
 import base64
+import string
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import takewhile
-from struct import pack
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,15 @@ from pyspark.sql import DataFrame, functions as F
 from provenant.llm.segments import parts
 
 #: Entries of a worker's tables: recurring parts of texts, pre-tokens, and moves between subsets.
-PARTS, PIECES, MOVES = 400_000, 300_000, 500_000
+PARTS, PIECES, MOVES = 400_000, 250_000, 700_000
 #: Longer parts are not kept, so that a table's bytes are bounded too.
 KEPT_CHARACTERS = 64
 #: Ids decoded at a time.
 BLOCK = 8192
 NEVER = 1 << 62
+#: A move's run of tokens; a table of moves has fewer.
+RUN_BITS = 24
+RUN_MASK = (1 << RUN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,11 +121,32 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        #: States of a subset: tokens not yet written, last token, place in the trie. The last one stands between two tokens.
-        self.subsets: list[tuple[tuple[tuple[int, ...], int, int], ...]] = [(((), -1, 0),)]
+        #: States of a subset as numbers: how many tokens wait, these, the last token, the place in the trie; the state between
+        #: two tokens comes last.
+        self.subsets: list[bytes] = [pack("<3i", 0, -1, 0)]
         self.number = {self.subsets[0]: 0}
-        self.rest: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Runs of tokens that moves write; a move is the next subset and the number of such a run.
+        self.runs: list[tuple[int, ...]] = [()]
+        self.run_number: dict[tuple[int, ...], int] = {(): 0}
+        #: What is left to write where a text ends, by subset.
+        self.rest = [0]
+        self.moves: dict[int, int] = {}
+
+    def run(self, tokens: tuple[int, ...]) -> int:
+        number = self.run_number.get(tokens)
+        if number is None:
+            number = self.run_number[tokens] = len(self.runs)
+            self.runs.append(tokens)
+        return number
+
+    def states(self, subset: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """Waiting tokens, last token and place of each state."""
+        packed, at = self.subsets[subset], 0
+        numbers = unpack(f"<{len(packed) // 4}i", packed)
+        while at < len(numbers):
+            end = at + 1 + numbers[at]
+            yield numbers[at + 1:end], numbers[end], numbers[end + 1]
+            at = end + 2
 
     def may_follow(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -133,11 +157,11 @@ class Transducer:
             known = self.pairs[key] = self.merges.fits(a, b)
         return known
 
-    def move(self, subset: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The subset after a byte, and the tokens written."""
+    def move(self, subset: int, byte: int) -> int:
+        """The subset after a byte and the run of tokens written."""
         states, between = [], None
         child, inner, token = self.child, self.inner, self.token
-        for waiting, last, node in self.subsets[subset]:
+        for waiting, last, node in self.states(subset):
             after = child.get(node << 8 | byte)
             if after is None:
                 continue
@@ -146,17 +170,19 @@ class Transducer:
             if between is None and (made := token[after]) >= 0 and (last < 0 or self.may_follow(last, made)):
                 between = ((*waiting, made), made, 0)
         states.append(between)
-        agreed = len(between[0])
+        written = between[0]
         for waiting, _, _ in states:
-            agreed = min(agreed, len(waiting), sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(waiting, between[0]))))
-        written = between[0][:agreed]
-        key = tuple((waiting[agreed:], last, node) for waiting, last, node in states) if agreed else tuple(states)
+            while written and written != waiting[:len(written)]:
+                written = written[:-1]
+        agreed = len(written)
+        numbers = [x for waiting, last, node in states for x in (len(waiting) - agreed, *waiting[agreed:], last, node)]
+        key = pack(f"<{len(numbers)}i", *numbers)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.subsets)
             self.subsets.append(key)
-            self.rest.append(key[-1][0])
-        result = self.moves[subset << 8 | byte] = (number, written)
+            self.rest.append(self.run(between[0][agreed:]))
+        result = self.moves[subset << 8 | byte] = number << RUN_BITS | self.run(written)
         return result
 
     def encode(self, piece: bytes) -> list[int]:
@@ -165,13 +191,15 @@ class Transducer:
             return [self.merges.unmade[piece]]
         if len(self.moves) > self.most_moves:
             self.clear()
-        subset, out, moves = 0, [], self.moves
+        subset, out, moves, runs = 0, [], self.moves, self.runs
         for byte in piece:
-            found = moves.get(subset << 8 | byte) or self.move(subset, byte)
-            subset = found[0]
-            if found[1]:
-                out += found[1]
-        out += self.rest[subset]
+            found = moves.get(subset << 8 | byte)
+            if found is None:
+                found = self.move(subset, byte)
+            if found & RUN_MASK:
+                out += runs[found & RUN_MASK]
+            subset = found >> RUN_BITS
+        out += runs[self.rest[subset]]
         return out
 
 
@@ -201,6 +229,8 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.pretokens = regex.compile(pattern)
+        alphabet = " " + string.ascii_letters
+        self.letters = self.pretokens.findall(alphabet) == [alphabet]
         self.pieces = Recent(self.piece, PIECES)
         self.alone = Recent(self.part, PARTS // 8)
         self.spaced = Recent(lambda part: self.part(" " + part), PARTS)
@@ -210,6 +240,9 @@ class Encoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def part(self, part: str) -> bytes:
+        # Letters behind a space are one pre-token of most patterns.
+        if part[0] == " " and part.isascii() and part[1:].isalpha() and self.letters:
+            return self.pieces[part]
         return b"".join(map(self.pieces.__getitem__, self.pretokens.findall(part)))
 
     def encode(self, text: str) -> bytes:
@@ -308,11 +341,12 @@ def stream(path: str) -> Utf8Stream:
     return Utf8Stream(tokens)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document its number of tokens and their ids, as little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
+    """The work of a task: batches of ids and texts to batches of ids, counts and token ids."""
+    def run(batches: Batches) -> Batches:
         model = encoder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -320,17 +354,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = [model.encode(text.as_py()) for text in some.column("text")]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "n_tokens", "ids"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the bytes its ids stand for, as ``decoded``. Null ids count as none."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema if f.name != 'decoded')}, decoded binary"
-    rows = encoded.drop("decoded")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def decoding(path: str) -> Callable[[Batches], Batches]:
+    """The work of a task: batches with token ids to these with the decoded bytes."""
+    def run(batches: Batches) -> Batches:
         model = stream(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -341,5 +370,29 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     blocks = [model.feed(ids[i:i + BLOCK].tolist()) for i in range(0, len(ids), BLOCK)]
                     texts.append(b"".join([*blocks, model.close()]))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.binary())], names=[*some.schema.names, "decoded"])
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary"
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document its number of tokens and their ids, as little-endian unsigned 32-bit integers."""
+    rows, schema = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(encoding(path, pattern), schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with the bytes its ids stand for, as ``decoded``. Null ids count as none."""
+    rows = encoded.drop("decoded")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(decoding(path), f"{schema}, decoded binary")
+
 
-    return rows.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass, by one worker a core: the ids need not leave it in between."""
+    rows, schema = _texts(docs, id_col, text_col)
+    there, back = encoding(path, pattern), decoding(path)
+    return rows.mapInArrow(lambda batches: back(there(batches)), f"{schema}, decoded binary")

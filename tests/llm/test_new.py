@@ -242,5 +242,6 @@ def test_round_trip_of_documents(spark):
     got = sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in transducer.decode(encoded, RANKS).collect())
     want = [(str(i), len(ids := lib.encode_ordinary(t or "")), np.array(ids, "<u4").tobytes(), (t or "").encode()) for i, t in rows]
     assert got == sorted(want)
+    assert sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in transducer.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()) == got
     empty = transducer.encode(spark.createDataFrame([], SCHEMA), RANKS, public_tokenizers.PATTERN)
     assert transducer.decode(empty, RANKS).count() == 0
