@@ -1,9 +1,9 @@
-"""Full-text matching of a table of queries against tokenised chunks.
+"""Full-text matching of a table of queries against an inverted index of chunks.
 
 A query is one or more alternatives separated by OR; within one, all words and quoted phrases
-must occur and words after a minus must not. Matching never pairs a query with every chunk: an
-alternative meets only the postings of its rarest word, and the chunk's own token array settles
-the rest. Joins on a word are salted, because one word may be in a third of all chunks.
+must occur and words after a minus must not. An alternative meets only the blocks of postings of its rarest
+word, the best of them first; blocks whose bound cannot reach the n-th best score found there are never opened. What the
+other words need comes from their postings for the chunks met, so no chunk's own tokens are read.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provenant.functions import patterns as P
 from provenant.functions.regex import SPACE
 from provenant.functions.text import tokenize
+from provenant.operators.postings import Index, bucket_of, write_index
 from provenant.operators.vectors import scoped
+from provenant.plans.session import stored
 from provenant.plans.skew import salted_join, top_per_group
 from provenant.settings import Settings
 
@@ -55,27 +57,31 @@ def path_terms(text: Column) -> Column:
     return F.when(F.size(tokens) > 0, tokens).otherwise(F.array_distinct(tokenize(text)))
 
 
-def has_phrase(tokens: Column, phrase: Column) -> Column:
-    last = F.size(tokens) - F.size(phrase) + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.exists(starts, lambda i: F.slice(tokens, i, F.size(phrase)) == phrase)
+def _at(places: Column, term: Column) -> Column:
+    return F.coalesce(F.try_element_at(places, term), F.array().cast("array<int>"))
 
 
-def clause_matches(tokens: Column, clause: Column) -> Column:
-    return ((F.size(F.array_except(clause["terms"], tokens)) == 0)
-            & F.forall(clause["phrases"], lambda p: has_phrase(tokens, p))
-            & ~F.exists(clause["excluded"], lambda p: has_phrase(tokens, p)))
+def has_phrase(places: Column, phrase: Column) -> Column:
+    """Whether the words of a phrase stand next to each other; ``places`` maps words to their positions."""
+    rest = F.transform(phrase, lambda t, i: F.struct(t.alias("term"), i.alias("i")))
+    return F.exists(_at(places, F.element_at(phrase, 1)),
+                    lambda start: F.forall(rest, lambda x: F.array_contains(_at(places, x["term"]), start + x["i"])))
 
 
-def cover_density(tokens: Column, terms: Column) -> Column:
+def clause_matches(places: Column, clause: Column) -> Column:
+    return (F.forall(clause["terms"], lambda t: F.map_contains_key(places, t))
+            & F.forall(clause["phrases"], lambda p: has_phrase(places, p))
+            & ~F.exists(clause["excluded"], lambda p: has_phrase(places, p)))
+
+
+def cover_density(places: Column, terms: Column) -> Column:
     """Sum over minimal covers of 0.1 / (1 + noise), noise being the positions in between.
 
     The fold walks the matching positions and remembers where each term was last seen. A cover
     ends wherever the earliest of those moves on; it starts there.
     """
-    place = lambda t: F.array_position(terms, t).cast("int")
-    hits = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("at"), place(t).alias("term"))),
-                    lambda h: h["term"] > 0)
+    hits = F.array_sort(F.flatten(F.transform(terms, lambda t, i: F.transform(
+        _at(places, t), lambda at: F.struct(at.alias("at"), (i + 1).alias("term"))))))
     state = F.struct(F.transform(terms, lambda t: F.lit(-1)).alias("last"), F.lit(-1).alias("start"),
                      F.lit(0.0).alias("score"))
 
@@ -93,75 +99,142 @@ def count_density(tokens: Column, terms: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.array_contains(terms, t))) * F.lit(COVER_WEIGHT)
 
 
-def document_frequency(query_terms: DataFrame, postings: DataFrame, salts: int) -> DataFrame:
-    """(term, df) of the words that queries use; counts are summed per task before the shuffle."""
-    used = query_terms.select("term").distinct()
-    kept = salted_join(postings, used, ["term"], ["chunk_id"], salts, "left_semi")
-    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+# Scores are rounded before ranking, so that equal covers tie in whatever order they are added up.
+SCORE_DIGITS = 9
+#: Bounds are raised by more than rounding and a sum of weights can be off.
+_SLACK = 1 + 1e-8
+
 
+class ContentSearch:
+    """One table of queries against an index, in two rounds.
+
+    A chunk has at most as many covers as its rarest word has occurrences, times the words of the alternative: two covers that
+    share an occurrence start at different words. So a block's head bounds the score of all its chunks. The first round opens
+    the ``first_blocks`` best blocks of each query; the second those that can still reach its n-th best score.
+    """
 
-def content_hits(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
+    def __init__(self, queries: DataFrame, index: Index, n: int, settings: Settings):
+        self.n, self.scope = n, index.columns()
+        own = [c for c in _QUERY_SCOPE if c in queries.columns]
+        self.asked = stored(queries.select("query_id", *own, clauses(F.col("query_text")).alias("clauses")))
+        words = self.asked.select("query_id", F.posexplode("clauses").alias("clause", "c"))
+        excluded = words.select("query_id", F.explode(F.flatten("c.excluded")).alias("term"))
+        words = words.select("query_id", "clause", F.size("c.terms").alias("n_terms"), F.explode("c.terms").alias("term"))
+        self.needed = words.select("query_id", "term").union(excluded).distinct()
+        # At most as many numbers as there are buckets.
+        buckets = [r.b for r in self.needed.select(bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()]
+        blocks, terms = index.of(buckets)
+        self.blocks = blocks.join(self.needed.select("term").distinct(), "term", "left_semi")
+        weight = F.lit(COVER_WEIGHT) * F.col("n_terms") * _SLACK
+        # An alternative with a word that no chunk has cannot match.
+        pivots = words.join(terms.drop("bucket"), "term").groupBy("query_id", "clause", "n_terms").agg(
+            F.min_by("term", F.struct("df", "term")).alias("term"), F.min("most").alias("least"),
+            F.count(F.lit(1)).alias("known")).filter("known = n_terms").withColumn("highest", weight * F.col("least"))
+        others = pivots.groupBy("query_id").agg(F.sum("highest").alias("all"))
+        self.key = ["term", "segment", "block", *(["language"] if "language" in self.scope else [])]
+        spoken = self.asked.select("query_id", *[c for c in ("language",) if c in self.key and c in own])
+        heads = self.blocks.select(*self.key, "n", F.col("most").alias("_most"))
+        on = ["term"] + [c for c in spoken.columns if c == "language"]
+        self.heads = stored(heads.join(pivots.join(others, "query_id").join(spoken, "query_id"), on).select(
+            "query_id", "clause", *self.key, "n", (weight * F.least("least", "_most") + F.col("all") - F.col("highest")).alias("bound")))
+        # By bound alone: which of equal blocks come first does not matter to the result.
+        best = top_per_group(self.heads, ["query_id"], [F.desc("bound"), *self.key, F.asc("clause")], settings.first_blocks, "_n")
+        self.first = stored(best.drop("_n"))
+
+    def candidates(self, heads: DataFrame) -> DataFrame:
+        """(query_id, chunk_id) of the postings of some blocks, within the query's scope."""
+        met = heads.select("query_id", *self.key).distinct().join(self.blocks.select(*self.key, "postings"), self.key)
+        own = [c for c in _QUERY_SCOPE if c in self.asked.columns]
+        met = met.select("query_id", *[c for c in self.key if c == "language"], F.explode("postings").alias("p")).join(
+            self.asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in own]), "query_id")
+        chunk = lambda c: F.col("language") if c == "language" else F.col(f"p.{c}")
+        return scoped(met, lambda c: F.col(f"q_{c}"), chunk, self.asked.columns, self.scope).select("query_id", "p.chunk_id").distinct()
+
+    def scored(self, heads: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of the matching chunks among some blocks."""
+        pairs = stored(self.candidates(heads))
+        met = pairs.select("chunk_id").distinct()
+        found = self.blocks.select("term", F.explode("postings").alias("p")).select("term", "p.chunk_id", "p.at").join(met, "chunk_id", "left_semi")
+        places = pairs.join(self.needed, "query_id").join(found, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("places"))
+        rows = places.join(self.asked.select("query_id", "clauses"), "query_id")
+        matched = F.transform("clauses", lambda c: clause_matches(F.col("places"), c))
+        score = F.aggregate(
+            F.zip_with("clauses", "matched", lambda c, m: F.when(m, cover_density(F.col("places"), c["terms"])).otherwise(0.0)),
+            F.lit(0.0), lambda a, x: a + x)
+        return rows.withColumn("matched", matched).filter(F.array_contains("matched", True)).select("query_id", "chunk_id", F.round(score, SCORE_DIGITS).alias("score"))
+
+    def _best(self, rows: DataFrame) -> DataFrame:
+        return top_per_group(rows, ["query_id"], [F.desc("score"), F.asc("chunk_id")], self.n)
+
+    def hits(self) -> DataFrame:
+        """(query_id, chunk_id, score, rank)."""
+        early = stored(self._best(self.scored(self.first)))
+        late = self.scored(self.opened(early))
+        together = early.drop("rank").union(late).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+        return self._best(together)
+
+    def opened(self, early: DataFrame) -> DataFrame:
+        """Heads of the blocks that the second round opens, given the best of the first."""
+        floor = early.filter(F.col("rank") == self.n).select("query_id", F.col("score").alias("_floor"))
+        rest = self.heads.join(self.first.select("query_id", "clause", *self.key), ["query_id", "clause", *self.key], "left_anti")
+        return rest.join(floor, "query_id", "left").filter(F.col("bound") >= F.coalesce("_floor", F.lit(0.0))).drop("_floor")
+
+
+def content_hits(queries: DataFrame, index: Index, n: int, settings: Settings) -> DataFrame:
     """(query_id, chunk_id, score, rank) from chunk tokens."""
-    q = queries.select("query_id", *[c for c in _QUERY_SCOPE if c in queries.columns],
-                       clauses(F.col("query_text")).alias("clauses"))
-    words = q.select("query_id", F.posexplode_outer("clauses").alias("clause", "c")).select(
-        "query_id", "clause", F.size("c.terms").alias("n_terms"), F.explode_outer("c.terms").alias("term"))
-    postings = chunks.select("chunk_id", F.explode_outer(F.array_distinct("tokens")).alias("term"))
-    frequency = document_frequency(words, postings, settings.salts)
-    # An alternative with a word that no chunk has cannot match.
-    pivots = words.join(frequency, "term").groupBy("query_id", "clause", "n_terms").agg(
-        F.min_by("term", F.struct("df", "term")).alias("term"),
-        F.count(F.lit(1)).alias("known")).filter("known = n_terms")
-    candidates = salted_join(postings, pivots.select("term").distinct(), ["term"], ["chunk_id"], settings.salts, "left_semi")
-    loaded = candidates.join(chunks.select("chunk_id", "tokens", *[c for c in _SCOPE if c in chunks.columns]), "chunk_id")
-    asked = pivots.select("query_id", "clause", "term").join(
-        q.select("query_id", "clauses", *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in q.columns]), "query_id")
-    pairs = salted_join(loaded, asked, ["term"], ["chunk_id"], settings.salts)
-    pairs = scoped(pairs, lambda c: F.col(f"q_{c}"), F.col, q.columns, chunks.columns)
-    # A pair met through several alternatives is kept at the first that matches.
-    matched = F.transform("clauses", lambda c: clause_matches(F.col("tokens"), c))
-    pairs = pairs.withColumn("matched", matched).filter(
-        F.array_position("matched", True) == F.col("clause") + 1)
-    score = F.aggregate(
-        F.zip_with("clauses", "matched", lambda c, m: F.when(m, cover_density(F.col("tokens"), c["terms"])).otherwise(0.0)),
-        F.lit(0.0), lambda a, x: a + x)
-    return top_per_group(pairs.select("query_id", "chunk_id", score.alias("score")), ["query_id"],
-                         [F.desc("score"), F.asc("chunk_id")], n)
+    return ContentSearch(queries, index, n, settings).hits()
 
 
 def path_hits(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings) -> DataFrame:
     """(query_id, chunk_id, score, rank) from hierarchy paths, any long word matching.
 
     All chunks of one path and scope score alike, so a path is scored once and only its n
-    smallest chunk ids can be among the best n.
+    smallest chunk ids can be among the best n. A path is met through its rarer words only. What words of more than one path in
+    ``common_share`` add to paths without any of the question's rarer words depends on these words alone, so that
+    paths with the same common words and scope are scored as one; again only the n smallest chunk ids count. No
+    question meets every path because of a word that they all hold.
     """
     scope = [c for c in _SCOPE if c in chunks.columns]
     group = ["hierarchy_path", *scope]
-    front = top_per_group(chunks.select("chunk_id", *group), group, [F.asc("chunk_id")], n)
-    paths = front.groupBy(*group).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
-    paths = paths.withColumn("tokens", tokenize(F.col("hierarchy_path")))
-    posted = paths.select("ids", "tokens", *scope, F.explode_outer(F.array_distinct("tokens")).alias("term"))
-    q = queries.select("query_id", path_terms(F.col("query_text")).alias("terms"),
-                       *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in queries.columns])
-    asked = q.withColumn("term", F.explode_outer("terms"))
-    pairs = salted_join(posted, asked, ["term"], ["ids"], settings.salts)
-    pairs = scoped(pairs, lambda c: F.col(f"q_{c}"), F.col, queries.columns, chunks.columns)
-    # A path met through several words is kept at the first of them.
-    first = F.element_at(F.array_intersect("tokens", "terms"), 1)
-    pairs = pairs.filter(F.col("term") == first)
-    scored = pairs.select("query_id", "ids", count_density(F.col("tokens"), F.col("terms")).alias("score"))
-    best = top_per_group(scored, ["query_id"], [F.desc("score"), F.element_at("ids", 1).asc()], n, "_n")
-    rows = best.select("query_id", F.explode("ids").alias("chunk_id"), "score")
+    front = top_per_group(chunks.select("chunk_id", *group).filter("hierarchy_path is not null"), group, [F.asc("chunk_id")], n)
+    paths = stored(front.groupBy(*group).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).withColumn("tokens", tokenize(F.col("hierarchy_path"))).drop("hierarchy_path"))
+    words = paths.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = paths.agg(F.count(F.lit(1))).scalar()
+    # At most common_share times the mean length of a path.
+    common = words.filter(F.col("df") * settings.common_share > total).agg(F.collect_set("term")).scalar()
+    paths = stored(paths.withColumn("common", common).withColumn("common", F.array_sort(F.filter("tokens", lambda w: F.array_contains("common", w)))))
+    q = stored(queries.select("query_id", path_terms(F.col("query_text")).alias("terms"),
+                              *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in queries.columns]))
+
+    def met(rows: DataFrame, lead: Column, tokens: str) -> DataFrame:
+        """Scores of the rows (ids, scope, tokens) that share a word of ``lead`` with a question."""
+        posted = rows.select("ids", tokens, lead.alias("lead"), *scope).withColumn("term", F.explode(F.array_distinct("lead")))
+        pairs = salted_join(posted, q.withColumn("term", F.explode("terms")), ["term"], ["ids"], settings.salts)
+        pairs = scoped(pairs, lambda c: F.col(f"q_{c}"), F.col, queries.columns, chunks.columns)
+        # A row met through several words is kept at the first of them.
+        pairs = pairs.filter(F.col("term") == F.element_at(F.array_intersect("lead", "terms"), 1))
+        scored = pairs.select("query_id", "ids", count_density(F.col(tokens), F.col("terms")).alias("score"))
+        best = top_per_group(scored, ["query_id"], [F.desc("score"), F.element_at("ids", 1).asc()], n, "_n")
+        return best.select("query_id", F.explode("ids").alias("chunk_id"), "score")
+
+    rarer = F.array_except("tokens", "common")
+    alike = ["common", *scope]
+    ids = top_per_group(paths.filter(F.size("common") > 0).select(F.explode("ids").alias("chunk_id"), *alike), alike, [F.asc("chunk_id")], n)
+    profiles = ids.groupBy(*alike).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+    rows = met(paths, rarer, "tokens").union(met(profiles, F.col("common"), "common"))
+    rows = rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_per_group(rows, ["query_id"], [F.desc("score"), F.asc("chunk_id")], n)
 
 
-def lexical_topn(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings = Settings()) -> DataFrame:
+def lexical_topn(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings = Settings(), index: Index | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the better of content and path rank, best n.
 
     queries: query_id, query_text and optionally language, act_ids, as_of. chunks: chunk_id,
-    tokens and optionally hierarchy_path, language, act_id, effective_from, effective_to.
+    tokens and optionally hierarchy_path, language, act_id, effective_from, effective_to. ``index`` is that of the chunks; without
+    it they are inverted here.
     """
-    hits = content_hits(queries, chunks, n, settings).drop("rank")
+    hits = content_hits(queries, index or write_index(chunks), n, settings).drop("rank")
     if "hierarchy_path" in chunks.columns:
         hits = hits.unionByName(path_hits(queries, chunks, n, settings).drop("rank"))
         hits = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))

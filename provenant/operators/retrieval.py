@@ -6,13 +6,14 @@ Hits carry ids and scores only; payload columns are joined after the last cut.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provenant.functions.text import tokenize
 from provenant.operators.lexical import lexical_topn
+from provenant.operators.postings import Index, write_index
 from provenant.operators.vectors import vector_topn
 from provenant.plans.session import stored
 from provenant.plans.skew import top_per_group
@@ -71,16 +72,16 @@ def rrf(vector_hits: DataFrame | None, lexical_hits: DataFrame | None, settings:
                         ).select("query_id", "chunk_id", "score")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, settings: Settings = Settings(), index: Index | None = None) -> DataFrame:
     """(query_id, chunk_id, score): both signals fused; one of weight 0 is not computed.
 
-    A query without a vector is answered by text alone.
+    A query without a vector is answered by text alone. ``index`` is that of the chunks' tokens.
     """
     vectors = lexical = None
     if settings.vector_weight > 0 and "embedding" in queries.columns and "embedding" in chunks.columns:
         vectors = vector_topn(queries, chunks, settings.top_n, settings)
     if settings.lexical_weight > 0:
-        lexical = lexical_topn(queries, chunks, settings.top_n, settings)
+        lexical = lexical_topn(queries, chunks, settings.top_n, settings, index)
     return rrf(vectors, lexical, settings)
 
 
@@ -93,15 +94,17 @@ def needs_fallback(queries: DataFrame, hits: DataFrame, settings: Settings = Set
 
 def with_fallback(queries: DataFrame, chunks: DataFrame, settings: Settings = Settings(),
                   other: Callable[[Column], Column] = lambda c: F.when(c == "bn", "en").otherwise("bn"),
-                  search: Callable[[DataFrame, DataFrame, Settings], DataFrame] = hybrid
-                  ) -> tuple[DataFrame, DataFrame]:
+                  search: Callable[[DataFrame, DataFrame, Settings], DataFrame] | None = None,
+                  index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, flags): weak queries also search the other language with the same vector.
 
     Hits keep ``source`` (0 own language, 1 other) to order equal scores. The flag is set
     whether or not the second search finds anything.
 
-    The first search is stored: its hits are merged, and they decide who searches again.
+    The first search is stored: its hits are merged, and they decide who searches again. Both go by one index of the chunks.
     """
+    if search is None:
+        search = partial(hybrid, index=index or (write_index(chunks) if settings.lexical_weight > 0 else None))
     own = stored(search(queries, chunks, settings))
     weak = needs_fallback(queries, own, settings)
     second = search(weak.withColumn("language", other(F.col("language"))), chunks, settings)

@@ -48,6 +48,8 @@ class Settings:
     broadcast_queries: int = 2048
     query_block_rows: int = 2048
     chunk_cells: int = 64
+    first_blocks: int = 8
+    common_share: int = 32
 
     def __post_init__(self) -> None:
         rules = [

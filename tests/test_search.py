@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.functions.text import tokenize
-from provenant.operators import lexical, retrieval, vectors
+from provenant.operators import lexical, postings, retrieval, vectors
 from provenant.settings import Settings
 
 S = Settings()
@@ -62,12 +62,14 @@ def brute_cover(tokens, terms):
 
 def test_cover_density(spark, value):
     words = lambda s: F.split(F.lit(s), " ")
-    rank = lambda t, q: value(lexical.cover_density(words(t), words(q)))
+    places = lambda tokens: F.map_from_entries(F.transform(F.array_distinct(tokens), lambda w: F.struct(w, F.filter(
+        F.transform(tokens, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+    rank = lambda t, q: value(lexical.cover_density(places(words(t)), words(q)))
     assert rank("a b", "a b") == pytest.approx(0.1) and rank("a x x b", "a b") == pytest.approx(0.1 / 3)
     assert rank("a a a", "a") == pytest.approx(0.3) and rank("a x", "a b") == 0
     rng = random.Random(5)
     rows = [([rng.choice("abcdexyz") for _ in range(rng.randint(1, 40))], sorted(rng.sample("abcde", rng.randint(1, 3)))) for _ in range(200)]
-    frame = spark.createDataFrame(rows, "tokens array<string>, terms array<string>").select("tokens", "terms", lexical.cover_density(F.col("tokens"), F.col("terms")).alias("s"))
+    frame = spark.createDataFrame(rows, "tokens array<string>, terms array<string>").select("tokens", "terms", lexical.cover_density(places(F.col("tokens")), F.col("terms")).alias("s"))
     for r in frame.collect():
         assert r.s == pytest.approx(brute_cover(r.tokens, r.terms))
 
@@ -181,3 +183,100 @@ def test_approximate_search_fills_up_and_finds_nine_in_ten(spark):
         got = {(r.query_id, r.chunk_id) for r in vectors.approximate_topn(queries, chunks, 10, distance).collect()}
         want = {(r.query_id, r.chunk_id) for r in vectors.vector_topn(queries, chunks, 10).collect()}
         assert len(got) == len(want) == 130 and len(got & want) >= 0.9 * len(want)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def _zipf_chunks(spark, n=3000):
+    """One word is in all chunks, a few have it often; another is in every second chunk."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(n):
+        words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(20)] + ["the"] * (1 + (i % 97 == 0) * (1 + i // 97)) + ["half"] * (i % 2)
+        rng.shuffle(words)
+        rows.append((i, words, "en" if i % 3 else "fr", str(i % 4)))
+    return spark.createDataFrame(rows, "chunk_id int, tokens array<string>, language string, act_id string").repartition(4, "chunk_id")
+
+
+def test_index_holds_all_positions(spark):
+    chunks = _zipf_chunks(spark, 300).union(spark.createDataFrame([(900, None, "en", "1"), (901, [], "fr", None), (902, ["only"], None, None)], "chunk_id int, tokens array<string>, language string, act_id string"))
+    index = postings.write_index(chunks, block=7)
+    held = index.blocks.select("term", "language", F.explode("postings").alias("p")).select("term", "language", "p.chunk_id", "p.act_id", F.explode("p.at").alias("at"))
+    want = chunks.select(F.posexplode("tokens").alias("at", "term"), "language", "chunk_id", "act_id").select(held.columns)
+    assert held.count() == want.count() and held.exceptAll(want).count() == 0
+    assert index.blocks.filter("n <> size(postings) or n > 7 or most <> size(postings[0].at)").count() == 0
+    assert index.blocks.groupBy("term", "language", "segment", "block").count().filter("count > 1").count() == 0
+    df = {r.term: r.df for r in index.terms.collect()}
+    assert df["the"] == 300 and df["half"] == 150 and df["only"] == 1
+    empty = postings.write_index(chunks.limit(0))
+    assert empty.blocks.count() == empty.terms.count() == 0
+    assert lexical.content_hits(spark.createDataFrame([(1, "the")], "query_id int, query_text string"), empty, 3, S).count() == 0
+
+
+def test_search_reads_only_what_it_needs(spark):
+    index = postings.write_index(_zipf_chunks(spark), buckets=16)
+    asked = spark.createDataFrame([(1, "the half")], "query_id int, query_text string")
+    search = lexical.ContentSearch(asked, index, 5, S)
+    plan = _plan(search.blocks.select("term", "n"))
+    used = {r.b for r in search.needed.select(postings.bucket_of(F.col("term"), 16).alias("b")).collect()}
+    folders = {r.f.split("bucket=")[1].split("/")[0] for r in index.of(sorted(used))[0].select(F.input_file_name().alias("f")).distinct().collect()}
+    assert folders == {str(b) for b in used} and len(used) <= 2
+    scan = plan[plan.index("PartitionFilters"):].split("\n")[0]
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", scan)[1]
+    assert all(re.search(rf"\b{b}\b", filters) for b in used) and "postings" not in scan[scan.index("ReadSchema"):]
+    assert "tokens" not in _plan(search.scored(search.first))
+
+
+def test_blocks_that_cannot_win_stay_closed(spark):
+    chunks = _zipf_chunks(spark)
+    index = postings.write_index(chunks, block=16)
+    texts = ["the", "half the", "w1 the", "the or w2", "w3 or w5 half", '"the half" or w7', "w1 -the", "w1 -half", "nowhere or the", "w1 nowhere"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, query_text string")
+    every = replace(S, first_blocks=1_000_000)
+    full = lexical.content_hits(asked, index, 5, every).collect()
+    assert lexical.ContentSearch(asked, index, 5, every).heads.count() == lexical.ContentSearch(asked, index, 5, every).first.count()
+    search = lexical.ContentSearch(asked, index, 5, S)
+    assert sorted(map(tuple, search.hits().collect())) == sorted(map(tuple, full)) and len({r.query_id for r in full}) >= 7
+    early = lexical.top_per_group(search.scored(search.first), ["query_id"], [F.desc("score"), F.asc("chunk_id")], 5)
+    heads = {r.query_id: r["count"] for r in search.heads.groupBy("query_id").count().collect()}
+    late = {r.query_id: r["count"] for r in search.opened(early).groupBy("query_id").count().collect()}
+    # Of the blocks of the word that all chunks hold, nearly all are skipped.
+    assert heads[0] > 150 and late.get(0, 0) + S.first_blocks < heads[0] / 5
+
+
+def test_scope_of_indexed_search(spark):
+    chunks = _zipf_chunks(spark).withColumns({"effective_from": F.expr("date_add(date'2024-01-01', chunk_id % 20)"), "effective_to": F.expr("if(chunk_id % 5 = 0, date'2024-01-08', null)")})
+    asked = spark.createDataFrame([(0, "the", "en", []), (1, "the half", "fr", ["1", "2"]), (2, "w1 or w2", "en", None)], "query_id int, query_text string, language string, act_ids array<string>").withColumn(
+        "as_of", F.expr("date'2024-01-10'"))
+    got = {}
+    for r in lexical.content_hits(asked, postings.write_index(chunks, block=8), 6, S).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    rows = [r for r in chunks.collect() if str(r.effective_from) <= "2024-01-10" and (r.effective_to is None or str(r.effective_to) >= "2024-01-10")]
+    for q, language, acts, options in ((0, "en", None, [["the"]]), (1, "fr", {"1", "2"}, [["the", "half"]]), (2, "en", None, [["w1"], ["w2"]])):
+        scores = {}
+        for r in rows:
+            if r.language == language and (acts is None or r.act_id in acts):
+                score = sum(brute_cover(r.tokens, o) for o in options if set(o) <= set(r.tokens))
+                if score:
+                    scores[r.chunk_id] = round(score, 9)
+        assert got[q] == sorted(scores, key=lambda c: (-scores[c], c))[:6]
+
+
+def test_paths_with_a_word_in_common(spark):
+    """All paths hold "section"; a question of it meets one row per kind of path, not all paths."""
+    rng = random.Random(3)
+    paths = [(i, " > ".join(["Section Section" if i % 2 else "Section", rng.choice(["Wages", "Court", "Taxes"]), f"number{i}"]), "en" if i % 3 else "fr") for i in range(400)]
+    paths += [(1000 + i, paths[i][1], paths[i][2]) for i in range(50)] + [(2000, None, "en"), (2001, "", "en")]
+    texts = ["section wages", "section", "number7 section", "number3 number4", "court taxes section number9", "zzzz"]
+    frame = spark.createDataFrame(paths, "chunk_id int, hierarchy_path string, language string")
+    asked = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "query_id int, query_text string, language string")
+    got = {}
+    for r in lexical.path_hits(asked, frame, 9, replace(S, common_share=8)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 9)))
+    want = {}
+    for i, text in enumerate(texts):
+        scores = {c: round(0.1 * sum(w in text.split() for w in (p or "").lower().replace(">", " ").split()), 9) for c, p, lang in paths if lang == "en"}
+        want[i] = [(c, s) for c, s in sorted(scores.items(), key=lambda x: (-x[1], x[0])) if s][:9]
+    assert got == {i: w for i, w in want.items() if w}

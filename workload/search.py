@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from provenant.functions.text import tokenize
-from provenant.operators import lexical, retrieval, revisions, vectors
+from provenant.operators import lexical, postings, retrieval, revisions, vectors
 from provenant.plans.session import stored
 from provenant.settings import Settings
 from workload.base import query
@@ -128,6 +128,10 @@ def _text_chunks(t):
                               path.alias("hierarchy_path"), F.col("text").alias("content"), tokenize(F.col("text")).alias("tokens"))
 
 
+def _index(t):
+    return postings.write_index(_text_chunks(t).drop("hierarchy_path", "content"))
+
+
 def _asked(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
@@ -180,7 +184,7 @@ select query_id, chunk_id, round(score, 6) as score, rank from (
  select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from content) where rank <= 40""")
 def passage_matches(t):
     """Documents that have all words of a passage, by cover density."""
-    hits = lexical.content_hits(_asked(t), _text_chunks(t).drop("hierarchy_path", "content"), SETTINGS.top_n, SETTINGS)
+    hits = lexical.content_hits(_asked(t), _index(t), SETTINGS.top_n, SETTINGS)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -201,7 +205,7 @@ def web_style_search(t):
     get = lambda i: F.get("w", F.lit(i))
     asked = words.select("query_id", F.concat(
         get(0), F.lit(' "'), get(1), F.lit(" "), get(2), F.lit('" -'), get(3), F.lit(" or "), get(4), F.lit(" "), get(5)).alias("query_text"))
-    hits = lexical.content_hits(asked, _text_chunks(t).drop("hierarchy_path", "content"), SETTINGS.top_n, SETTINGS)
+    hits = lexical.content_hits(asked, _index(t), SETTINGS.top_n, SETTINGS)
     return hits.withColumn("score", F.round("score", 6))
 
 
