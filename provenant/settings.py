@@ -45,9 +45,9 @@ class Settings:
     prompt_version: str = "v2"
     # Physical knobs: results do not depend on them.
     salts: int = 16
-    broadcast_queries: int = 2048
-    query_block_rows: int = 2048
-    chunk_cells: int = 64
+    query_block_rows: int = 1024
+    chunk_columns: int = 64
+    cell_bytes: int = 262_144
     first_blocks: int = 8
     common_share: int = 32
 
@@ -65,8 +65,8 @@ class Settings:
             (self.confidence_keep <= self.confidence_medium,
              "confidence_keep must be <= confidence_medium"),
             (min(self.vector_weight, self.lexical_weight) >= 0, "weights must be >= 0"),
-            (min(self.salts, self.query_block_rows, self.chunk_cells) >= 1,
-             "salts, query_block_rows and chunk_cells must be >= 1"),
+            (min(self.salts, self.query_block_rows, self.chunk_columns, self.cell_bytes) >= 1,
+             "salts, query_block_rows, chunk_columns and cell_bytes must be >= 1"),
         ]
         for holds, message in rules:
             if not holds:

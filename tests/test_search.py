@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.functions.text import tokenize
-from provenant.operators import lexical, postings, retrieval, vectors
+from provenant.operators import lexical, postings, retrieval, vector_index, vectors
 from provenant.settings import Settings
 
 S = Settings()
@@ -34,7 +34,7 @@ def test_vectors_against_brute_force(spark):
             if norm and clang == lang and (not acts or act in acts) and f <= day and (u is None or u >= day):
                 found.append((-round(float(np.dot(qv, cv) / norm / np.linalg.norm(qv)), 9), cid))
         want[qid] = [cid for _, cid in sorted(found)[:10]]
-    for settings in (S, replace(S, broadcast_queries=2, query_block_rows=3, chunk_cells=4)):
+    for settings in (S, replace(S, query_block_rows=3, chunk_columns=4, cell_bytes=320)):
         hits = vectors.vector_topn(queries, chunks, 10, settings).orderBy("query_id", "rank").collect()
         got = {}
         for h in hits:
@@ -172,17 +172,55 @@ def test_as_of_bounds(spark):
     assert ids("2024-02-01", latest_only=["p"]) == ["2"]
 
 
-def test_approximate_search_fills_up_and_finds_nine_in_ten(spark):
+def test_vector_index_finds_nine_in_ten(spark):
     rng = np.random.default_rng(8)
-    chunk_rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(400, 32)))]
-    # The last question points away from most chunks.
-    asked = [(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(12, 32)))] + [("far", (-np.mean([v for _, v in chunk_rows], axis=0)).tolist())]
-    chunks = spark.createDataFrame(chunk_rows, "chunk_id string, embedding array<double>")
-    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
-    for distance in (1.35, 0.5):
-        got = {(r.query_id, r.chunk_id) for r in vectors.approximate_topn(queries, chunks, 10, distance).collect()}
-        want = {(r.query_id, r.chunk_id) for r in vectors.vector_topn(queries, chunks, 10).collect()}
-        assert len(got) == len(want) == 130 and len(got & want) >= 0.9 * len(want)
+    middles = rng.normal(size=(12, 32))
+    rows = [(f"c{i:04d}", (middles[i % 12] + 0.7 * rng.normal(size=32)).tolist() if i % 3 else middles[0].tolist(), "en" if i % 2 else "fr") for i in range(1500)]
+    # The last question points away from most chunks; one has no vector.
+    asked = [(f"q{i}", (middles[i] + 0.7 * rng.normal(size=32)).tolist(), "en") for i in range(12)] + [("far", (-middles.mean(axis=0)).tolist(), "fr"), ("none", None, "en")]
+    chunks = spark.createDataFrame(rows + [("null", None, "en"), ("zero", [0.0] * 32, "en")], "chunk_id string, embedding array<double>, language string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>, language string")
+    index = vector_index.write_vector_index(chunks, cells=24, sample=400)
+    # Every vector is in one cell, also those beyond the sample.
+    held = index.codes.select("cell", F.explode("chunk_id").alias("c")).groupBy("c").count()
+    assert held.count() == 1500 and held.filter("count > 1").count() == 0 and len(index.centroids) == 24
+    want = {(r.query_id, r.chunk_id) for r in vectors.vector_topn(queries, chunks, 10).collect()}
+    got = vector_index.approximate_topn(queries, chunks, 10, index, probes=10).collect()
+    assert len(got) == len(want) == 130 and len({(r.query_id, r.chunk_id) for r in got} & want) >= 0.9 * len(want)
+    exact = {(r.query_id, r.chunk_id): r.score for r in vectors.vector_topn(queries, chunks, 1500).collect()}
+    assert all(r.score == pytest.approx(exact[r.query_id, r.chunk_id], abs=1e-8) for r in got)
+    # All cells probed and everything listed is the exact search.
+    full = vector_index.approximate_topn(queries, chunks, 10, index, probes=24, shortlist=150).collect()
+    assert {(r.query_id, r.chunk_id) for r in full} == want
+    empty = chunks.limit(0)
+    assert vector_index.approximate_topn(queries, empty, 3).count() == 0
+
+
+def test_exact_search_plans_without_running(spark):
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    chunks = spark.createDataFrame([("c", [1.0, 0.5])], "chunk_id string, embedding array<double>")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("plan"))
+    spark.sparkContext.setJobGroup("plan", "frames only")
+    hits = vectors.vector_topn(queries, chunks, 3)
+    assert jobs() == 0 and "CartesianProduct" not in _plan(hits)
+    assert [r.chunk_id for r in hits.collect()] == ["c"] and jobs() > 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_balls_spare_blocks():
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(20, 16))
+    unit = vectors._unit(np.vstack([m + 0.05 * rng.normal(size=(40, 16)) for m in middles])[rng.permutation(800)])
+    asked = vectors._Block({"query_id": list(range(20)), "embedding": vectors._unit(middles)})
+    best = vectors._Best(asked, 5)
+    order, bounds = vectors.cells_of(unit, 20)
+    assert sorted(order) == list(range(800)) and (np.diff(bounds) <= 20).all() and bounds[0] == 0 and bounds[-1] == 800
+    for a, b in zip(bounds, bounds[1:]):
+        centre, radius = vectors.ball(unit[order[a:b]])
+        best.add({"chunk_id": order[a:b], "embedding": unit[order[a:b]], "centre": centre, "radius": radius})
+    want = {q: np.lexsort((np.arange(800), -np.round(unit @ v, 9)))[:5].tolist() for q, v in enumerate(asked.matrix)}
+    assert {q: g["chunk_id"].tolist() for q, g in best.rows.groupby("q")} == want
+    assert best.skipped > best.scored
 
 
 def _plan(frame):

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from provenant.functions.text import tokenize
-from provenant.operators import lexical, postings, retrieval, revisions, vectors
+from provenant.operators import lexical, postings, retrieval, revisions, vector_index, vectors
 from provenant.plans.session import stored
 from provenant.settings import Settings
 from workload.base import query
@@ -96,8 +96,8 @@ def vector_search(t):
 
 @query(_VEC + "kept as (select * from pairs), " + _RANKED + "select query_id, chunk_id, round(score, 6) as score, rank from ranked where rank <= 40")
 def vector_search_blocks(t):
-    """The same through the grid of blocks, as for more questions than fit a broadcast."""
-    blocks = replace(SETTINGS, broadcast_queries=1, query_block_rows=64, chunk_cells=8)
+    """The same with small packs and blocks."""
+    blocks = replace(SETTINGS, query_block_rows=64, chunk_columns=8, cell_bytes=16_384)
     hits = vectors.vector_topn(_asked_vectors(t).drop("label"), _vector_chunks(t).select("chunk_id", "embedding"), SETTINGS.top_n, blocks)
     return hits.withColumn("score", F.round("score", 6))
 
@@ -114,10 +114,15 @@ def vector_search_scoped(t):
     return vectors.vector_topn(asked, _vector_chunks(t), SETTINGS.top_n).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_VEC + "kept as (select * from pairs), " + _RANKED + "select count(distinct query_id) as questions, count(*) as hits, true as recall_reached from ranked where rank <= 40")
 def vector_search_approximate(t):
-    hits = vectors.approximate_topn(_asked_vectors(t).drop("label"), _vector_chunks(t).select("chunk_id", "embedding"), SETTINGS.top_n)
-    return hits.withColumn("score", F.round("score", 6))
+    """The inverted-file index finds at least nine in ten of the exact hits."""
+    asked, chunks = _asked_vectors(t).drop("label"), _vector_chunks(t).select("chunk_id", "embedding")
+    near = vector_index.approximate_topn(asked, chunks, SETTINGS.top_n).select("query_id", "chunk_id", F.lit(1).alias("near"))
+    exact = vectors.vector_topn(asked, chunks, SETTINGS.top_n).select("query_id", "chunk_id", F.lit(1).alias("exact"))
+    both = near.join(exact, ["query_id", "chunk_id"], "full")
+    return both.agg(F.count_distinct("query_id").alias("questions"), F.sum("near").alias("hits"),
+                    (F.count_if(F.col("near") + F.col("exact") == 2) >= 0.9 * F.sum("exact")).alias("recall_reached"))
 
 
 # Full text. -------------------------------------------------------------------------------------
