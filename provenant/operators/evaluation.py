@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
-from provenant.functions import policy
+from provenant.functions import distance, policy
 from provenant.plans.skew import top_per_group
 
 # Gated metrics and their least acceptable value; label of records without act.
@@ -30,16 +27,10 @@ def pair_results(golden: DataFrame, results: DataFrame) -> DataFrame:
         "answer": F.coalesce("answer", F.lit(""))})
 
 
-@F.pandas_udf(DoubleType())
-def difflib_ratio(reference: pd.Series, answer: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, which no built-in computes."""
-    return pd.Series([None if r is None or a is None else SequenceMatcher(None, r, a).ratio()
-                      for r, a in zip(reference, answer)], dtype="float64")
-
-
-def levenshtein_ratio(reference: Column, answer: Column) -> Column:
+def similarity(reference: Column, answer: Column) -> Column:
+    """1 less the edit distance of two whole texts as a share of the longer one; two empty texts are equal."""
     longest = F.greatest(F.length(reference), F.length(answer))
-    return 1 - F.coalesce(F.levenshtein(reference, answer) / F.nullif(longest, F.lit(0)), F.lit(0.0))
+    return 1 - F.coalesce(distance.edit_distance(reference, answer) / F.nullif(longest, F.lit(0)), F.lit(0.0))
 
 
 _ELIGIBLE = "not should_decline and expected_section is not null"
@@ -67,21 +58,10 @@ def decline_accuracy() -> Column:
     return _share(F.col("declined") == F.col("should_decline"))
 
 
-def edit_distance(method: str = "difflib") -> Column:
-    """Mean distance of answers to references, over answered records that have one.
-
-    ``difflib`` runs in Python per pair of texts; ``levenshtein`` stays in the JVM.
-    """
-    ratio = {"difflib": difflib_ratio, "levenshtein": levenshtein_ratio}[method]
-    eligible = ~F.col("declined") & F.col("reference_summary").isNotNull()
-    return F.coalesce(F.avg(F.when(eligible, 1 - ratio(F.col("reference_summary"), F.col("answer")))), F.lit(0.0))
-
-
-def with_distance(pairs: DataFrame, method: str = "difflib") -> DataFrame:
-    """Add ``distance`` where it is defined, so that Python sees only the two texts."""
+def with_distance(pairs: DataFrame) -> DataFrame:
+    """Add ``distance`` of answered records that have a reference; Python sees only the two texts of these."""
     eligible = ~F.col("declined") & F.col("reference_summary").isNotNull()
-    ratio = {"difflib": difflib_ratio, "levenshtein": levenshtein_ratio}[method]
-    return pairs.withColumn("distance", F.when(eligible, 1 - ratio(
+    return pairs.withColumn("distance", F.when(eligible, 1 - similarity(
         F.when(eligible, F.col("reference_summary")), F.when(eligible, F.col("answer")))))
 
 
@@ -91,9 +71,9 @@ def metric_columns() -> list[Column]:
     return [c.alias(name) for c, name in zip(columns, METRICS)]
 
 
-def metrics(pairs: DataFrame, method: str = "difflib") -> DataFrame:
+def metrics(pairs: DataFrame) -> DataFrame:
     """One row with all metrics and the number of records."""
-    return with_distance(pairs, method).agg(*metric_columns(), F.count(F.lit(1)).alias("n"))
+    return with_distance(pairs).agg(*metric_columns(), F.count(F.lit(1)).alias("n"))
 
 
 def breakdown(pairs: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from provenant import schemas
+from provenant.functions import distance
 from provenant.operators import anchored, evaluation, logs
+from workload import QUERIES
 
 START = datetime(2024, 1, 1)
 
@@ -75,3 +79,66 @@ def test_gate(spark):
     measured = spark.createDataFrame([(0.85, 0.95)], "section_citation_accuracy double, language_routing_accuracy double")
     rows = {r.metric: (r.passed, r.all_passed) for r in evaluation.gate(measured).collect()}
     assert rows == {"section_citation_accuracy": (True, False), "language_routing_accuracy": (True, False), "decline_accuracy": (False, False)}
+
+
+def test_percentiles_by_selection(spark):
+    """A group holds most rows, a third of them equal; another has far outliers, one a single row, one only nulls."""
+    rng = random.Random(4)
+    rows = [("hot", float(rng.randint(0, 50_000)) if i % 3 else 777.0) for i in range(4000)] + [("far", 10.0 ** rng.randint(-6, 9)) for _ in range(300)] + \
+        [("one", 5.5), ("none", None), ("two", -1.0), ("two", 4.0), (None, 2.0), (None, 3.0), (None, None)] + [("same", 1.25)] * 50
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5).withColumn("_n", F.lit("clash"))
+    for share in (0.0, 0.5, 0.95, 1.0):
+        want = {r.g: r.p for r in frame.groupBy("g").agg(F.percentile("v", share).alias("p")).collect() if r.p is not None}
+        for ranges, passes in ((1024, 2), (3, 1), (2, 4)):
+            got = {r.g: r.percentile for r in logs.percentile(frame, "v", share, ["g"], ranges, passes).collect()}
+            assert got == pytest.approx(want)
+        whole = logs.percentile(frame, "v", share).collect()
+        assert [r.percentile for r in whole] == pytest.approx([frame.agg(F.percentile("v", share)).first()[0]])
+    assert logs.percentile(frame.limit(0), "v", 0.95).count() == 0
+    assert "Percentile" not in logs.percentile(frame, "v", 0.95, ["g"])._jdf.queryExecution().toString().replace("percentile", "")
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abé日🎉", max_size=30), st.text(alphabet="abé日🎉", max_size=30), st.integers(0, 30), st.sampled_from([1, 2, 64]))
+def test_distance_matches_the_table(a, b, keep, band):
+    distance.FIRST_BAND = band
+    try:
+        for x, y in ((a, b), (a, a[:keep] + b + a[keep:]), (a + b * 3, b + a)):
+            assert distance.distance(x, y) == distance.distance(y, x) == plain_distance(x, y)
+    finally:
+        distance.FIRST_BAND = 64
+
+
+def test_distance_of_long_texts(spark):
+    text = "".join(random.Random(1).choices("abcdefgh ", k=60_000))
+    rows = [(1, text, text[:100] + text[120:50_000] + "zz" + text[50_000:]), (2, text, None), (3, "", ""), (4, "abc", ""), (5, None, None)]
+    found = spark.createDataFrame(rows, "id int, a string, b string").select("id", distance.edit_distance("a", "b").alias("d"), evaluation.similarity(F.col("a"), F.col("b")).alias("s"))
+    got = {r.id: (r.d, r.s) for r in found.collect()}
+    assert got[1][0] == 22 and got[2][0] is None and got[3] == (0, 1.0) and got[4] == (3, 0.0) and got[5][0] is None
+
+
+def test_evaluation_queries_read_whole_texts(spark, tmp_path):
+    texts = ["Same start, " * 30 + "and an end.", "short", None, "", "Ünï 123  code " * 9, "9"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.distance, r.ratio) for r in QUERIES["edit_ratios"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i][0] is None
+            continue
+        clean = re.sub(r"[0-9\s]+", " ", text.lower())
+        d = plain_distance(text, clean)
+        assert got[i] == (d, pytest.approx(1 - d / max(1, len(text), len(clean)), abs=1e-9))
+    turns = [(c, t, role, f"turn {t} of {c}: " + "words and " * (c + t) + "more.") for c in range(5) for t, role in ((0, "system"), (1, "user"), (2, "assistant"), (3, "user"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = QUERIES["evaluation_metrics"](spark, str(tmp_path)).collect()[0]
+    own = [plain_distance(x, x[10:] + x[:10]) / len(x) for _, t, role, x in turns if t % 2 and role != "system" and len(x) % 4]
+    assert row.answer_edit_distance == pytest.approx(sum(own) / len(own), abs=1e-9) and row.n == len(turns)

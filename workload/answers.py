@@ -233,7 +233,7 @@ def _response_inputs(t):
     return queries, drafts
 
 
-_PATH_SQL = """case when n = 1 and conv_id % 4 = 2 then 'section_list' when n = 6 and 0 > 1 then 'declined' when conv_id % 3 = 1 then 'provider_failed'
+_PATH_SQL = """case when n = 1 and conv_id % 4 = 2 then 'section_list' when conv_id % 3 = 1 then 'provider_failed'
    when conv_id % 10 = 0 then 'guardrail_failed' else 'answered' end"""
 
 

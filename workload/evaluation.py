@@ -2,27 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from provenant.functions import policy
+from provenant.functions import distance, policy
 from provenant.operators import evaluation
 from workload.base import query
 
 # A conversation turn is a golden record; its text decides what the system is said to have done.
-
-
-# DuckDB's levenshtein counts bytes and Spark's counts characters, so compared texts are ASCII.
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')"
-
-
-def _plain():
-    return F.regexp_replace("text", r"[^\x00-\x7f]", "")
-
+# DuckDB's levenshtein counts bytes, so what depends on the distance of whole texts has no SQL; tests compare it with a plain version.
 
 def _golden(t):
     n, turn = F.length("text"), F.col("turn")
     return t.conversations.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("conv_id") % 2 == 0, "en").otherwise("bn").alias("language"),
         F.when(turn < 4, F.concat(F.lit("act-"), turn)).alias("act_slug"), F.when(n % 3 != 0, (n % 10).cast("string")).alias("expected_section"),
-        (n % 5 == 0).alias("should_decline"), F.when(turn % 2 == 1, F.substring(_plain(), 1, 60)).alias("reference_summary"))
+        (n % 5 == 0).alias("should_decline"), F.when(turn % 2 == 1, F.col("text")).alias("reference_summary"))
 
 
 def _results(t):
@@ -31,7 +23,7 @@ def _results(t):
     return t.conversations.filter("role <> 'system'").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(n % 7 == 0, "mixed").when(F.col("conv_id") % 2 == 0, "en").otherwise("bn").alias("detected_language"),
         (n % 4 == 0).alias("declined"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5)), lambda i: ((n + i * (n % 2)) % 10).cast("string")).alias("retrieved_sections"),
-        F.substring(_plain(), 11, 60).alias("answer"))
+        F.concat(F.expr("substring(text, 11)"), F.substring("text", 1, 10)).alias("answer"))
 
 
 def _pairs(t):
@@ -39,14 +31,14 @@ def _pairs(t):
 
 
 _PAIRS = f"""
-with base as (select *, length(text) as n, {_ASCII} as plain from conversations),
+with base as (select *, length(text) as n from conversations),
 pairs as (
   select conv_id || '-' || turn as id, case when conv_id % 2 = 0 then 'en' else 'bn' end as language, case when turn < 4 then 'act-' || turn end as act_slug,
-    case when n % 3 <> 0 then cast(n % 10 as varchar) end as expected, n % 5 = 0 as should_decline, case when turn % 2 = 1 then substring(plain, 1, 60) end as reference,
+    case when n % 3 <> 0 then cast(n % 10 as varchar) end as expected, n % 5 = 0 as should_decline, case when turn % 2 = 1 then text end as reference,
     case when role = 'system' then 'en' when n % 7 = 0 then 'mixed' when conv_id % 2 = 0 then 'en' else 'bn' end as detected,
     role <> 'system' and n % 4 = 0 as declined,
     case when role = 'system' then [] else list_transform([0, 1, 2, 3, 4, 5], lambda i: cast((n + i * (n % 2)) % 10 as varchar)) end as sections,
-    case when role = 'system' then '' else substring(plain, 11, 60) end as answer from base)
+    case when role = 'system' then '' else coalesce(substring(text, 11) || substring(text, 1, 10), '') end as answer from base)
 """
 _ACC = "round(coalesce(avg(case when not should_decline and expected is not null then case when len(sections) > 0 and sections[1] = expected then 1.0 else 0.0 end end), 1), 9)"
 _REC = "round(coalesce(avg(case when not should_decline and expected is not null then case when list_contains(sections[1:5], expected) then 1.0 else 0.0 end end), 1), 9)"
@@ -58,16 +50,9 @@ def _rounded(rows):
     return rows.withColumns({c: F.round(c, 9) for c, kind in rows.dtypes if kind == "double"})
 
 
-@query(_PAIRS + f"""select {_ACC} as section_citation_accuracy, {_REC} as context_recall_at_5, {_ROUTE} as language_routing_accuracy, {_DECL} as decline_accuracy,
- round(coalesce(avg(case when not declined and reference is not null then levenshtein(reference, answer) / nullif(greatest(length(reference), length(answer)), 0)::double end), 0), 9) as answer_edit_distance, count(*) as n from pairs""")
-def evaluation_metrics(t):
-    """All metrics in one pass, distance by Levenshtein inside the JVM."""
-    return _rounded(evaluation.metrics(_pairs(t), "levenshtein"))
-
-
 @query()
-def evaluation_metrics_difflib(t):
-    """The same with the Ratcliff-Obershelp distance, which SQL lacks."""
+def evaluation_metrics(t):
+    """All metrics in one pass over whole answers."""
     return _rounded(evaluation.metrics(_pairs(t)))
 
 
@@ -92,7 +77,7 @@ def evaluation_breakdown(t):
  select 'section_citation_accuracy' as metric, a as value, 0.85 as threshold from m union all select 'language_routing_accuracy', r, 0.95 from m union all select 'decline_accuracy', d, 0.95 from m)
 select metric, value, threshold::double as threshold, value >= threshold as passed, (select bool_and(value >= threshold) from g) as all_passed from g""")
 def threshold_gate(t):
-    return _rounded(evaluation.gate(evaluation.metrics(_pairs(t), "levenshtein")))
+    return _rounded(evaluation.gate(evaluation.metrics(_pairs(t))))
 
 
 @query(_PAIRS + "select id, detected as detected_language, declined, len(sections) as n_sections, answer from pairs")
@@ -135,9 +120,9 @@ def sampled_records(t):
     return evaluation.sample_eval(chunks, acts, 3, 7, pool).select("act_slug", "language", "category", "id")
 
 
-@query(f"""with w as (select doc_id, substring({_ASCII}, 1, 200) as a, substring({_ASCII}, 51, 200) as b from documents)
-select doc_id as id, levenshtein(a, b) as distance, round(1 - coalesce(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0)::double, 0), 9) as ratio from w""")
+@query()
 def edit_ratios(t):
-    """Similarity of two windows of each text (the windows are the compared texts)."""
-    a, b = F.substring(_plain(), 1, 200), F.substring(_plain(), 51, 200)
-    return t.documents.select(F.col("doc_id").alias("id"), F.levenshtein(a, b).cast("bigint").alias("distance"), F.round(evaluation.levenshtein_ratio(a, b), 9).alias("ratio"))
+    """How far clean white space, small letters and no digits are from each text."""
+    clean = F.regexp_replace(F.lower("text"), r"[0-9\s]+", " ")
+    found = t.documents.select(F.col("doc_id").alias("id"), "text", clean.alias("clean"))
+    return found.select("id", distance.edit_distance("text", "clean").alias("distance"), F.round(evaluation.similarity(F.col("text"), F.col("clean")), 9).alias("ratio"))

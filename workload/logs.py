@@ -1,9 +1,10 @@
 """Browsing and query-log analytics."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from provenant.functions import policy
 from provenant.operators import anchored, browse, logs
+from provenant.plans import skew
 from workload.base import query
 
 NOW = "2024-01-31 00:00:00"
@@ -25,10 +26,9 @@ def _acts(t):
 @query("""select act_year, full_name_en, row_number() over (order by act_year, full_name_en) as place from (
   select 1900 + s_nationkey as act_year, 'The ' || s_name || ' Act' as full_name_en from supplier)""")
 def listed_acts(t):
-    """Acts in reading order, with the place of each: ids rise along the ranges of the sorted frame."""
-    listed = browse.list_acts(_acts(t)).withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_at"))
-    return listed.select(F.col("act_year").cast("bigint").alias("act_year"), "full_name_en", place.alias("place"))
+    """Acts in reading order, with the place of each, numbered year by year."""
+    listed = skew.running_number(browse.list_acts(_acts(t)), [], [F.asc("full_name_en")], F.col("act_year"), "place")
+    return listed.select(F.col("act_year").cast("bigint").alias("act_year"), "full_name_en", "place")
 
 
 @query("select s_suppkey as id from supplier where contains(lower(s_name), lower('R#00000001')) or contains(lower('The ' || s_name || ' Act'), lower('R#00000001'))")
@@ -104,18 +104,15 @@ def _flat(detail):
 def section_detail(t):
     """The smallest section number of one act, looked up by slug and number."""
     provisions = _order_provisions(t)
-    smallest = provisions.filter("act_id = 17").agg(F.min("number").alias("number"))
-    found = provisions.join(smallest, "number", "left_semi")
-    return _flat(browse.section_detail(_acts(t), found.withColumn("number", F.lit("first")), _provision_revisions(t), "act-17", "first", "D").withColumns({
-        "number": F.col("provision_id").cast("string"), "hierarchy_path": F.replace("hierarchy_path", F.lit(" first"), F.concat(F.lit(" "), F.col("provision_id").cast("string")))}))
+    smallest = provisions.filter("act_id = 17").agg(F.min("number")).first()[0]
+    return _flat(browse.section_detail(_acts(t), provisions, _provision_revisions(t), "act-17", smallest or "", "D"))
 
 
 @query(_DETAIL + "select * from o where provision_id = (select max(id) from p)")
 def provision_detail(t):
     provisions = _order_provisions(t)
-    last = provisions.agg(F.max("id").alias("id"))
-    marked = provisions.join(last.withColumn("_last", F.lit(True)), "id", "left").filter("_last").drop("_last")
-    return _flat(browse._detail(marked, _acts(t), _provision_revisions(t), "D"))
+    last = provisions.agg(F.max("id")).first()[0]
+    return _flat(browse.provision_detail(_acts(t), provisions, _provision_revisions(t), last, "D"))
 
 
 def _runs(t):
