@@ -124,7 +124,9 @@ class ContentSearch:
         # At most as many numbers as there are buckets.
         buckets = [r.b for r in self.needed.select(bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()]
         blocks, terms = index.of(buckets)
-        self.blocks = blocks.join(self.needed.select("term").distinct(), "term", "left_semi")
+        # The lists of the queries' words, from their buckets; written once, since every step below reads them.
+        self.lists = blocks.join(self.needed.select("term").distinct(), "term", "left_semi").drop("bucket")
+        self.blocks = stored(self.lists)
         weight = F.lit(COVER_WEIGHT) * F.col("n_terms") * _SLACK
         # An alternative with a word that no chunk has cannot match.
         pivots = words.join(terms.drop("bucket"), "term").groupBy("query_id", "clause", "n_terms").agg(
@@ -139,7 +141,7 @@ class ContentSearch:
             "query_id", "clause", *self.key, "n", (weight * F.least("least", "_most") + F.col("all") - F.col("highest")).alias("bound")))
         # By bound alone: which of equal blocks come first does not matter to the result.
         best = top_per_group(self.heads, ["query_id"], [F.desc("bound"), *self.key, F.asc("clause")], settings.first_blocks, "_n")
-        self.first = stored(best.drop("_n"))
+        self.first = best.drop("_n")
 
     def candidates(self, heads: DataFrame) -> DataFrame:
         """(query_id, chunk_id) of the postings of some blocks, within the query's scope."""
@@ -203,9 +205,9 @@ def path_hits(queries: DataFrame, chunks: DataFrame, n: int, settings: Settings)
     total = paths.agg(F.count(F.lit(1))).scalar()
     # At most common_share times the mean length of a path.
     common = words.filter(F.col("df") * settings.common_share > total).agg(F.collect_set("term")).scalar()
-    paths = stored(paths.withColumn("common", common).withColumn("common", F.array_sort(F.filter("tokens", lambda w: F.array_contains("common", w)))))
-    q = stored(queries.select("query_id", path_terms(F.col("query_text")).alias("terms"),
-                              *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in queries.columns]))
+    paths = paths.withColumn("common", common).withColumn("common", F.array_sort(F.filter("tokens", lambda w: F.array_contains("common", w))))
+    q = queries.select("query_id", path_terms(F.col("query_text")).alias("terms"),
+                       *[F.col(c).alias(f"q_{c}") for c in _QUERY_SCOPE if c in queries.columns])
 
     def met(rows: DataFrame, lead: Column, tokens: str) -> DataFrame:
         """Scores of the rows (ids, scope, tokens) that share a word of ``lead`` with a question."""

@@ -257,7 +257,7 @@ def test_search_reads_only_what_it_needs(spark):
     index = postings.write_index(_zipf_chunks(spark), buckets=16)
     asked = spark.createDataFrame([(1, "the half")], "query_id int, query_text string")
     search = lexical.ContentSearch(asked, index, 5, S)
-    plan = _plan(search.blocks.select("term", "n"))
+    plan = _plan(search.lists.select("term", "n"))
     used = {r.b for r in search.needed.select(postings.bucket_of(F.col("term"), 16).alias("b")).collect()}
     folders = {r.f.split("bucket=")[1].split("/")[0] for r in index.of(sorted(used))[0].select(F.input_file_name().alias("f")).distinct().collect()}
     assert folders == {str(b) for b in used} and len(used) <= 2

@@ -133,8 +133,15 @@ def _text_chunks(t):
                               path.alias("hierarchy_path"), F.col("text").alias("content"), tokenize(F.col("text")).alias("tokens"))
 
 
+_INDEXES = {}
+
+
 def _index(t):
-    return postings.write_index(_text_chunks(t).drop("hierarchy_path", "content"))
+    """The documents' index, written by the first query of a session that searches them, as an ingest would."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.write_index(_text_chunks(t).drop("hierarchy_path", "content"))
+    return _INDEXES[key]
 
 
 def _asked(t):
@@ -226,7 +233,7 @@ def path_search(t):
 @query("with " + _DOCS + ", " + _PASSAGES + "," + sql_content("clause", "d") + "," + sql_path("d") + "," + _LEX +
        "select query_id, chunk_id, round(score, 6) as score, rank from lex where rank <= 40")
 def lexical_search(t):
-    hits = lexical.lexical_topn(_asked(t), _text_chunks(t).drop("content"), SETTINGS.top_n, SETTINGS)
+    hits = lexical.lexical_topn(_asked(t), _text_chunks(t).drop("content"), SETTINGS.top_n, SETTINGS, _index(t))
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -260,7 +267,7 @@ fused as (select query_id, chunk_id, sum(part) as score, bool_or(lexical) as lex
 @query(_FUSED + "select query_id, chunk_id, round(score, 9) as score from fused")
 def hybrid_search(t):
     """Vector and full-text lists fused by reciprocal ranks."""
-    return retrieval.hybrid(_hybrid_queries(t), _hybrid_chunks(t)).withColumn("score", F.round("score", 9))
+    return retrieval.hybrid(_hybrid_queries(t), _hybrid_chunks(t), index=_index(t)).withColumn("score", F.round("score", 9))
 
 
 @query(_FUSED.replace("0.5::double / (60 + rank) as part", "0.5::double / (60 + rank) as part") + """
@@ -268,7 +275,7 @@ select query_id, count(*) as hits, round(max(score), 9) as best, max(score) < 0.
 def fused_strength(t):
     """Which questions found too little and would search the other language."""
     queries = _hybrid_queries(t)
-    hits = stored(retrieval.hybrid(queries, _hybrid_chunks(t)))
+    hits = stored(retrieval.hybrid(queries, _hybrid_chunks(t), index=_index(t)))
     weak = retrieval.needs_fallback(queries, hits).select("query_id", F.lit(True).alias("weak"))
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score"), 9).alias("best"))
     return found.join(weak, "query_id", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
@@ -296,7 +303,7 @@ ranked as (select *, row_number() over (partition by query_id order by rerank_sc
 def _fallback(t):
     language = F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr")
     queries = _hybrid_queries(t).withColumn("language", language)
-    return queries, retrieval.with_fallback(queries, _hybrid_chunks(t), SETTINGS, lambda c: F.when(c == "en", "fr").otherwise("en"))
+    return queries, retrieval.with_fallback(queries, _hybrid_chunks(t), SETTINGS, lambda c: F.when(c == "en", "fr").otherwise("en"), index=_index(t))
 
 
 @query(_FALLBACK + "select query_id, chunk_id, round(score, 9) as score, source from hits")
