@@ -1,7 +1,7 @@
 """A stored positional inverted index over tokenised chunks.
 
-Chunks are inverted batch by batch inside the tasks that read them, so no word's list is gathered in one place and nothing is
-shuffled but finished blocks. A block holds up to ``block`` postings of one word and language from one batch, those with the most
+Chunks are inverted batch by batch inside the tasks that read them, so no word's list is gathered in one place and nothing need be
+shuffled. A block holds up to ``block`` postings of one word and language from one batch, those with the most
 occurrences first, and states the most occurrences of any of them. Blocks lie in one folder per bucket of words; a search reads only the
 buckets of its words, and of blocks it does not open only the head.
 
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from provenant.plans.session import shared_folder
 
+#: Chunks that are inverted together.
+SEGMENT = 4096
 SCOPE = ["act_id", "effective_from", "effective_to"]
 
 
@@ -108,10 +110,11 @@ def invert(batch: pa.RecordBatch, inner: list[str], block: int, segment: int) ->
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-def write_index(chunks: DataFrame, folder: str | None = None, buckets: int = 32, block: int = 128, spread: int = 8) -> Index:
+def write_index(chunks: DataFrame, folder: str | None = None, buckets: int = 32, block: int = 128, spread: int | None = None) -> Index:
     """Invert chunks (chunk_id, tokens and optionally language, act_id, effective_from, effective_to) into two tables.
 
-    ``spread`` files hold a bucket's blocks per write.
+    Each task writes its blocks where they belong, a file per bucket, and nothing is shuffled. With ``spread``, blocks are shuffled
+    so that so many files hold a bucket, for corpora read in very many tasks.
     """
     spark = chunks.sparkSession
     folder = folder or f"{shared_folder(spark)}/provenant-{uuid4().hex}"
@@ -124,12 +127,13 @@ def write_index(chunks: DataFrame, folder: str | None = None, buckets: int = 32,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, batch in enumerate(batches):
-            for j, at in enumerate(range(0, batch.num_rows, 2048)):
-                yield invert(batch.slice(at, 2048), inner, block, (TaskContext.get().partitionId() << 32) + i * 64 + j)
+            for j, at in enumerate(range(0, batch.num_rows, SEGMENT)):
+                yield invert(batch.slice(at, SEGMENT), inner, block, (TaskContext.get().partitionId() << 32) + i * 64 + j)
 
     placed = rows.mapInArrow(run, schema).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    share = F.pmod(F.col("segment"), F.lit(spread))
-    placed.repartition(F.col("bucket"), share).sortWithinPartitions("bucket", "term", "segment", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    if spread:
+        placed = placed.repartition(F.col("bucket"), F.pmod(F.col("segment"), F.lit(spread)))
+    placed.sortWithinPartitions("bucket", "term", "segment", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     return read_index(spark, folder, buckets, schema, write_terms=True)
 
 
