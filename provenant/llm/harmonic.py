@@ -21,42 +21,63 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import islice
 from struct import pack as pack_numbers
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from provenant.llm.segments import parts
+from provenant.llm.token_counts import PATTERN, byte_letters
 from provenant.plans.session import stored
 
 CAPACITY, SLACK, WORKERS_PER_GROUP = 2048, 8, 64
-#: Entries of a worker's table of token ids.
+#: Entries of each of a worker's tables of token ids.
 TABLE = 800_000
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker bigint, sequence_id bigint, offset bigint"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "sequence_id", "offset"]
 
 
+class Known(dict):
+    """Token ids, as bytes, of pre-tokens or of parts of texts; a missing key is worked out by ``find``."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.find(key)
+        return ids
+
+    def trim(self) -> None:
+        """Forget the older half of a full table."""
+        if len(self) > TABLE:
+            for key in list(islice(self, len(self) // 2)):
+                del self[key]
+
+
 class Ids:
-    """Token ids of texts, as bytes, by the tokenizers library; recurring parts are encoded once."""
+    """Token ids of texts, as bytes, by the tokenizers library; a part of a text that recurs, and a pre-token that does, are encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores run other tasks
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.alone: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def learn(self, table: dict[str, bytes], found: set[str], lead: str) -> None:
-        if len(table) > TABLE:
-            table.clear()
-        unknown = [x for x in found if x not in table]
-        for i in range(0, len(unknown), 10_000):
-            some = unknown[i:i + 10_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False)):
-                ids = e.ids
-                table[part] = pack_numbers(f"<{len(ids)}I", *ids)
+        self.tokenize = self.tokenizer.model.tokenize
+        pretokens, find = Known(self.pretoken), regex.compile(PATTERN).findall
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.alone = Known(lambda part: b"".join(map(pretokens.__getitem__, find(part))))
+        self.spaced = Known(lambda part: b"".join(map(pretokens.__getitem__, find(" " + part))))
+        self.tables = [pretokens, self.alone, self.spaced]
+
+    def pretoken(self, word: str) -> bytes:
+        # The model merges the letters that stand for the bytes.
+        letters = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(letters)]
+        return pack_numbers(f"<{len(ids)}I", *ids)
 
     def split(self, text: str) -> list[str | bytes]:
         """Texts between special strings, and those strings' ids."""
@@ -69,13 +90,18 @@ class Ids:
         return [text]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [[x if isinstance(x, bytes) else parts(x) for x in self.split(t)] for t in texts]
-        whole = [x for t in cut for x in t if not isinstance(x, bytes)]
-        self.learn(self.alone, {p for a, _ in whole for p in a}, "")
-        self.learn(self.spaced, {p for _, s in whole for p in s}, " ")
-        for t in cut:
-            yield b"".join(x if isinstance(x, bytes) else b"".join(map(self.alone.__getitem__, x[0])) + b"".join(map(self.spaced.__getitem__, x[1]))
-                           for x in t)
+        for text in texts:
+            out: list[bytes] = []
+            for piece in self.split(text):
+                if isinstance(piece, bytes):
+                    out.append(piece)
+                    continue
+                alone, spaced = parts(piece)
+                out += map(self.alone.__getitem__, alone)
+                out += map(self.spaced.__getitem__, spaced)
+            for table in self.tables:
+                table.trim()
+            yield b"".join(out)
 
 
 @cache
