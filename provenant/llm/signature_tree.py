@@ -7,21 +7,22 @@ leaves hold token bitmaps, inner nodes the bitmaps OR-combined, with ranges of s
 discards pairs of nodes whose largest possible overlap is too small for the similarity, and pairs that are within
 one component. What remains is verified on the full sets.
 
-There are two passes. In the first, a pair that passes the bounds is taken for a link while a list is searched, so that a
-list of n similar classes yields n - 1 pairs, not all of them, and of all lists one pair per class is verified. Verified
-links give components. In the
-second, all pairs that pass the bounds and lie in different components are verified. After it no link between
-components can be missing, so the components are exact, though links within one are not enumerated.
+There are two passes. In the first, lists are searched on bitmaps of bounded width, and a pair that passes the bounds is
+taken for a link while a list is searched, so that a list of n similar classes yields n - 1 pairs at most, not all of them.
+No link is missed, so the components of these pairs, called bundles, hold all links. In the second, a bundle's whole sets are shipped
+once to a cell and searched by the same traversal, with one bit for each shingle that two members share: there the overlap
+is exact. Only links that join two groups of a cell leave it. A bundle of more than ``CELL`` shingles is cut into blocks:
+at first each block meets the next one; bundles that then still hold several components are searched in all pairs of
+blocks. So the components are exact, though links within one are not enumerated.
 
 Frequent shingles (shared passages) come last in the order, so that they are in the prefix only of documents that consist of
 them. They are counted in every part of the table; at most ``FREQUENT`` of them are shipped, which affects the length
-of lists but never the result. Lists longer than ``BLOCK`` are searched block by block in the first pass; in the second
-those that still hold several components are searched in pairs of blocks.
+of lists but never the result. Lists longer than ``BLOCK`` are searched in pairs of blocks.
 
 Cases: letters A-Z count as small. A text of one to four words has one shingle, its whole sequence. A null text, an empty one
 and one without words has no shingle, is linked with nothing and is its own component. Documents that repeat are one
-class, and rows that repeat an id each get the component of their text. A null id counts as largest; a text that only rows without id
-have is linked with equal texts alone. Distinct sets
+class; texts are told by their class alone, so rows that repeat an id each get the component of their text, and rows without id
+link like others. A null id counts as largest. Distinct sets
 are told apart by a 64-bit hash of the set. Only the named columns are read.
 """
 
@@ -33,16 +34,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provenant.llm.components import components
 from provenant.plans.session import stored
 
 SHINGLE, SHARE, BASE = 5, 80, 100
-FREQUENT, BLOCK, LEAF, GROUP = 400_000, 256, 16, 128
+FREQUENT, BLOCK, LEAF = 400_000, 2048, 16
+#: Shingles of a block of a bundle, and the widest bitmap of a set, in bits.
+CELL, WIDEST = 1_000_000, 8192
 #: Entries of a worker's table of words, and tokens that are counted at a time for frequency.
 TABLE, CHUNK = 250_000, 2_000_000
-#: Bits of the filter of candidate documents; a full filter only ships more sets.
+#: Bits of the filter of classes that are in a bundle; a full filter only ships more sets.
 FILTER_BITS = 1 << 23
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -87,8 +91,8 @@ def prefix_length(n: int) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of a set, as 64-bit words; about a fifth of its bits are set."""
-    width = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+    """Bitmap of a set, as 64-bit words; about a fifth of its bits are set, more for sets of thousands."""
+    width = min(WIDEST, max(64, 1 << int(4 * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -144,37 +148,38 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per document its class, set size, bitmap and prefix. The last two are left out where a part of the table repeats a set."""
+    """Per document its class and set size, and, unless a part of the table repeats a set, a number, bitmap, prefix and the whole set."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, seen = Words(), shared.value, set()
+        words, last, seen, number = Words(), shared.value, set(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, classes, bitmaps, prefixes = [], [], [], []
-            for text in batch.column("text"):
-                tokens = shingles(text.as_py(), words)
-                n, key = len(tokens), _class_of(tokens)
-                sizes.append(n)
-                classes.append(key if n else None)
-                if not n or key in seen:
-                    bitmaps.append(None)
-                    prefixes.append(None)
-                    continue
-                if len(seen) < TABLE:
-                    seen.add(key)
-                at = np.minimum(np.searchsorted(last, tokens), max(0, len(last) - 1))
-                often = last[at] == tokens if len(last) else np.zeros(n, bool)
-                p = prefix_length(n)
-                first = tokens[~often][:p]
-                if len(first) < p:
-                    first = np.concatenate((first, tokens[often][:p - len(first)]))
-                bitmaps.append(signature(tokens).tobytes())
-                prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bitmaps, pa.binary()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "bitmap", "prefix"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, class bigint, bitmap binary, prefix array<bigint>")
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found: list[list] = [[] for _ in range(6)]
+                for text in some.column("text"):
+                    tokens = shingles(text.as_py(), words)
+                    n, key = len(tokens), _class_of(tokens)
+                    if not n or key in seen:
+                        made = [n, key if n else None, None, None, None, None]
+                    else:
+                        if len(seen) < TABLE:
+                            seen.add(key)
+                        often = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens if len(last) else np.zeros(n, bool)
+                        p = prefix_length(n)
+                        first = tokens[~often][:p]
+                        if len(first) < p:
+                            first = np.concatenate((first, tokens[often][:p - len(first)]))
+                        number += 1
+                        made = [n, key, number, signature(tokens).tobytes(), first.view(np.int64), tokens.tobytes()]
+                    for column, value in zip(found, made):
+                        column.append(value)
+                kinds = [*[pa.int64()] * 3, pa.binary(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *map(pa.array, found, kinds)],
+                                                 names=["doc_id", "n", "class", "number", "bitmap", "prefix", "tokens"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, class bigint, number bigint, bitmap binary, prefix array<bigint>, tokens binary")
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,40 +226,38 @@ def _lists(sets: DataFrame) -> DataFrame:
 class Node:
     """A node of a signature tree: members [begin, end) of the sorted list, what their sets can hold, and their sizes."""
 
-    __slots__ = ("begin", "end", "bitmap", "low", "high", "fewest", "root", "children")
+    __slots__ = ("begin", "end", "bitmap", "low", "high", "fewest", "children", "single")
 
-    def __init__(self, begin: int, end: int, bitmap: np.ndarray, low: int, high: int, fewest: int, root: int | None, children: list[Node]):
+    def __init__(self, begin: int, end: int, bitmap: np.ndarray, low: int, high: int, fewest: int, children: list[Node]):
         self.begin, self.end, self.bitmap, self.low, self.high = begin, end, bitmap, low, high
-        self.fewest, self.root, self.children = fewest, root, children
+        self.fewest, self.children, self.single = fewest, children, False
 
 
-def tree(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, roots: np.ndarray) -> Node:
+def tree(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray) -> Node:
     """The tree over members in their order; ``counts`` are the bits set per member."""
     level = []
     for b in range(0, len(sizes), LEAF):
         e = min(b + LEAF, len(sizes))
-        own = roots[b:e]
-        level.append(Node(b, e, np.bitwise_or.reduce(bitmaps[b:e], axis=0), int(sizes[b:e].min()), int(sizes[b:e].max()), int(counts[b:e].min()),
-                          int(own[0]) if (own == own[0]).all() else None, []))
+        level.append(Node(b, e, np.bitwise_or.reduce(bitmaps[b:e], axis=0), int(sizes[b:e].min()), int(sizes[b:e].max()), int(counts[b:e].min()), []))
     while len(level) > 1:
         upper = []
         for i in range(0, len(level), 4):
             kids = level[i:i + 4]
-            root = kids[0].root if all(k.root is not None and k.root == kids[0].root for k in kids) else None
             upper.append(Node(kids[0].begin, kids[-1].end, np.bitwise_or.reduce([k.bitmap for k in kids], axis=0), min(k.low for k in kids),
-                              max(k.high for k in kids), min(k.fewest for k in kids), root, kids))
+                              max(k.high for k in kids), min(k.fewest for k in kids), kids))
         level = upper
     return level[0]
 
 
-def _possible(a: Node, b: Node) -> bool:
+def _possible(a: Node, b: Node, exact: bool) -> bool:
     """Whether some member of one node may be similar enough to one of the other."""
-    if a.root is not None and a.root == b.root:
-        return False
     if a.low * BASE > b.high * BASE * BASE // SHARE or b.low * BASE > a.high * BASE * BASE // SHARE:
         return False
     both = int(np.bitwise_count(a.bitmap & b.bitmap).sum())
-    overlap = min(a.high - max(0, a.fewest - both), b.high - max(0, b.fewest - both))
+    if exact:
+        overlap = min(a.high, b.high, both)
+    else:
+        overlap = min(a.high - max(0, a.fewest - both), b.high - max(0, b.fewest - both))
     # overlap / (x + y - overlap) >= SHARE / BASE for the smallest sizes that can have this overlap.
     x, y = max(a.low, overlap), max(b.low, overlap)
     return overlap * (BASE + SHARE) >= SHARE * (x + y)
@@ -282,43 +285,63 @@ class Groups:
         self.up[max(i, j)] = min(i, j)
         return True
 
+    def single(self, node: Node) -> bool:
+        """Whether a node's members are one group. Once they are, they stay so."""
+        if not node.single:
+            if node.children:
+                node.single = all(map(self.single, node.children)) and len({self.find(k.begin) for k in node.children}) == 1
+            else:
+                node.single = len(set(map(self.find, range(node.begin, node.end)))) == 1
+        return node.single
+
 
-def search(sizes: np.ndarray, bitmaps: list[np.ndarray], roots: np.ndarray, spanning: bool, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of members that may be similar and are in different components, by dual traversal of the tree.
+def search(sizes: np.ndarray, flat: np.ndarray, roots: np.ndarray, exact: bool, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of members that may be similar, as few as connect all such pairs, by dual traversal of the tree.
 
-    ``spanning``: only as many as connect those that pass the bounds. ``sides``: of two blocks, only pairs across.
+    ``exact``: the bitmaps have a bit for each shared shingle, so overlaps are known and the pairs are similar.
+    ``sides``: of two blocks, only pairs across.
     """
-    words = min(len(b) for b in bitmaps)
-    flat = np.stack([folded(b, words) for b in bitmaps])
     counts = np.bitwise_count(flat).sum(axis=1).astype(np.int64)
-    groups = Groups(roots) if spanning else None
-    root = tree(sizes, flat, counts, roots)
+    groups = Groups(roots)
+    root = tree(sizes, flat, counts)
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if not _possible(a, b):
+        if groups.single(a) and groups.single(b) and groups.find(a.begin) == groups.find(b.begin) or not _possible(a, b, exact):
             continue
         if a.children or b.children:
             if a is b:
+                # A node with itself comes before pairs of nodes, which then have less to do.
                 kids = a.children
-                stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
+                stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i + 1, len(kids))] + [(k, k) for k in kids]
             elif a.children and (not b.children or a.end - a.begin >= b.end - b.begin):
                 stack += [(k, b) for k in a.children]
             else:
                 stack += [(a, k) for k in b.children]
             continue
-        i, j = np.meshgrid(np.arange(a.begin, a.end), np.arange(b.begin, b.end), indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        keep = (i < j) & (roots[i] != roots[j])
+        both = np.bitwise_count(flat[a.begin:a.end, None] & flat[None, b.begin:b.end]).sum(axis=2).astype(np.int64)
+        n, m = sizes[a.begin:a.end, None], sizes[None, b.begin:b.end]
+        overlap = both if exact else np.minimum(n - counts[a.begin:a.end, None] + both, m - counts[None, b.begin:b.end] + both)
+        fits = overlap * (BASE + SHARE) >= SHARE * (n + m)
         if sides is not None:
-            keep &= sides[i] != sides[j]
-        i, j = i[keep], j[keep]
-        both = np.bitwise_count(flat[i] & flat[j]).sum(axis=1).astype(np.int64)
-        overlap = np.minimum(sizes[i] - (counts[i] - both), sizes[j] - (counts[j] - both))
-        fits = overlap * (BASE + SHARE) >= SHARE * (sizes[i] + sizes[j])
-        for x, y in zip(i[fits].tolist(), j[fits].tolist()):
-            if groups is None or groups.join(x, y):
-                yield x, y
+            fits &= sides[a.begin:a.end, None] != sides[None, b.begin:b.end]
+        for x, y in np.argwhere(fits).tolist():
+            if groups.join(a.begin + x, b.begin + y):
+                yield a.begin + x, b.begin + y
+
+
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set a bit for each shingle that two sets have at least, as 64-bit words."""
+    all_, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
+    distinct, place, n = np.unique(all_, return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[place]
+    words = max(1, -(-int((n > 1).sum()) // 64))
+    bits = np.zeros((len(sets), words), np.uint64)
+    for i, (b, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        own = column[b:e]
+        own = own[own >= 0]
+        np.bitwise_or.at(bits[i], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+    return bits
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -341,7 +364,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _searcher(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
 
@@ -352,15 +375,19 @@ def _searcher(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             return out
 
         for rows in grouped(batches, "group"):
-            n, classes = rows.column("n").to_numpy(), rows.column("class").to_numpy()
+            n, classes, roots = (rows.column(c).to_numpy() for c in ("n", "class", "root"))
             # Similar sizes, then equal components, are neighbours in the tree.
-            order = np.lexsort((classes, rows.column("root").to_numpy(), n))
-            maps = rows.column("bitmap").to_pylist()
+            order = np.lexsort((classes, roots, n))
             sides = rows.column("side").to_numpy()[order]
-            bitmaps = [np.frombuffer(maps[i], np.uint64) for i in order]
-            found = search(n[order], bitmaps, rows.column("root").to_numpy()[order], spanning, sides if sides.any() else None)
+            signs = rows.column("signs")
+            held = [np.frombuffer(signs[i].as_buffer(), np.uint64) for i in order.tolist()]
+            if exact:
+                flat = shared_bits(held)
+            else:
+                words = min(map(len, held))
+                flat = np.stack([folded(b, words) for b in held])
             names = classes[order]
-            for i, j in found:
+            for i, j in search(n[order], flat, roots[order], exact, sides if sides.any() else None):
                 x, y = int(names[i]), int(names[j])
                 left.append(min(x, y))
                 right.append(max(x, y))
@@ -371,79 +398,56 @@ def _searcher(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _candidates(lists: DataFrame, classes: DataFrame, roots: DataFrame | None, spanning: bool) -> DataFrame:
-    """Distinct pairs of classes that the lists' trees leave."""
-    if roots is None:
-        rows = lists.withColumn("root", F.col("class"))
-    else:
-        rows = lists.join(roots, lists["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-        mixed_lists = rows.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("list")
-        rows = rows.join(mixed_lists, "list")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def _searched(rows: DataFrame, exact: bool) -> DataFrame:
+    """Pairs of classes found in cells: rows of (group, class, root, side, n, signs)."""
+    rows = rows.repartition("group").sortWithinPartitions("group").select("group", "class", "root", "side", "n", "signs")
+    return rows.mapInArrow(_searcher(exact), "a bigint, b bigint").distinct()
+
+
+def _seats(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """The cells of each row where the blocks of a key meet in pairs; a block with itself has no sides."""
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    seat = lambda i, j, side: [F.xxhash64("list", i, j).alias("group"), side.cast("int").alias("side")]
-    if spanning:
-        # Each block of a long list by itself, and the least classes of all blocks together: rows do not multiply.
-        rows = rows.withColumn("block", own)
-        leaders = rows.filter(F.col("size") > BLOCK).groupBy("list", "size", "block").agg(F.min("class").alias("class")).withColumn("root", F.col("class"))
-        part = F.pmod(F.xxhash64("class"), F.ceil(blocks / BLOCK).cast("int")).cast("int")
-        rows = rows.select("class", "root", *seat(F.col("block"), F.col("block"), F.lit(0))).union(
-            leaders.select("class", "root", *seat(F.lit(-1), part, F.lit(0))))
-    else:
-        # Blocks meet in pairs; a block with itself has no sides.
-        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
-            F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
-        rows = rows.select("class", "root", "list", F.explode(meets).alias("m")).select(
-            "class", "root", *seat(F.col("m.i"), F.col("m.j"), F.col("m.side")))
-    rows = rows.join(classes.select("class", "n", "bitmap"), "class")
-    rows = rows.repartition("group").sortWithinPartitions("group").select("group", "class", "root", "side", "n", "bitmap")
-    return rows.mapInArrow(_searcher(spanning), "a bigint, b bigint").distinct()
-
-
-def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by group with its parent first, the members whose sets are similar enough to their parent's."""
-    words, group, parent, own = Words(), None, None, np.zeros(0, np.uint64)
-    for batch in batches:
-        left, right = [], []
-        for key, is_parent, name, text in zip(*(batch.column(c).to_pylist() for c in ("group", "parent", "class", "text"))):
-            if key != group:
-                group, parent = key, None
-            # A repeated id may stand for several texts; the class tells which one is meant.
-            tokens = shingles(text, words)
-            if _class_of(tokens) != name:
-                continue
-            if is_parent:
-                parent, own = name, tokens
-            elif parent is not None:
-                both = len(np.intersect1d(own, tokens, assume_unique=True))
-                if BASE * both >= SHARE * (len(own) + len(tokens) - both):
-                    left.append(parent)
-                    right.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough.
-
-    A pair's first class is the parent of a group, at most GROUP others its members. Each row carries a text, which is
-    smaller than its set; a parent's text is repeated per group, so no group is large.
-    """
-    groups = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")))
-    members = pairs.join(groups, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("group"), F.lit(False).alias("parent"), F.col("b").alias("class"))
-    parents = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
-        F.xxhash64("a", F.col("part").cast("bigint")).alias("group"), F.lit(True).alias("parent"), F.col("a").alias("class"))
-    seats = members.union(parents)
-    holders = stored(seats.select("class").distinct().join(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
-    # A filter of FILTER_BITS / 8 bytes at most spares most documents' texts the shuffle.
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = (holders.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
+    meets = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda k: F.struct(
+        F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(own == k, 0).when(own < k, 1).otherwise(2).cast("int").alias("side")))
+    return rows.withColumn("_m", F.explode(meets)).select("class", "root", F.xxhash64(key, "_m.i", "_m.j").alias("group"), F.col("_m.side").alias("side"))
+
+
+def _bundles(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes that bitmaps cannot keep apart."""
+    seats = _seats(lists.withColumn("root", F.col("class")), "list", F.ceil(F.col("size") / BLOCK).cast("int"))
+    return stored(components(_searched(seats.join(classes, "class").withColumnRenamed("bitmap", "signs"), False)))
+
+
+def _links(sets: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Links of classes, as many as connect all that are linked."""
+    # Any row of a class has its set; the one with the least number gives it.
+    chosen = sets.filter("number is not null").groupBy("class").agg(F.min("number").alias("number"), F.first("n").alias("n"))
+    members = stored(bundles.select(F.col("node").alias("class"), F.col("root").alias("bundle")).join(chosen, "class"))
+    cells = members.groupBy("bundle").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
+    members = stored(members.join(cells, "bundle"))
+    # A filter of FILTER_BITS / 8 bytes at most spares the sets of other classes the shuffle.
+    bit = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
+    parts = (members.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
              .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    marked = rows.withColumns({"part": F.bitmap_bucket_number(bit), "bit": F.bitmap_bit_position(bit)}).join(F.broadcast(parts), "part")
     byte = F.ascii(F.decode(F.substr("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-    texts = marked.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("doc_id", "text")
-    texts = texts.join(holders, "doc_id").select("class", "text")
-    seated = seats.join(texts, "class").repartition("group").sortWithinPartitions("group", F.desc("parent"))
-    return stored(seated.select("group", "parent", "class", "text").mapInArrow(_tested, "a bigint, b bigint").distinct())
+    marked = sets.filter("number is not null").select("class", "number", "n", F.col("tokens").alias("signs"), F.bitmap_bucket_number(bit).alias("part"),
+                                                      F.bitmap_bit_position(bit).alias("bit")).join(F.broadcast(parts), "part")
+    whole = marked.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("number", "n", "signs")
+    whole = stored(members.select("class", "number").join(whole, "number").select("class", "n", "signs"))
+
+    # Each block meets itself and the next one, so that most bundles are one component after that.
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    ring = F.when(F.col("blocks") < 3, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(own, F.pmod(own + 1, F.col("blocks"))).cast("array<bigint>"))
+    seats = members.withColumn("_cell", F.explode(ring)).select("class", F.col("class").alias("root"), F.xxhash64("bundle", "_cell").alias("group"), F.lit(0).alias("side"))
+    first = stored(_searched(seats.join(whole, "class"), True))
+    large = members.filter("blocks > 3")
+    if large.isEmpty():
+        return first
+    roots = stored(components(first))
+    large = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_ = large.groupBy("bundle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bundle")
+    more = _searched(_seats(large.join(open_, "bundle"), "bundle", F.col("blocks")).join(whole, "class"), True)
+    return first.union(more)
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -451,16 +455,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(_sets(rows, _frequent(rows)))
     classes = sets.filter("bitmap is not null").select("class", "n", "bitmap").dropDuplicates(["class"])
-    lists = _lists(sets)
-    # Lists overlap, so a class has candidates in each; one of them is enough to begin with.
-    tried = stored(_candidates(lists, classes, None, True).groupBy("b").agg(F.min("a").alias("a")))
-    first = _verified(tried, sets, rows)
-    roots = stored(components(first))
-    more = stored(_candidates(lists, classes, roots, False).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = _verified(more, sets, rows)
-        roots = stored(components(first.union(links)))
-    return sets, roots
+    bundles = _bundles(_lists(sets), classes)
+    return sets.select("doc_id", "n", "class"), stored(components(_links(sets, bundles)))
 
 
 def class_column(text: str) -> Column:
