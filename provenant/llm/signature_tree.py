@@ -43,7 +43,7 @@ from provenant.plans.session import stored
 SHINGLE, SHARE, BASE = 5, 80, 100
 FREQUENT, BLOCK, LEAF = 400_000, 2048, 16
 #: Shingles of a block of a bundle, and the widest bitmap of a set, in bits.
-CELL, WIDEST = 1_000_000, 8192
+CELL, WIDEST = 1_000_000, 16384
 #: Entries of a worker's table of words, and tokens that are counted at a time for frequency.
 TABLE, CHUNK = 250_000, 2_000_000
 #: Bits of the filter of classes that are in a bundle; a full filter only ships more sets.
@@ -295,11 +295,12 @@ class Groups:
         return node.single
 
 
-def search(sizes: np.ndarray, flat: np.ndarray, roots: np.ndarray, exact: bool, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def search(sizes: np.ndarray, flat: np.ndarray, roots: np.ndarray, exact: bool, sides: np.ndarray | None = None,
+           own: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs of members that may be similar, as few as connect all such pairs, by dual traversal of the tree.
 
     ``exact``: the bitmaps have a bit for each shared shingle, so overlaps are known and the pairs are similar.
-    ``sides``: of two blocks, only pairs across.
+    ``sides``: of two blocks, only pairs across. ``own``: only pairs with one of these members.
     """
     counts = np.bitwise_count(flat).sum(axis=1).astype(np.int64)
     groups = Groups(roots)
@@ -325,6 +326,8 @@ def search(sizes: np.ndarray, flat: np.ndarray, roots: np.ndarray, exact: bool,
         fits = overlap * (BASE + SHARE) >= SHARE * (n + m)
         if sides is not None:
             fits &= sides[a.begin:a.end, None] != sides[None, b.begin:b.end]
+        if own is not None:
+            fits &= own[a.begin:a.end, None] | own[None, b.begin:b.end]
         for x, y in np.argwhere(fits).tolist():
             if groups.join(a.begin + x, b.begin + y):
                 yield a.begin + x, b.begin + y
@@ -364,6 +367,18 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _by_width(sizes: np.ndarray, bitmaps: list[np.ndarray], roots: np.ndarray, sides: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Pairs that bitmaps cannot keep apart. Sets that may be similar have bitmaps of one width, or of one and twice that, so none is folded further."""
+    widths = np.array([len(b) for b in bitmaps])
+    for width in np.unique(widths).tolist():
+        own = widths == width
+        at = np.flatnonzero(own | (widths == 2 * width) & (sizes * SHARE <= BASE * sizes[own].max()))
+        if len(at) > 1:
+            flat = np.stack([folded(bitmaps[i], width) for i in at.tolist()])
+            for i, j in search(sizes[at], flat, roots[at], False, None if sides is None else sides[at], own[at]):
+                yield int(at[i]), int(at[j])
+
+
 def _searcher(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -381,13 +396,9 @@ def _searcher(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             sides = rows.column("side").to_numpy()[order]
             signs = rows.column("signs")
             held = [np.frombuffer(signs[i].as_buffer(), np.uint64) for i in order.tolist()]
-            if exact:
-                flat = shared_bits(held)
-            else:
-                words = min(map(len, held))
-                flat = np.stack([folded(b, words) for b in held])
-            names = classes[order]
-            for i, j in search(n[order], flat, roots[order], exact, sides if sides.any() else None):
+            names, across = classes[order], sides if sides.any() else None
+            found = search(n[order], shared_bits(held), roots[order], True, across) if exact else _by_width(n[order], held, roots[order], across)
+            for i, j in found:
                 x, y = int(names[i]), int(names[j])
                 left.append(min(x, y))
                 right.append(max(x, y))

@@ -1,8 +1,10 @@
 """Similarity join, components, and the pipeline's stages."""
 
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,8 +73,10 @@ def test_join_matches_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_blocks_of_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(signature_tree, "BLOCK", 3)
+@pytest.mark.parametrize("block, cell", [(3, 500), (2048, 300)])
+def test_blocks_of_lists_and_bundles(spark, monkeypatch, block, cell):
+    monkeypatch.setattr(signature_tree, "BLOCK", block)
+    monkeypatch.setattr(signature_tree, "CELL", cell)
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_tree.link(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
@@ -85,6 +89,40 @@ def test_join_of_few(spark):
     assert got == [("3", 1, "3"), ("5", 1, "3"), ("5", 1, "3"), ("9", 0, "9"), ("None", 0, "None"), ("None", 1, "3")]
 
 
+def test_links_through_rows_without_id_and_of_one_id(spark):
+    random.seed(8)
+    a = [f"w{i}" for i in range(100)]
+    b, c = a[10:] + [f"x{i}" for i in range(10)], a[20:] + [f"x{i}" for i in range(20)]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c))] + [(7, " ".join(random.choices(a, k=30))) for _ in range(1000)] + [(7, " ".join(c) + " y")]
+    got = [(r.doc_id, r.component_id) for r in signature_tree.link(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()]
+    assert [g for g in got if g[0] != 7] in [list(p) for p in itertools.permutations([(1, 1), (None, 1), (2, 1)])]
+    assert sorted(g[1] for g in got if g[0] == 7) == [1] + [7] * 1000
+
+
+def test_sets_of_all_widths_of_bitmaps():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.unique(base[at:at + n]) for n in (20, 60, 250, 300, 1000, 1100, 4000, 4800, 8000) for at in (0, n // 40, n // 12, n // 8, n // 2)]
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    sets, n = [sets[i] for i in order], n[order]
+    want = signature_tree.Groups(np.arange(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                want.join(i, j)
+    roots = np.arange(len(sets))
+    exact, loose = signature_tree.Groups(roots), signature_tree.Groups(roots)
+    for i, j in signature_tree.search(n, signature_tree.shared_bits(sets), roots, True):
+        exact.join(i, j)
+    for i, j in signature_tree._by_width(n, [signature_tree.signature(s) for s in sets], roots, None):
+        loose.join(i, j)
+    groups = list(map(want.find, range(len(sets))))
+    assert list(map(exact.find, range(len(sets)))) == groups and len(set(groups)) < len(sets)
+    assert all(loose.find(i) == loose.find(g) for i, g in enumerate(groups))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (500, 400), (400, 300), (300, 500)] + [(1000, 1001 + i) for i in range(50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
