@@ -91,8 +91,8 @@ def prefix_length(n: int) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of a set, as 64-bit words; about a fifth of its bits are set, more for sets of thousands."""
-    width = min(WIDEST, max(64, 1 << int(4 * len(tokens) - 1).bit_length()))
+    """Bitmap of a set, as 64-bit words; about a third of its bits are set, more for sets of many thousands."""
+    width = min(WIDEST, max(64, 1 << int(2 * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
