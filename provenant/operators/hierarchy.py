@@ -6,7 +6,7 @@ collected, so a walk takes the logarithm of the depth in rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,9 +23,15 @@ def label_suffix(kind: Column, number: Column, title: Column) -> Column:
         F.concat(F.lit("("), number, F.lit(")")))
 
 
-def _climb(nodes: DataFrame, tree: str) -> DataFrame:
+def _joined(above: str, own: str) -> Column:
+    return F.concat(above, F.lit("/"), own)
+
+
+def _climb(nodes: DataFrame, tree: str, joined: Callable[[str, str], Column] = _joined) -> DataFrame:
     """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans and cycles are left out.
 
+    ``joined`` puts the numbers of a path together.
+
     Only nodes that have children climb, by pointer doubling; all others then take the path of
     their parent in a single join, so the bulk of a tree is shuffled once.
     """
@@ -45,7 +51,7 @@ def _climb(nodes: DataFrame, tree: str) -> DataFrame:
         met = F.col("_met").isNotNull()
         climbing = stored(climbing.join(above, [tree, "_next"], "left").select(
             tree, "id", F.when(met, F.col("depth") + F.col("_d") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(met, F.concat("_p", F.lit("/"), "_path")).otherwise(F.col("_path")).alias("_path"),
+            F.when(met, joined("_p", "_path")).otherwise(F.col("_path")).alias("_path"),
             F.when(met, F.concat("_l", "_label")).otherwise(F.col("_label")).alias("_label"),
             F.when(met, F.col("_then")).otherwise(F.col("_next")).alias("_next"),
             (F.col("_lost") | F.coalesce("_gone", F.col("_next").isNotNull())).alias("_lost")))
@@ -53,7 +59,7 @@ def _climb(nodes: DataFrame, tree: str) -> DataFrame:
         F.col(tree), F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "_path", "_label")
     roots = nodes.filter("_up is null").select("*", F.lit(0).alias("depth"), F.col("_number").alias("_path"), F.col("_suffix").alias("_label"))
     below = nodes.filter("_up is not null").join(reached, [tree, "_up"]).withColumns(
-        {"_path": F.concat("_path", F.lit("/"), "_number"), "_label": F.concat("_label", "_suffix")})
+        {"_path": joined("_path", "_number"), "_label": F.concat("_label", "_suffix")})
     return roots.unionByName(below.select(*roots.columns))
 
 
@@ -94,31 +100,48 @@ def walk(nodes: DataFrame, root_label: str, tree: str = "act_id") -> DataFrame:
     return descend(nodes, tree, root_label).filter(F.coalesce("text", F.lit("")) != "")
 
 
+def _level(depth: int, below: Column | None, fields: Sequence[str]) -> Column:
+    """The nodes of one level, each with its stretch of the level below.
+
+    Both levels are held by an array of one struct, so that the level below is built once and not once a node.
+    """
+    def node(x: Column, under: Column) -> Column:
+        return F.struct(*[x["_all"][f].alias(f) for f in fields], F.slice(under, x["_first"] + 1, x["_n"]).alias("children"))
+    level = F.filter("_nodes", lambda x: x["depth"] == depth)
+    both = F.struct(level.alias("here"), (F.array() if below is None else below).alias("under"))
+    return F.transform(F.array(both), lambda s: F.transform(s["here"], lambda x: node(x, s["under"])))[0]
+
+
 def nest(nodes: DataFrame, tree: str = "act_id",
          fields: Sequence[str] = ("id", "kind", "number", "title", "sort_path")) -> DataFrame:
     """One row per root with its descendants nested as arrays, ordered by sort_path.
 
-    Built from the deepest level up, one grouping per level over a stored copy of the nodes with
-    their depth. The result is one value per root
+    Each node gets its place within its level of the root's tree, and the place and number of its children in the
+    level below, where siblings stand together; the levels of a root then fold into each other by slices. The number of
+    joins does not depend on the depth, though the type of the result does. The result is one value per root
     by definition, so it fits trees of document size; for wider ones use ``descend``.
     """
     columns = list(dict.fromkeys([tree, "id", "parent_id", "sort_path", *fields]))
-    keyed = nodes.select(*columns).withColumns({"_up": F.col("parent_id"), "_number": F.lit(""), "_suffix": F.lit("")})
-    placed = stored(_climb(keyed, tree).select(*columns, "depth"))
-    deepest = placed.agg(F.max("depth")).first()[0] or 0
-    nested: DataFrame | None = None
-    for depth in range(deepest, -1, -1):
-        here = placed.filter(F.col("depth") == depth).drop("depth")
-        if nested is None:
-            here = here.withColumn("children", F.array())
-        else:
-            order = F.struct("sort_path", F.struct(*fields, "children").alias("node"))
-            grouped = nested.groupBy(tree, F.col("parent_id").alias("id")).agg(
-                F.array_sort(F.collect_list(order)).alias("_sorted"))
-            here = here.join(grouped, [tree, "id"], "left").withColumn(
-                "children", F.coalesce(F.col("_sorted.node"), F.array())).drop("_sorted")
-        nested = here
-    return nested.drop("parent_id")
+    # A path of (sort_path, id) pairs: nodes of one level in its order keep siblings together.
+    keyed = nodes.select(*columns).withColumns({
+        "_up": F.col("parent_id"), "_number": F.array(F.struct("sort_path", "id")), "_suffix": F.lit("")})
+    placed = _climb(keyed, tree, lambda above, own: F.concat(above, own))
+    children = nodes.filter("parent_id is not null").groupBy(F.col(tree), F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = placed.join(children, [tree, "id"], "left").withColumns({
+        "_root": F.col("_path")[0]["id"], "_n": F.coalesce("_n", F.lit(0)).cast("int")})
+    before = Window.partitionBy(tree, "_root", "depth").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.repartition(tree, "_root").withColumns({
+        "_first": F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int"), "_place": F.count(F.lit(1)).over(before).cast("int")})
+    node = F.struct("depth", "_place", "_first", "_n", F.struct(*columns).alias("_all"))
+    roots = stored(numbered.groupBy(tree, "_root").agg(F.array_sort(F.collect_list(node)).alias("_nodes")))
+    deepest = roots.agg(F.max(F.element_at("_nodes", -1)["depth"])).first()[0] or 0
+    folded, below = roots, None
+    for depth in range(deepest, 0, -1):
+        folded = folded.withColumn(f"_level{depth}", _level(depth, below, fields))
+        below = F.col(f"_level{depth}")
+    root = F.element_at("_nodes", 1)["_all"]
+    return folded.select(*[root[c].alias(c) for c in columns if c != "parent_id"],
+                         (F.array() if below is None else below).alias("children"))
 
 
 def reading_order(nodes: DataFrame, kinds: Sequence[str] = READABLE_KINDS, tree: str = "act_id",

@@ -55,19 +55,14 @@ def upsert_provisions(current: DataFrame, incoming: DataFrame, position: str = "
     return upsert(current, stored, ["act_id", "sort_path"], ["title", "number"], position)
 
 
-def merge_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(revisions after the merge, outcomes), per (provision_id, language).
+_KEYS = ["provision_id", "language"]
 
-    ``incoming``: provision_id, language, text, source_url, fetched_at, and optionally
-    effective_from, amended_from, provenance and ordinal. Equal text leaves the open row; other
-    text closes it on the day of the fetch and opens a new one. Several fetches of a key in one batch
-    are taken in time order, so each change of its text becomes a revision. Texts are compared by hash,
-    and of the stored rows only the open ones are joined, without their text being needed for it.
 
-    Outcomes have a row per key and fetch. ``collisions`` counts further rows of the same fetch,
-    of which the last on the page wins. A fetch older than the open row is ignored as stale.
+def judge(heads: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The batch with an outcome per key and fetch, beside the open row of its key.
+
+    ``heads``: provision_id, language, _hash, _since of the open rows and whatever else names them; no text is needed.
     """
-    keys = ["provision_id", "language"]
     optional = {"effective_from": "date", "amended_from": "date", "provenance": "string", "ordinal": "int"}
     for name, kind in optional.items():
         if name not in incoming.columns:
@@ -75,35 +70,62 @@ def merge_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
     written = incoming.filter(F.coalesce("text", F.lit("")) != "").withColumn("content_hash", content_hash(F.col("text")))
     fields = [c for c in ("text", "source_url", *optional, "content_hash")]
     position = F.struct(F.coalesce("ordinal", F.lit(0)), "content_hash")
-    batch = written.groupBy(*keys, "fetched_at").agg(F.max_by(F.struct(*fields), position).alias("_r"),
-                                                     (F.count(F.lit(1)) - 1).alias("collisions"))
-    batch = batch.select(*keys, "fetched_at", "collisions", *[F.col(f"_r.{f}").alias(f) for f in fields])
+    batch = written.groupBy(*_KEYS, "fetched_at").agg(F.max_by(F.struct(*fields), position).alias("_r"),
+                                                      (F.count(F.lit(1)) - 1).alias("collisions"))
+    batch = batch.select(*_KEYS, "fetched_at", "collisions", *[F.col(f"_r.{f}").alias(f) for f in fields])
 
-    open_rows = current.filter("effective_to is null").select(
-        *keys, F.col("content_hash").alias("_hash"), F.col("effective_from").alias("_since"))
     day = F.to_date("fetched_at")
-    in_time = Window.partitionBy(*keys, "_stale").orderBy("fetched_at")
+    in_time = Window.partitionBy(*_KEYS, "_stale").orderBy("fetched_at")
     before = F.coalesce(F.lag("content_hash").over(in_time), F.col("_hash"))
-    judged = (batch.join(open_rows, keys, "left")
-              .withColumn("_stale", F.coalesce((day < F.col("_since")) & (F.col("_hash") != F.col("content_hash")), F.lit(False)))
-              .withColumn("_before", before)
-              .withColumn("outcome", F.when(F.col("_stale"), "stale").when(F.col("_before").isNull(), "new")
-                          .when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")))
-
-    changed = judged.filter(F.col("outcome").isin("new", "updated")).withColumn(
-        "_until", F.lead(day).over(Window.partitionBy(*keys).orderBy("fetched_at")))
-    inserted = changed.select(
-        stable_id(*[F.col(k) for k in keys], day, F.col("content_hash")).alias("id"), *keys,
+    return (batch.join(heads, _KEYS, "left")
+            .withColumn("_stale", F.coalesce((day < F.col("_since")) & (F.col("_hash") != F.col("content_hash")), F.lit(False)))
+            .withColumn("_before", before)
+            .withColumn("outcome", F.when(F.col("_stale"), "stale").when(F.col("_before").isNull(), "new")
+                        .when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")))
+
+
+def inserted(judged: DataFrame) -> DataFrame:
+    """The revisions that a judged batch opens; all but the last of a key are closed by the next."""
+    day = F.to_date("fetched_at")
+    return judged.filter(F.col("outcome").isin("new", "updated")).withColumn(
+        "_until", F.lead(day).over(Window.partitionBy(*_KEYS).orderBy("fetched_at"))).select(
+        stable_id(*[F.col(k) for k in _KEYS], day, F.col("content_hash")).alias("id"), *_KEYS,
         translation_status(F.col("language")).alias("translation_status"), "text",
         F.coalesce("effective_from", "amended_from", day).alias("effective_from"),
         F.col("_until").alias("effective_to"), F.lit(None).cast("string").alias("amending_act_id"),
         F.coalesce("provenance", F.lit("snapshot")).alias("provenance"), "content_hash", "source_url",
         "fetched_at")
-    closing = changed.filter("_hash is not null").groupBy(*keys).agg(F.min(day).alias("_closed"))
+
+
+def closing(judged: DataFrame, *names: str) -> DataFrame:
+    """The open rows, by key and ``names``, that a judged batch closes, with the day."""
+    return judged.filter(F.col("outcome").isin("new", "updated") & F.col("_hash").isNotNull()).groupBy(
+        *_KEYS, *names).agg(F.min(F.to_date("fetched_at")).alias("_closed"))
+
+
+def outcomes_of(judged: DataFrame) -> DataFrame:
+    return judged.select(*_KEYS, "outcome", "collisions", "content_hash", F.to_date("fetched_at").alias("fetched_on"))
+
+
+def merge_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(revisions after the merge, outcomes), per (provision_id, language).
+
+    ``incoming``: provision_id, language, text, source_url, fetched_at, and optionally
+    effective_from, amended_from, provenance and ordinal. Equal text leaves the open row; other
+    text closes it on the day of the fetch and opens a new one. Several fetches of a key in one batch
+    are taken in time order, so each change of its text becomes a revision. Texts are compared by hash,
+    and of the stored rows only the open ones are joined, without their text being needed for it.
+    ``bucketed.merge_revisions`` does the same to a stored table by appending to it.
+
+    Outcomes have a row per key and fetch. ``collisions`` counts further rows of the same fetch,
+    of which the last on the page wins. A fetch older than the open row is ignored as stale.
+    """
+    judged = judge(current.filter("effective_to is null").select(
+        *_KEYS, F.col("content_hash").alias("_hash"), F.col("effective_from").alias("_since")), incoming)
     closed, still = current.filter("effective_to is not null"), current.filter("effective_to is null")
-    still = still.join(closing, keys, "left").withColumn("effective_to", F.col("_closed")).select(*current.columns)
-    outcomes = judged.select(*keys, "outcome", "collisions", "content_hash", day.alias("fetched_on"))
-    return closed.unionByName(still).unionByName(inserted, allowMissingColumns=True).select(*current.columns), outcomes
+    still = still.join(closing(judged), _KEYS, "left").withColumn("effective_to", F.col("_closed")).select(*current.columns)
+    return (closed.unionByName(still).unionByName(inserted(judged), allowMissingColumns=True).select(*current.columns),
+            outcomes_of(judged))
 
 
 def pending_revisions(revisions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 PAGES = ("page_id string, slug string, language string, url string, html string, "
@@ -15,37 +15,9 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-class VersionedTable:
-    """A table that each micro-batch replaces by a new version, named by the batch.
-
-    The store itself tells which version a batch starts from: the last one before its own. So a restart goes on
-    where the checkpoint does, and a batch repeated after a failure starts from the same version again.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def begin(self) -> None:
-        """Write the empty first version unless there is one."""
-        self.spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{self.root}/batches/batch=-1")
-        self.spark.range(1).select(F.lit("-1").alias("value")).write.mode("ignore").text(f"{self.root}/done/batch=-1")
-
-    def before(self, batch_id: int | None = None) -> DataFrame:
-        """The last version, or the last one before a batch."""
-        markers = self.spark.read.text(f"{self.root}/done", recursiveFileLookup=True, pathGlobFilter="part-*").select(F.col("value").cast("long").alias("batch"))
-        if batch_id is not None:
-            markers = markers.filter(F.col("batch") < batch_id)
-        last = markers.agg(F.max("batch")).first()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/batches/batch={last}")
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
-        # A version counts once it is complete.
-        self.spark.range(1).select(F.lit(str(batch_id)).alias("value")).write.mode("overwrite").text(f"{self.root}/done/batch={batch_id}")
-
-
 def stream_ingest(pages: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """Writer that hands each micro-batch to ``merge``, usually plans.ingest over a Corpus.
+    """Writer that hands each micro-batch to ``merge``, usually ``bucketed.merge_revisions`` of parsed pages,
+    which appends the batch to the store.
 
     Every fetch reaches the merge, which takes the fetches of a page in time order, drops repeats and reports those
     older than the open revision; nothing is dropped before it can be counted. ``merge`` gets the batch id: a batch

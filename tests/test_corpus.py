@@ -4,7 +4,7 @@ from datetime import date, datetime
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
-from provenant.operators import chunking, embedding, hierarchy, revisions
+from provenant.operators import bucketed, chunking, embedding, hierarchy, revisions
 from provenant.settings import Settings
 
 import pytest
@@ -37,6 +37,21 @@ def test_nesting_and_reading_order(spark):
     assert order == {"2": (None, "3"), "3": ("2", "4"), "4": ("3", "5"), "5": ("4", None)}
 
 
+def test_deep_and_wide_trees_nest_without_a_join_per_level(spark):
+    rng = random.Random(3)
+    rows = [(f"t{i % 2}", f"n{i}", None if i < 4 else f"n{i - 2 if i < 16 else i % 2 + 2 * rng.randrange(0, i // 4)}", f"{rng.randrange(30):02}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "act_id string, id string, parent_id string, sort_path string")
+
+    def plain(parent, tree):
+        return [(r[1], plain(r[1], tree)) for r in sorted((r for r in rows if r[0] == tree and r[2] == parent), key=lambda r: (r[3], r[1]))]
+    tuples = lambda r: (r.id, [tuples(c) for c in r.children])
+    nested = hierarchy.nest(frame, fields=("id", "sort_path"))
+    got = {r.id: tuples(r)[1] for r in nested.collect()}
+    assert got == {key: below for tree in ("t0", "t1") for key, below in plain(None, tree)}
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def _merge(spark, current, rows, day):
     incoming = spark.createDataFrame([(p, l, t, "u", day, i) for i, (p, l, t) in enumerate(rows)], "provision_id string, language string, text string, source_url string, fetched_at timestamp, ordinal int")
     merged, outcomes = revisions.merge_revisions(current, incoming)
@@ -132,6 +147,49 @@ def test_replace_chunks(spark):
     assert sorted(r.content for r in revisions.replace_chunks(old, new).collect()) == ["c", "z"]
 
 
+def test_bucketed_revisions(spark, tmp_path):
+    """Random batches appended to the store equal the plain merge; a batch touches its buckets only and can be repeated."""
+    from pyspark.sql import types as T
+    schema, root, rng = T.StructType.fromDDL(EMPTY), str(tmp_path / "store"), random.Random(5)
+    bucketed.begin_revisions(spark, root, schema)
+    plain = spark.createDataFrame([], schema)
+    kind = "provision_id string, language string, text string, source_url string, fetched_at timestamp, ordinal int"
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    fields = ["id", "provision_id", "language", "text", "effective_from", "effective_to", "content_hash"]
+    content = lambda rows: sorted(map(str, rows.select(*fields).collect()))
+    for batch in range(5):
+        rows = [(rng.choice("pqrstuvw"), "en", rng.choice(["x", "y", "z", ""]), "u", datetime(2024, 1, 1 + batch // 2, rng.randrange(24)), i) for i in range(6)]
+        incoming = spark.createDataFrame(rows, kind)
+        merged, told = revisions.merge_revisions(plain, incoming)
+        before = files()
+        outcomes = bucketed.merge_revisions(spark, root, incoming, batch, schema, 16)
+        assert sorted(map(str, outcomes.collect())) == sorted(map(str, told.select(*outcomes.columns).collect()))
+        plain = spark.createDataFrame(merged.collect(), schema)
+        after = files()
+        assert {k: v for k, v in after.items() if k in before} == before
+        touched = {r[0] for r in incoming.select(F.pmod(F.xxhash64("provision_id", "language"), F.lit(16))).collect()}
+        assert {int(k.split("bucket=")[1].split("/")[0]) for k in set(after) - set(before)} <= touched
+        assert content(bucketed.read_revisions(spark, root, schema)) == content(plain)
+        bucketed.merge_revisions(spark, root, incoming, batch, schema, 16)
+        assert content(bucketed.read_revisions(spark, root, schema)) == content(plain)
+    bucketed.compact_revisions(spark, root, str(tmp_path / "small"), 5, schema, 16)
+    assert content(bucketed.read_revisions(spark, str(tmp_path / "small"), schema)) == content(plain)
+    last = spark.createDataFrame([("p", "en", "new", "u", datetime(2024, 5, 1), 0)], kind)
+    bucketed.merge_revisions(spark, str(tmp_path / "small"), last, 5, schema, 16)
+    assert content(bucketed.read_revisions(spark, str(tmp_path / "small"), schema)) == content(revisions.merge_revisions(plain, last)[0])
+
+
+def test_bucketed_chunks(spark, tmp_path):
+    root = str(tmp_path)
+    old = spark.createDataFrame([("r1", 0, "a"), ("r1", 1, "b"), ("r2", 0, "c")], "revision_id string, chunk_index int, content string")
+    bucketed.begin_chunks(spark, root, old.schema)
+    assert bucketed.read_chunks(spark, root, old.schema).count() == 0
+    bucketed.replace_chunks(old, root, 0)
+    for _ in range(2):
+        bucketed.replace_chunks(spark.createDataFrame([("r1", 0, "z"), ("r3", 0, "w")], old.schema), root, 1)
+        assert sorted(r.content for r in bucketed.read_chunks(spark, root, old.schema).collect()) == ["c", "w", "z"]
+
+
 def test_embedding_plugin(spark):
     rows = spark.createDataFrame([(i, "t" * (i + 1)) for i in range(10)], "id int, text string")
     seen = Settings(embed_batch_size=4)

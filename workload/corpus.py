@@ -1,12 +1,12 @@
 """Hierarchy, upserts, revisions, chunks, embeddings, language."""
 
 import numpy as np
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from provenant.functions import hashing, language, text
-from provenant.operators import chunking, embedding, hierarchy, revisions
+from provenant.operators import bucketed, chunking, embedding, hierarchy, revisions
 from provenant.settings import Settings
-from workload.base import query
+from workload.base import query, scratch
 
 SETTINGS = Settings()
 
@@ -234,8 +234,12 @@ def fetches(t):
 @query(_REV + """select sha256(doc_id || chr(31) || lang || chr(31) || effective_from || chr(31) || h) as id, doc_id as provision_id, lang as language,
  'reference_translation' as translation_status, h as content_hash, effective_from, effective_to from revs""")
 def revision_merge(t):
-    """Two snapshots merged: changed texts close their row and open a new one."""
-    return _second(t)[0].select("id", "provision_id", "language", "translation_status", "content_hash", "effective_from", "effective_to")
+    """Two snapshots merged into a stored table: changed texts close their row and open a new one."""
+    root, schema = scratch(t.spark), T.StructType.fromDDL(_EMPTY)
+    bucketed.begin_revisions(t.spark, root, schema)
+    for batch, second in enumerate((False, True)):
+        bucketed.merge_revisions(t.spark, root, _snapshot(t, second), batch, schema)
+    return bucketed.read_revisions(t.spark, root, schema).select("id", "provision_id", "language", "translation_status", "content_hash", "effective_from", "effective_to")
 
 
 @query(_REV + """select doc_id as provision_id, lang as language, case when h = h2 then 'unchanged' else 'updated' end as outcome, cast(0 as bigint) as collisions
@@ -272,7 +276,11 @@ def replace_chunks(t):
     stored = stored.join(t.orders.select(F.col("o_orderkey").alias("revision_id")), "revision_id", "left_semi")
     rewritten = t.orders.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("revision_id"))
     fresh = stored.join(rewritten, "revision_id", "left_semi").withColumn("content", F.lit("fresh"))
-    return revisions.replace_chunks(stored, fresh).select("revision_id", "chunk_index", "content")
+    root = scratch(t.spark)
+    bucketed.begin_chunks(t.spark, root, stored.schema)
+    bucketed.replace_chunks(stored, root, 0)
+    bucketed.replace_chunks(fresh, root, 1)
+    return bucketed.read_chunks(t.spark, root, stored.schema).select("revision_id", "chunk_index", "content")
 
 
 @query("""

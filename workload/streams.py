@@ -1,8 +1,8 @@
 """Streaming jobs run to the end of the tables, each written to a folder and read back."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from provenant.operators import revisions
+from provenant.operators import bucketed
 from provenant.streaming import flags, ingest, metrics
 from workload.base import query, scratch
 from workload.corpus import _EMPTY, FETCHES, fetches
@@ -60,20 +60,19 @@ def stream_flags(t):
 def stream_ingest(t):
     """Four crawls of all documents arrive one after the other, the last with the first's pages again; the stream is
     stopped and started anew half way. The stored revisions equal those of one batch merge."""
-    root = scratch(t.spark)
-    store = ingest.VersionedTable(t.spark, f"{root}/revisions", _EMPTY)
-    store.begin()
+    root, schema = scratch(t.spark), T.StructType.fromDDL(_EMPTY)
+    bucketed.begin_revisions(t.spark, root, schema)
 
     def merge(batch, batch_id):
         incoming = batch.select(F.col("page_id").cast("long").alias("provision_id"), "language", F.col("html").alias("text"), F.col("url").alias("source_url"), "fetched_at")
-        store.write(revisions.merge_revisions(store.before(batch_id), incoming)[0], batch_id)
+        bucketed.merge_revisions(batch.sparkSession, root, incoming, batch_id, schema)
 
     rows = fetches(t).select(F.col("provision_id").cast("string").alias("page_id"), F.col("source_url").alias("slug"), "language", F.col("source_url").alias("url"),
                              F.col("text").alias("html"), "fetched_at", F.lit(False).alias("not_modified"))
     days = [F.to_date("fetched_at") == F.lit(f"2024-01-0{d}").cast("date") for d in (1, 2, 3, 4)]
     for crawl in (days[0], days[1], days[2], days[3] | days[0]):
-        rows.filter(crawl).coalesce(1).write.mode("append").parquet(f"{root}/pages")
+        rows.filter(crawl).write.mode("append").parquet(f"{root}/pages")
         if crawl is not days[0]:
-            pages = ingest.page_stream(t.spark, f"{root}/pages", 1)
+            pages = ingest.page_stream(t.spark, f"{root}/pages")
             ingest.stream_ingest(pages, merge, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return store.before().select("provision_id", "language", "content_hash", "effective_from", "effective_to")
+    return bucketed.read_revisions(t.spark, root, schema).select("provision_id", "language", "content_hash", "effective_from", "effective_to")
