@@ -283,3 +283,42 @@ def test_all_chosen_leaves_are_kept():
     a, b = "<p>" + "Some long text, with words. " * 30 + "</p>", "<p>" + "Other text, it is long. " * 30 + "</p>"
     text = tag_paths.main_text(f"<body><div id=a>{a * 10}</div><div id=b>{b}</div></body>")
     assert text.count("Some") == 300 and text.count("Other") == 30
+
+
+RUNNING = "<p>" + "Some long text, with words. " * 6 + "</p>"
+MENUS = f"<div id=top><ul><li><a>Alpha</a></li><li><a>Beta</a></li></ul></div>{RUNNING * 4}<div id=x><a>Gamma</a></div>"
+
+
+def test_path_ratios_select_the_text(monkeypatch):
+    text = tag_paths.main_text(MENUS)
+    assert text.count("Some") == 24 and not re.search("Alpha|Beta|Gamma", text)
+    monkeypatch.setattr(tag_paths, "scores", lambda leaves: [1.0] * len(leaves))
+    assert re.search("Alpha\nBeta\n", tag_paths.main_text(MENUS))
+
+
+def test_path_ratios_against_plain_sums():
+    page = "<div><h2>A title</h2><p>One, two. <a>Three</a></p><p>Four; five!</p><ul><li><a>six</a><li>seven</ul></div>"
+    blocks = [("h2", "A title", 0, 0), ("p", "One, two." + "Three", 2, 5), ("p", "Four; five!", 2, 0), ("li", "six", 0, 3), ("li", "seven", 0, 0)]
+    total = lambda tag, at: sum(at(b) for b in blocks if b[0] == tag)
+    raw = [0] + [math.log1p(total(t, lambda b: len(b[1])) / total(t, lambda b: 1) * (1 + total(t, lambda b: b[2]) / total(t, lambda b: 1))) for t, *_ in blocks] + [0]
+    want = [max(raw[i], (raw[i - 1] + 2 * raw[i] + raw[i + 1]) / 4) * (1 - total(b[0], lambda x: x[3]) / total(b[0], lambda x: len(x[1]))) for i, b in enumerate(blocks, 1)]
+    leaves = tag_paths.leaves_of(page)
+    got = dict(zip((x.block for x in leaves), tag_paths.scores(leaves)))
+    assert [round(s, 9) for s in got.values() if s] == [round(s, 9) for s in want]
+
+
+def test_articles_titles_and_deep_pages():
+    text = tag_paths.main_text(f"<body><article>{RUNNING}one</article><div><ul><li><a>menu</a></ul></div><article>{RUNNING}two</article></body>")
+    assert text.count("Some") == 12 and "one" in text and text.endswith("two") and "menu" not in text
+    assert tag_paths.main_text(f"<div class=post><header><h1>Title</h1></header>{RUNNING * 3}</div>").startswith("Title\n")
+    assert "a x b" in tag_paths.main_text(f"{RUNNING}<p>a <math><mi>x</mi></math> b</p>")
+    assert tag_paths.main_text(f"<article>{RUNNING * 3}<h2>See</h2><ul><li><a>linked item</a></ul><p>End.</p></article>").endswith("See\nlinked item\nEnd.")
+    assert tag_paths.main_text("<div>" * 2000 + RUNNING * 3000).count("Some") == 18000
+
+
+def test_pages_empty_repeated_and_long(spark):
+    kind = "page_id long, url string, html string, text int, n_chars string"
+    assert tag_paths.extract(spark.createDataFrame([], kind)).collect() == []
+    rows = [(1, "u", MENUS, 1, "x")] * 3 + [(None, None, f"<p>{'long, text. ' * 200_000}</p>", None, None)]
+    got = tag_paths.extract(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(r.n_chars for r in got) == [671] * 3 + [2_399_999] and len({r.text for r in got}) == 2
