@@ -7,16 +7,17 @@ radix: digits 10, letters 26 per case, hexadecimal digits 16, the parts of an ad
 cut in the middle of the row; for e-mail addresses, and where that leaves one half without a symbol that can change, in
 the middle of the symbols that can. A single such symbol first goes through a keyed order of its values. That is a
 permutation of the values of one format, so equal values stay equal across all documents and different ones different.
-Check digits are computed anew.
+Check digits are computed anew. Letters and digits beyond ASCII are permuted within their stretch of SCRIPTS; the rare
+letters that no stretch holds stay as they are.
 
 =========  ==========================================  ==================================================
 kind       valid when                                  what is permuted
 =========  ==========================================  ==================================================
-email      local part, @, dotted domain                the local part's letters and digits
+email      local part, @, dotted domain                the local part's letters and digits, within their script
 secret     16 or more letters, after token =, ...      all letters and digits
 iban       remainder 1 modulo 97                       the account part; check digits follow
-ip         four numbers up to 255                      the four numbers
-phone      international or 3-3-4 grouping             the digits after the country code
+ip         four numbers up to 255, no version named    the four numbers
+phone      international or 3-3-4 grouping             the digits after the country code of the numbering plan
 ssn        area, group and serial in use               the three numbers, within those in use
 date       a day of 1900-2099                          the day
 card       13 to 19 digits, Luhn sum 0                 all digits but the last; the last follows
@@ -30,6 +31,8 @@ columns are carried through, whatever their names. Rows that repeat are changed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 8
@@ -38,7 +41,7 @@ _DAYS = (229, 319)  # 73 051 days from 1900-01-01: the two centuries have 73 049
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})"
 SECRET = r"(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_\-]{16,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+IP = r"(?<![0-9.])(?<!\b(?i:v|ver|version|release|build)[.: ]{0,2})[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE = (r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
          r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])")
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
@@ -50,7 +53,20 @@ CANDIDATE = "|".join((EMAIL, SECRET, IBAN, IP, PHONE, SSN, DATE, CARD))
 HINT = r"[0-9@]|(?i:token|secret|passw|api.?key)"
 DATE_FORMATS = {r"^[0-9]{4}-": "yyyy-MM-dd", r"^[0-9]{4}/": "yyyy/MM/dd", r"^[0-9]{2}\.": "dd.MM.yyyy", r"^[0-9]{2}/": "dd/MM/yyyy"}
 
-
+#: Stretches of letters, or of digits, of one script and case without gaps, as code points.
+SCRIPTS = (
+    (0x00C0, 0x00D6), (0x00D8, 0x00DE), (0x00DF, 0x00F6), (0x00F8, 0x00FF),  # Latin with accents
+    (0x0100, 0x017F), (0x1EA0, 0x1EF9),
+    (0x0391, 0x03A1), (0x03A3, 0x03AB), (0x03AC, 0x03CE),  # Greek
+    (0x0410, 0x042F), (0x0430, 0x044F), (0x0450, 0x045F),  # Cyrillic
+    (0x0531, 0x0556), (0x0561, 0x0586),  # Armenian
+    (0x05D0, 0x05EA), (0x0620, 0x064A), (0x0660, 0x0669), (0x06F0, 0x06F9),  # Hebrew, Arabic
+    (0x0905, 0x0939), (0x0966, 0x096F), (0x0993, 0x09A8), (0x09AA, 0x09B0), (0x09E6, 0x09EF),  # Devanagari, Bengali
+    (0x0E01, 0x0E30), (0x10D0, 0x10FA),  # Thai, Georgian
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),  # Kana, Han, Hangul
+)
+#: The country codes of one, two and three digits.
+COUNTRY = "^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 TEXT_KINDS = "('email', 'secret', 'hex', 'iban', 'phone', 'card')"
 
 
@@ -76,6 +92,11 @@ def _remainder(text: str) -> str:
     return f"aggregate({_characters(text)}, 0, (a, c) -> if(c rlike '[0-9]', a * 10 + ascii(c) - 48, a * 100 + ascii(c) - 55) % 97)"
 
 
+def _script(otherwise: str, of: Callable[[int, int], str]) -> str:
+    """SQL: a value of the stretch that holds the character c."""
+    return "case " + " ".join(f"when ascii(c) between {a} and {b} then {of(a, b)}" for a, b in SCRIPTS) + f" else {otherwise} end"
+
+
 def _kind(m: str) -> str:
     whole = {"ip": IP, "ssn": SSN, "date": DATE, "card": CARD, "phone": PHONE, "iban": IBAN}
     return (f"case when contains({m}, '@') then 'email' "
@@ -103,9 +124,9 @@ def _valid(e: str) -> str:
 def _steps(key: str) -> list[str]:
     """SQL of the steps from the found candidates to their pseudonyms, each over the array of the step before."""
     fixed = ("case e.kind when 'email' then p >= instr(e.m, '@') - 1 when 'iban' then p < 4 "
-             "when 'phone' then p < length(regexp_extract(e.m, '^[+][0-9]+(?=[^0-9])', 0)) else false end")
+             f"when 'phone' then p < length(regexp_extract(e.m, '{COUNTRY}', 0)) else false end")
     letter = ("case when c rlike '[0-9]' then ascii(c) - 48 when c rlike '[a-z]' then ascii(c) - 97 "
-              "when c rlike '[A-Z]' then ascii(c) - 65 else 0 end")
+              f"when c rlike '[A-Z]' then ascii(c) - 65 else {_script('0', lambda a, b: f'ascii(c) - {a}')} end")
     steps = [
         f"transform(_e, m -> named_struct('m', m, 'kind', {_kind('m')}))",
         f"transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'day', if(e.kind = 'date', {_day('e.m')}, null)))",
@@ -116,7 +137,8 @@ def _steps(key: str) -> list[str]:
         "transform(_e, e -> named_struct('m', e.m, 'day', e.day, 'kind', e.kind, 'cs', e.cs, 'r', case e.kind "
         f"when 'ip' then array(256, 256, 256, 256) when 'ssn' then array(898, 99, 9999) when 'date' then array({_DAYS[0]}, {_DAYS[1]}) "
         "when 'hex' then transform(e.cs, c -> 16) "
-        f"else transform(e.cs, (c, p) -> case when {fixed} then 1 when c rlike '[0-9]' then 10 when c rlike '[a-zA-Z]' then 26 else 1 end) end))",
+        f"else transform(e.cs, (c, p) -> case when {fixed} then 1 when c rlike '[0-9]' then 10 when c rlike '[a-zA-Z]' then 26 "
+        f"when ascii(c) < 128 then 1 else {_script('1', lambda a, b: str(b - a + 1))} end) end))",
         "transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'v', case e.kind "
         "when 'ip' then transform(split(e.m, '[.]'), x -> cast(x as int)) "
         "when 'ssn' then transform(transform(split(e.m, '-'), x -> cast(x as int)), (x, i) -> if(i = 0 and x > 666, x - 2, x - 1)) "
@@ -145,7 +167,8 @@ def _steps(key: str) -> list[str]:
         steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'cs', e.cs, 'r', e.r, 'h', e.h, 'v', transform(e.v, (x, i) -> "
                      f"if({changes} and e.r[i] > 1, cast((x + {drawn}) % e.r[i] as int), x))))")
     symbol = ("case when e.kind = 'hex' then if(e.m = lower(e.m), lower(hex(e.v[p])), hex(e.v[p])) when e.r[p] = 1 then c "
-              "when e.r[p] = 10 then char(48 + e.v[p]) when c rlike '[a-z]' then char(97 + e.v[p]) else char(65 + e.v[p]) end")
+              "when c rlike '[0-9]' then char(48 + e.v[p]) when c rlike '[a-z]' then char(97 + e.v[p]) when c rlike '[A-Z]' then char(65 + e.v[p]) "
+              f"else decode(unhex(lpad(hex({_script('0', lambda a, b: str(a))} + e.v[p]), 4, '0')), 'UTF-16BE') end")
     form = " ".join(f"when e.m rlike {_quoted(p)} then date_format(date_add(date'1900-01-01', e.v[0] * {_DAYS[1]} + e.v[1]), '{form}')"
                     for p, form in DATE_FORMATS.items())
     steps.append("transform(_e, e -> named_struct('m', e.m, 'kind', e.kind, 'b', case when e.kind is null then e.m "

@@ -194,3 +194,31 @@ def test_addresses_of_one_shape_do_not_share_a_shift(spark):
         new = [got[at + i] for i in range(len(values))]
         assert len(set(new)) == len(values)
         assert len({tuple((ord(y) - ord(x)) % 26 for x, y in zip(a, b)) for a, b in zip(values, new)}) > 5
+
+
+def test_letters_of_all_scripts_and_country_codes(spark):
+    import unicodedata
+    values = ["李雷@example.com", "李磊@example.com", "éé@example.com", "jose.é@example.com", "иван77@example.com", "ИВАН@example.com", "한글@example.com",
+              "৭৮@example.com", "李@example.com", "+491701234567", "+491701234568", "+12025550123", "+35312345678", "+49 170 1234567"]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id int, text string")
+    got = {values[r.doc_id]: (r.text, r.n_replaced) for r in pseudonyms.pseudonymize(rows, "k").collect()}
+    assert all(n == 1 and a != b for a, (b, n) in got.items()) and len({b for b, _ in got.values()}) == len(values)
+    kind = lambda x: [(unicodedata.category(c), unicodedata.name(c).split()[0]) for c in x]
+    for before, (after, _) in got.items():
+        if "@" in before:
+            assert kind(after) == kind(before) and after.endswith("@example.com"), (before, after)
+    code = {"+491701234567": "+49", "+12025550123": "+1", "+35312345678": "+353", "+49 170 1234567": "+49 "}
+    assert all(got[v][0].startswith(c) and len(got[v][0]) == len(v) for v, c in code.items())
+    assert got["jose.é@example.com"][0].split("@")[0][-1] != "é"
+
+
+def test_script_stretches_are_letters_or_digits_throughout():
+    import unicodedata
+    for a, b in pseudonyms.SCRIPTS:
+        assert all(unicodedata.category(chr(x))[0] in "LN" for x in range(a, b + 1)), hex(a)
+    assert all(b < c for (_, b), (c, _) in zip(sorted(pseudonyms.SCRIPTS), sorted(pseudonyms.SCRIPTS)[1:]))
+
+
+def test_version_numbers_are_no_addresses(spark):
+    rows = spark.createDataFrame([(1, "ver 10.2.33.254, Version: 1.2.3.4, v8.8.8.8"), (2, "server 10.2.33.254"), (3, "rev 1.2.3.4")], "doc_id int, text string")
+    assert {r.doc_id: r.n_replaced for r in pseudonyms.pseudonymize(rows, "k").collect()} == {1: 0, 2: 1, 3: 1}
