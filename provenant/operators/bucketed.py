@@ -9,6 +9,7 @@ folders, so one that is repeated after a failure leaves the same rows. Batches a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -64,21 +65,27 @@ def merge_revisions(spark: SparkSession, root: str, incoming: DataFrame, batch:
                     buckets: int = BUCKETS) -> DataFrame:
     """Merge a batch into the store as ``revisions.merge_revisions`` does; returns its outcomes.
 
-    Of the store only the keys, hashes and days of open rows in the touched buckets are read. The list of touched
+    Of the store only the keys, hashes and days of open rows in the touched buckets are read. The batch is judged by the
+    hashes of its texts, and read again for the texts of the revisions that it opens, so it must read the same twice. The list of touched
     buckets is the only thing that reaches the driver.
     """
-    incoming = stored(incoming)
+    written = rev.hashed(incoming)
+    batch_rows = stored(written.drop("text"))
     place = F.pmod(F.xxhash64(*_KEYS), F.lit(buckets)).cast("int")
-    touched = [r[0] for r in incoming.select(place.alias("b")).distinct().collect()]
+    touched = [r[0] for r in batch_rows.select(place.alias("b")).distinct().collect()]
     past = lambda rows: rows.filter((F.col("batch") < batch) & F.col("bucket").isin(touched))
     ended = past(_read(spark, f"{root}/closings", _ends(schema))).select("bucket", "id", F.col("closed_batch").alias("batch"))
     heads = past(_read(spark, f"{root}/versions", schema)).filter("effective_to is null").select(
         *_KEYS, "bucket", "id", "batch", F.col("content_hash").alias("_hash"), F.col("effective_from").alias("_since"))
     heads = heads.join(ended, ["bucket", "id", "batch"], "left_anti").select(
         *_KEYS, "_hash", "_since", F.col("id").alias("_id"), F.col("batch").alias("_batch"))
-    judged = stored(rev.judge(heads, incoming))
+    judged = stored(rev.judge(heads, batch_rows))
     names = [c for c in _read(spark, f"{root}/versions", schema).columns if c not in ("bucket", "batch")]
-    _write(rev.inserted(judged).select(*names), f"{root}/versions", _KEYS, batch, buckets)
+    opened, row = rev.inserted(judged), [*_KEYS, "fetched_at", "content_hash"]
+    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in row])
+    texts = written.select(*[F.col(c).alias(f"_{c}") for c in row], "text")
+    opened = texts.join(opened, same).dropDuplicates(row)
+    _write(opened.select(*names), f"{root}/versions", _KEYS, batch, buckets)
     ends = rev.closing(judged, "_id", "_batch").select(*_KEYS, F.col("_id").alias("id"), F.col("_batch").alias("closed_batch"), "_closed")
     _write(ends, f"{root}/closings", _KEYS, batch, buckets)
     return rev.outcomes_of(judged)

@@ -58,17 +58,23 @@ def upsert_provisions(current: DataFrame, incoming: DataFrame, position: str = "
 _KEYS = ["provision_id", "language"]
 
 
+def hashed(incoming: DataFrame) -> DataFrame:
+    """The rows with text, and the hash of it."""
+    return incoming.filter(F.coalesce("text", F.lit("")) != "").withColumn("content_hash", content_hash(F.col("text")))
+
+
 def judge(heads: DataFrame, incoming: DataFrame) -> DataFrame:
     """The batch with an outcome per key and fetch, beside the open row of its key.
 
     ``heads``: provision_id, language, _hash, _since of the open rows and whatever else names them; no text is needed.
+    ``incoming`` has texts, or the content_hash of them.
     """
     optional = {"effective_from": "date", "amended_from": "date", "provenance": "string", "ordinal": "int"}
     for name, kind in optional.items():
         if name not in incoming.columns:
             incoming = incoming.withColumn(name, F.lit(None).cast(kind))
-    written = incoming.filter(F.coalesce("text", F.lit("")) != "").withColumn("content_hash", content_hash(F.col("text")))
-    fields = [c for c in ("text", "source_url", *optional, "content_hash")]
+    written = hashed(incoming) if "text" in incoming.columns else incoming
+    fields = [c for c in ("text", "source_url", *optional, "content_hash") if c in written.columns]
     position = F.struct(F.coalesce("ordinal", F.lit(0)), "content_hash")
     batch = written.groupBy(*_KEYS, "fetched_at").agg(F.max_by(F.struct(*fields), position).alias("_r"),
                                                       (F.count(F.lit(1)) - 1).alias("collisions"))
@@ -90,7 +96,7 @@ def inserted(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("outcome").isin("new", "updated")).withColumn(
         "_until", F.lead(day).over(Window.partitionBy(*_KEYS).orderBy("fetched_at"))).select(
         stable_id(*[F.col(k) for k in _KEYS], day, F.col("content_hash")).alias("id"), *_KEYS,
-        translation_status(F.col("language")).alias("translation_status"), "text",
+        translation_status(F.col("language")).alias("translation_status"), *[c for c in ("text",) if c in judged.columns],
         F.coalesce("effective_from", "amended_from", day).alias("effective_from"),
         F.col("_until").alias("effective_to"), F.lit(None).cast("string").alias("amending_act_id"),
         F.coalesce("provenance", F.lit("snapshot")).alias("provenance"), "content_hash", "source_url",
