@@ -137,4 +137,8 @@ def tokenize(text: Column) -> Column:
 
 def token_count(text: Column, floor: int = 1) -> Column:
     """Four characters to a token."""
-    return F.greatest(F.lit(floor), F.floor(F.length(text) / 4)).cast("int")
+    return token_count_of_length(F.length(text), floor)
+
+
+def token_count_of_length(length: Column, floor: int = 1) -> Column:
+    return F.greatest(F.lit(floor), F.floor(length / 4)).cast("int")

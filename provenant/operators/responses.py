@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provenant.functions import patterns as P, policy
 from provenant.functions.hashing import cache_key
 from provenant.functions.language import response_language
-from provenant.functions.text import token_count
+from provenant.functions.text import token_count, token_count_of_length
 from provenant.settings import Settings
 
 
@@ -21,6 +21,8 @@ def citation_contexts(hits: DataFrame, acts: DataFrame) -> DataFrame:
         policy.section_reference(F.col("hierarchy_path")).alias("section_ref"), "source_url")
 
 
+#: Between the blocks of a context.
+_BETWEEN = "\n\n"
 _CONTEXT = ["act_name_en", "act_name_bn", "act_year", "section_ref", "source_url"]
 
 
@@ -50,22 +52,39 @@ def resolve_responses(responses: DataFrame, contexts: DataFrame, text: str = "te
         text, policy.resolve_placeholders(F.col(text), F.coalesce("citations", none))).drop("citations")
 
 
-def assemble_context(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, context, question, input_tokens): ranked chunks as fenced blocks."""
-    block = F.concat(
+def _provision_block() -> Column:
+    return F.concat(
         F.lit(P.PROVISION_BLOCK[0]), F.col("chunk_id").cast("string"), F.lit(P.PROVISION_BLOCK[1]), F.col("hierarchy_path"),
         F.lit(P.PROVISION_BLOCK[2]), F.col("content"), F.lit(P.PROVISION_BLOCK[3]),
         F.col("chunk_id").cast("string"), F.lit(P.PROVISION_BLOCK[4]))
-    blocks = hits.select("query_id", F.struct("rank", block.alias("block")).alias("b")).groupBy("query_id").agg(
+
+
+def _question_block() -> Column:
+    return F.concat(F.lit(P.QUESTION_BLOCK[0]), F.col("query_text"), F.lit(P.QUESTION_BLOCK[1]))
+
+
+def assemble_context(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, context, question, input_tokens): ranked chunks as fenced blocks."""
+    blocks = hits.select("query_id", F.struct("rank", _provision_block().alias("block")).alias("b")).groupBy("query_id").agg(
         F.array_sort(F.collect_list("b")).alias("b"))
-    joined = F.array_join(F.transform("b", lambda b: b["block"]), "\n\n")
-    question = F.concat(F.lit(P.QUESTION_BLOCK[0]), F.col("query_text"), F.lit(P.QUESTION_BLOCK[1]))
-    rows = queries.select("query_id", question.alias("question")).join(
+    joined = F.array_join(F.transform("b", lambda b: b["block"]), _BETWEEN)
+    rows = queries.select("query_id", _question_block().alias("question")).join(
         blocks.select("query_id", joined.alias("context")), "query_id", "left").withColumn(
         "context", F.coalesce("context", F.lit("")))
     return rows.withColumn("input_tokens", token_count(F.concat("context", "question"), floor=0))
 
 
+def prompt_tokens(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, input_tokens) of ``assemble_context`` from the lengths of the blocks alone.
+
+    Joined with texts, a side that is small until its blocks are built would be broadcast as a whole.
+    """
+    sizes = hits.select("query_id", F.length(_provision_block()).cast("bigint").alias("size")).groupBy("query_id").agg(
+        (F.sum("size") + len(_BETWEEN) * (F.count("size") - 1)).alias("context"))
+    rows = queries.select("query_id", F.length(_question_block()).alias("question")).join(sizes, "query_id", "left")
+    return rows.select("query_id", token_count_of_length(F.coalesce("context", F.lit(0)) + F.col("question"), floor=0).alias("input_tokens"))
+
+
 def fail_open(hits: DataFrame, contexts: DataFrame, languages: DataFrame) -> DataFrame:
     """(query_id, answer): the found chunks themselves, each with its citation if its act is known."""
     known = contexts.join(languages.select("query_id", "language"), "query_id").select(
@@ -121,10 +140,10 @@ def respond(queries: DataFrame, hits: DataFrame, contexts: DataFrame, responses:
         F.max_by("score", -F.col("rank")).alias("top_score"))
     languages = q.select("query_id", "language")
     maps = citation_maps(contexts, languages)
-    prompts = assemble_context(hits, q).select("query_id", "input_tokens")
+    prompts = prompt_tokens(hits, q)
     opened = fail_open(hits, contexts, languages).withColumnRenamed("answer", "fail_open")
     rows = q
-    for side in (ranked, maps, prompts, opened, responses):
+    for side in (ranked, maps, prompts, responses):
         rows = rows.join(side, "query_id", "left")
     ids = F.coalesce(F.transform("h", lambda x: x["id"]), F.array().cast("array<string>"))
     rows = rows.withColumn("cache_key", cache_key(
@@ -138,6 +157,8 @@ def respond(queries: DataFrame, hits: DataFrame, contexts: DataFrame, responses:
         rows = rows.withColumn("section_list", F.lit(None).cast("string"))
     else:
         rows = rows.join(section_lists.select(F.col("act_id").alias("_act"), F.col("text").alias("section_list")), "_act", "left")
+    # The chunks' texts come last: no other join moves them.
+    rows = rows.join(opened, "query_id", "left")
 
     first, second = policy.guardrail(F.col("text")), policy.guardrail(F.col("retry_text"))
     rows = rows.withColumns({
