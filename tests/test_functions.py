@@ -144,3 +144,10 @@ def test_preview(value):
     assert value(policy.preview(F.lit("a  b\nc"))) == "a b c"
     cut = value(policy.preview(F.lit("word " * 100)))
     assert cut.endswith("word...") and len(cut) <= 300
+
+
+def test_language_counts_a_text_once(spark):
+    rows = spark.createDataFrame([("কখ a\n ",), ("ab c",), (" \n",), ("",), (None,), ("ক",)], "t string")
+    found = rows.select(language.detect_language(F.col("t"))["language"].alias("l"), language.detect_language(F.col("t"))["confidence"].alias("c"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4
+    assert [(r.l, r.c if r.c is None else round(r.c, 4)) for r in found.collect()] == [("mixed", 0.6667), ("en", 1.0), ("en", 1.0), ("en", 1.0), ("en", 1.0), ("bn", 1.0)]
