@@ -24,6 +24,9 @@ CONTAINERS = [(".", "lawCon"), ("#", "sub_section_content"), (".", "act_content"
               ("#", "law_content"), (".", "sectionBody")]
 HEADINGS = ["h2", "h3", "h4", "h5"]
 
+#: Pages that a worker holds as Python objects, with their nodes.
+PAGES_AT_ONCE = 64
+
 _OPEN, _TITLE, _BODY = "\x01", "\x02", "\x03"
 _BLOCKS = "p|div|td|th|tr|li|ul|ol|table|tbody|thead|section|article|nav|footer|header|br|dl|dt|dd|h[1-6]"
 
@@ -112,6 +115,22 @@ def flat_sections(pages: DataFrame) -> DataFrame:
         F.col("url").alias("source_url")).filter("text <> ''")
 
 
+def _walked(batches: Iterator[pa.RecordBatch], modes: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    # A page may be long: few of them are Python objects at once.
+    for batch in (whole.slice(at, PAGES_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAGES_AT_ONCE)):
+        columns = {name: [] for name in ("page_id", "ordinal", "parent_ordinal", "kind", "number",
+                                         "title", "text", "source_url", "markup", "warning", "html")}
+        for page_id, url, html, inner in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "inner"))):
+            rows = next((found for mode in modes if (found := list(element_rows(inner, url, mode)))), None)
+            for row in rows or [(None, None, None, None, None, None, url, None, None)]:
+                for name, value in zip(columns, (page_id, *row, None if rows else html)):
+                    columns[name].append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns["page_id"], batch.column("page_id").type)]
+            + [pa.array(columns[c], pa.int32() if "ordinal" in c else pa.string())
+               for c in list(columns)[1:]], names=list(columns))
+
+
 def _elements(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Run the markup walker over each page's container, in the first of the modes that finds a node.
 
@@ -119,23 +138,8 @@ def _elements(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
     """
     id_type = pages.schema["page_id"].dataType.simpleString()
     schema = NODES.format(id=id_type) + ", html string"
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {name: [] for name in ("page_id", "ordinal", "parent_ordinal", "kind", "number",
-                                             "title", "text", "source_url", "markup", "warning", "html")}
-            for page_id, url, html, inner in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "inner"))):
-                rows = next((found for mode in modes if (found := list(element_rows(inner, url, mode)))), None)
-                for row in rows or [(None, None, None, None, None, None, url, None, None)]:
-                    for name, value in zip(columns, (page_id, *row, None if rows else html)):
-                        columns[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns["page_id"], batch.column("page_id").type)]
-                + [pa.array(columns[c], pa.int32() if "ordinal" in c else pa.string())
-                   for c in list(columns)[1:]], names=list(columns))
-
     inner = content_container(F.coalesce(F.col("html"), F.lit("")))
-    return pages.select("page_id", "url", "html", inner.alias("inner")).mapInArrow(walk, schema)
+    return pages.select("page_id", "url", "html", inner.alias("inner")).mapInArrow(lambda batches: _walked(batches, modes), schema)
 
 
 def _finished(nodes: DataFrame, base: str) -> DataFrame:

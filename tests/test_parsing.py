@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pyarrow as pa
+
 from provenant.operators import parsing
 
 NESTED = """<html><body><h1>Law</h1><div class="lawCon"><div class="chapter"><div class="chapter_title">Chapter I Rest</div>
@@ -69,3 +71,12 @@ def test_amendments(spark):
 def test_heading_path_has_no_shuffle_and_no_python(spark):
     plan = parsing.heading_sections(pages(spark, a=HEADED))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_walker_holds_few_pages_at_once():
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(200)), "url": ["u"] * 200, "html": ["<table class='part'><tr><td>x</td></tr></table>"] * 199 + [""],
+                                        "inner": ["<table class='part'><tr><td>x</td></tr></table>"] * 199 + [""]})
+    walked = list(parsing._walked(iter([batch]), ["table"]))
+    assert max(b.num_rows for b in walked) <= parsing.PAGES_AT_ONCE
+    rows = [r for b in walked for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(200)) and [r["kind"] for r in rows] == ["part"] * 199 + [None]
