@@ -1,22 +1,23 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 Words become tokens: frequent words of the trusted text stand for themselves, others for their shape (length, capitals,
-digits, symbols), and a word in a run of equal words for its place there. The model has three orders. Its counts, the
-counts of counts and the continuation counts are aggregations; discounted probabilities and back-off weights come from
-joins of the count tables, hash-partitioned by context. Counts, continuation counts and discounts cover all trusted
-documents but the third that is held out for the thresholds. The finished tables hold only n-grams that a share
-(``spread``) of a language's documents has, so per language at most its mean words a document divided by that share,
-however large the corpus; they are split into shards by context, and each batch of documents is joined
-with them shard by shard inside its task. Documents' n-grams are shuffled only to be counted, added up per worker before.
-The vocabulary has the most frequent words of each language.
+digits, symbols), and a word in a run of equal words for its place there. No context foretells that a word repeats the
+one before: such a token has only its probability as a unigram, so that a few trusted texts full of runs do not make runs
+likely. The model has three orders and holds every other n-gram of the trusted text. Its counts, the counts of counts and the continuation counts are aggregations; discounted
+probabilities and back-off weights come from joins of the count tables, hash-partitioned by context. Counts, continuation
+counts and discounts cover all trusted documents but the third that is held out for the thresholds. The tables stay
+distributed: documents' n-grams, added up per worker with the documents that have them, are joined with the trigrams, what
+has no trigram with contexts and bigrams, and the logarithms are added up per text. They are added as whole multiples of
+2**-24, so that a sum does not depend on its order. Only tables of one row per word of the vocabulary are collected. The
+vocabulary has the most frequent words of each language.
 
 A document is accepted if its perplexity is at most its language's threshold: a quantile over all trusted documents that
 the model was not fitted on. A short document's mean is drawn towards the language's mean by ``prior`` tokens.
 
 Cases: a null text counts as empty; a document without words has no perplexity and is rejected. A null or new
 language, and one with few trusted documents, has the threshold of all. Without trusted text there is no model, and every
-document with a word is accepted. Rows that repeat an id are judged separately. New columns replace
-equally named ones; all others are carried through.
+document with a word is accepted. Rows that repeat an id are judged separately; rows are told by a 64-bit hash of their
+text, on which alone a perplexity depends. New columns replace equally named ones; all others are carried through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from provenant.plans.session import stored
 from provenant.plans.skew import top_per_group
@@ -47,15 +48,16 @@ _PLAIN = re.compile(r"[(\"'«“¿¡]?([^\W\d_]+)[.,;:!?\"')»”…]?\Z")
 TABLE = 250_000
 #: Counts that a worker holds before it adds them up and hands them on.
 CHUNK = 1_000_000
+#: Logarithms are added as whole multiples of 1 / UNIT.
+UNIT = float(1 << 24)
+#: A pair is in the model as a bigram and as a context, told by these bits of its key.
+PAIR, CONTEXT = 1 << 61, 1 << 62
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Share of the trusted documents that the model is fitted on; all others are for the thresholds.
     model_share: float = 2 / 3
-    #: An n-gram counts if this share of the model's documents, or of those of one language, has it, and two at least: what few
-    #: documents repeat is no style.
-    spread: float = 0.002
     #: Words of each language that stand for themselves.
     vocabulary: int = 4000
     quantile: float = 0.995
@@ -64,15 +66,6 @@ class Settings:
     prior: float = 12.0
     #: Trusted documents that a language needs for a threshold of its own.
     least: int = 50
-    shards: int = 16
-
-
-@dataclass
-class Shard:
-    trigrams: np.ndarray
-    trigram_p: np.ndarray
-    contexts: np.ndarray
-    context_weight: np.ndarray
 
 
 @dataclass
@@ -81,9 +74,10 @@ class Model:
     #: By token: probability, and weight of the token as a context.
     unigram_p: np.ndarray
     unigram_weight: np.ndarray
-    bigrams: np.ndarray
-    bigram_p: np.ndarray
-    shards: list[Shard]
+    #: (k, v) of all trigrams, (k, v) of all pairs and contexts, and (token, p, weight), as logarithms.
+    triples: DataFrame
+    pairs: DataFrame
+    unigrams: DataFrame
     #: Documents that were counted, and those behind the thresholds.
     counted: int = 0
     held_out: int = 0
@@ -175,43 +169,28 @@ def _vocabulary(sample: DataFrame, settings: Settings) -> dict[str, int]:
     return {r["core"]: FIRST_WORD + i for i, r in enumerate(frequent)}
 
 
-def _counts(sample: DataFrame, words: dict[str, int], sizes: dict[str | None, int], settings: Settings) -> DataFrame:
-    """(kind, k, n, kept) of all n-grams; workers add counts up before they hand them on."""
-    index = {lang: i for i, lang in enumerate(sorted(sizes, key=lambda x: (x is not None, x)))}
-
+def _counts(sample: DataFrame, words: dict[str, int]) -> DataFrame:
+    """(k, n) of all trigrams; workers add counts up before they hand them on."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(words)
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        held: list[np.ndarray] = []
 
-        def added() -> Iterator[pa.RecordBatch]:
-            for (lang, kind), parts in held.items():
-                k, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([x for _, x in parts]), len(k)).astype(np.int64)
-                holders = np.bincount(at, minlength=len(k)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(np.full(len(k), lang, np.int32)), pa.array(n), pa.array(holders)],
-                                                 names=["kind", "k", "lang", "n", "holders"])
+        def added() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
             held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                own = keys([tokens.ids(text.as_py())])[0]
-                for order in (1, 2, 3):
-                    k, n = np.unique(own & ((1 << order * BITS) - 1), return_counts=True)
-                    held[index[lang], order].append((k, n))
-                    size += len(k)
+            for text in batch.column("text"):
+                held.append(keys([tokens.ids(text.as_py())])[0])
+                size += len(held[-1])
                 if size >= CHUNK:
-                    yield from added()
+                    yield added()
                     size = 0
-        yield from added()
+        yield added()
 
-    least = [max(2, math.ceil(settings.spread * sizes[lang])) for lang in index]
-    enough = F.array(*map(F.lit, least))[F.col("lang")]
-    overall = max(2, math.ceil(settings.spread * sum(sizes.values())))
-    # One exchange serves both steps.
-    by_lang = (sample.mapInArrow(count, "kind tinyint, k bigint, lang int, n bigint, holders bigint").repartition("kind", "k")
-               .groupBy("kind", "k", "lang").agg(F.sum("n").alias("n"), F.sum("holders").alias("holders")))
-    return by_lang.groupBy("kind", "k").agg(F.sum("n").alias("n"), (F.max(F.col("holders") >= enough) | (F.sum("holders") >= overall)).alias("kept"))
+    return sample.select("text").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
@@ -224,10 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     if not sizes:
         return None
     words = _vocabulary(sample, settings)
-    counts = stored(_counts(sample, words, sizes, settings))
+    counts = stored(_counts(sample, words))
     if counts.isEmpty():
         return None
-    model = _estimate(counts, words, settings)
+    model = _estimate(counts, words)
     model.counted = sum(sizes.values())
     _set_thresholds(model, texts.filter("not for_model").select("text", "lang"), settings)
     return model
@@ -242,137 +221,168 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def _discounted(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """Each kept n-gram's discounted share of its context, and the weight that its context leaves to the shorter one."""
+    """Each n-gram's discounted share of its context, and the weight that its context leaves to the shorter one."""
     d = _discounts(counts)
     cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    totals = counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("kept"), F.col("n") - cut)).alias("given")).filter("given is not null")
-    shares = counts.filter("kept").join(totals, context).select("k", context, ((F.col("n") - cut) / F.col("total")).alias("share"))
-    return shares, totals.select(context, (1 - F.col("given") / F.col("total")).alias("weight"))
+    totals = counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("ones"),
+                                         F.sum((F.col("n") == 2).cast("long")).alias("twos"), F.count(F.lit(1)).alias("all"))
+    left = F.col("ones") * d[0] + F.col("twos") * d[1] + (F.col("all") - F.col("ones") - F.col("twos")) * d[2]
+    totals = totals.select(context, "total", (left / F.col("total")).alias("weight"))
+    return counts.join(totals, context).select("k", context, "weight", ((F.col("n") - cut) / F.col("total")).alias("share")), totals.select(context, "weight")
 
 
-def _estimate(counts: DataFrame, words: dict[str, int], settings: Settings) -> Model:
+def _estimate(trigrams: DataFrame, words: dict[str, int]) -> Model:
     size = FIRST_WORD + len(words)
-    low = (1 << 2 * BITS) - 1
-    trigrams = counts.filter("kind = 3").drop("kind")
+    spark = trigrams.sparkSession
+
+    def last(kind: int) -> Column:
+        return F.col("k").bitwiseAND(F.lit((1 << kind * BITS) - 1))
 
     def continued(longer: DataFrame, kind: int) -> DataFrame:
         """Of shorter n-grams, the number of words seen before them."""
-        seen = longer.groupBy(F.col("k").bitwiseAND(F.lit((1 << kind * BITS) - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        return stored(seen.join(counts.filter(F.col("kind") == kind).select("k", "kept"), "k"))
+        return stored(longer.groupBy(last(kind).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+
+    def by_token(rows: DataFrame, token: str, value: str, other: float) -> np.ndarray:
+        # One row per token of the vocabulary at most.
+        out = np.full(size, other)
+        for t, v in rows.select(token, value).collect():
+            out[t] = v
+        return out
+
+    def told_by_context(grams: DataFrame) -> DataFrame:
+        return grams.filter(~last(1).between(REPEATED, REPEATED + RUNS - 1))
 
     bigrams = continued(trigrams, 2)
     unigrams = continued(bigrams, 1)
+    trigrams, bigrams = told_by_context(trigrams), told_by_context(bigrams)
     share1, rest1 = _discounted(unigrams.withColumn("c", F.lit(0)), "c")
-    first = share1.join(rest1, "c").select("k", (F.col("share") + F.col("weight") / size).alias("p"))
-    left = rest1.first()
-    floor = (left["weight"] if left else 1.0) / size
+    floor = rest1.first()["weight"] / size
+    unigram_p = by_token(share1.withColumn("p", F.col("share") + F.lit(floor)), "k", "p", floor)
     share2, rest2 = _discounted(bigrams.withColumn("c", F.shiftright("k", BITS)), "c")
-    second = stored(share2.withColumn("w", F.col("k").bitwiseAND(F.lit(_MASK))).join(rest2, "c")
-                    .join(first.select(F.col("k").alias("w"), F.col("p").alias("lower")), "w", "left")
-                    .select("k", (F.col("share") + F.col("weight") * F.coalesce("lower", F.lit(floor))).alias("p")))
+    unigram_weight = by_token(rest2, "c", "weight", 1.0)
+    tokens = stored(spark.createDataFrame(pa.table({"token": np.arange(size), "p": np.log(unigram_p), "weight": np.log(unigram_weight)})))
+    second = stored(share2.join(tokens.select(F.col("token").alias("w"), F.exp("p").alias("lower")), last(1) == F.col("w"))
+                    .select("k", (F.col("share") + F.col("weight") * F.col("lower")).alias("p")))
     share3, rest3 = _discounted(trigrams.withColumn("c", F.shiftright("k", BITS)), "c")
-    third = (share3.withColumn("w", F.col("k").bitwiseAND(F.lit(low))).join(rest3, "c")
-             .join(second.select(F.col("k").alias("w"), F.col("p").alias("lower")), "w")
-             .select("k", (F.col("share") + F.col("weight") * F.col("lower")).alias("p")))
+    third = share3.withColumn("w", last(2)).join(second.select(F.col("k").alias("w"), F.col("p").alias("lower")), "w").select(
+        "k", (F.col("share") + F.col("weight") * F.col("lower")).alias("p"))
+
+    def term(rows: DataFrame, bit: int, key: str, value: str) -> DataFrame:
+        return rows.select(F.col(key).bitwiseOR(F.lit(bit)).alias("k"), F.log(value).alias("v"))
+
+    triples = stored(term(third, 0, "k", "p"))
+    pairs = stored(term(second, PAIR, "k", "p").union(term(rest3, CONTEXT, "c", "weight")))
+    return Model(words, unigram_p, unigram_weight, triples, pairs, tokens)
+
+
+def _grams(rows: DataFrame, words: dict[str, int]) -> DataFrame:
+    """(k, h, n): how often the texts ``h`` have a trigram. A worker adds up the copies of a text that it meets at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(words)
+        held: dict[int, list] = {}
+
+        def added() -> Iterator[pa.RecordBatch]:
+            if held:
+                k = np.concatenate([x for x, _, _ in held.values()])
+                h = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x, _, _ in held.values()])
+                n = np.concatenate([x * copies for _, x, copies in held.values()])
+                held.clear()
+                yield from pa.table({"k": k, "h": h, "n": n.astype(np.int64)}).to_batches(100_000)
 
-    def arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-        # Only n-grams that enough documents have, and their contexts.
-        table = rows.select(*columns).toArrow().sort_by(columns[0])
-        return [table.column(c).to_numpy() for c in columns]
+        size = 0
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text")):
+                if h in held:
+                    held[h][2] += 1
+                    continue
+                held[h] = [*np.unique(keys([tokens.ids(text.as_py())])[0], return_counts=True), 1]
+                size += len(held[h][0])
+                if size >= CHUNK:
+                    yield from added()
+                    size = 0
+        yield from added()
+
+    return rows.select("h", "text").mapInArrow(run, "k bigint not null, h bigint not null, n bigint not null")
 
-    unigram_p, unigram_weight = np.full(size, floor), np.ones(size)
-    k, p = arrays(first, "k", "p")
-    unigram_p[k] = p
-    k, w = arrays(rest2, "c", "weight")
-    unigram_weight[k] = w
-    bk, bp = arrays(second, "k", "p")
-    tk, tp = arrays(third, "k", "p")
-    ck, cw = arrays(rest3, "c", "weight")
-    shards = [Shard(tk[a], tp[a], ck[b], cw[b]) for s in range(settings.shards)
-              for a in ((tk >> BITS) % settings.shards == s,) for b in (ck % settings.shards == s,)]
-    return Model(words, unigram_p, unigram_weight, bk, bp, shards)
 
+def _logarithms(model: Model, grams: DataFrame) -> DataFrame:
+    """(h, n, x): tokens, and their logarithms of probability in units, to be added up by ``h``."""
+    def units(value: Column) -> Column:
+        return (F.col("n") * F.round(value * UNIT).cast("long")).alias("x")
 
-def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, wanted), max(0, len(table) - 1))
-    return at, (table[at] == wanted) if len(table) else np.zeros(len(wanted), bool)
+    def token(column: Column) -> Column:
+        return column.bitwiseAND(F.lit(_MASK))
+
+    # Both branches read one exchange of the n-grams; they are many more than their texts' bytes tell, so never to be broadcast.
+    triples = model.triples.hint("merge")
+    found = grams.join(triples, "k").select("h", "n", units(F.col("v")))
+    shorter = F.array(F.shiftright("k", BITS).bitwiseOR(F.lit(CONTEXT)), F.col("k").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).bitwiseOR(F.lit(PAIR)))
+    missed = grams.join(triples, "k", "left_anti").select("h", "n", F.explode(shorter).alias("k")).join(model.pairs.hint("merge"), "k", "left")
+    # A context that was not seen has weight 1, a pair that was not the last word's own probability.
+    first = model.unigrams.select(F.col("token").alias("w"), F.col("p").alias("lower"))
+    before = model.unigrams.select(F.col("token").alias("u"), F.col("weight").alias("left"))
+    missed = missed.join(first, token(F.col("k")) == F.col("w"), "left").join(before, token(F.shiftright("k", BITS)) == F.col("u"), "left")
+    context = F.col("k") >= CONTEXT
+    value = F.coalesce("v", F.when(context, F.lit(0.0)).otherwise(F.col("lower") + F.col("left")))
+    return found.union(missed.select("h", F.when(context, F.lit(0)).otherwise(F.col("n")), units(value)))
 
 
 def log_probabilities(model: Model, found: np.ndarray) -> np.ndarray:
     """Natural logarithm of each trigram's interpolated probability."""
-    pairs = found & ((1 << 2 * BITS) - 1)
-    at, hit = _find(model.bigrams, pairs)
-    p = model.unigram_p[pairs & _MASK] * model.unigram_weight[pairs >> BITS]
-    p[hit] = model.bigram_p[at[hit]]
-    contexts = found >> BITS
-    shard_of = contexts % len(model.shards)
-    for s, shard in enumerate(model.shards):
-        mine = np.flatnonzero(shard_of == s)
-        at, hit = _find(shard.contexts, contexts[mine])
-        p[mine[hit]] *= shard.context_weight[at[hit]]
-        at, hit = _find(shard.trigrams, found[mine])
-        p[mine[hit]] = shard.trigram_p[at[hit]]
-    return np.log(p)
-
-
-def _sums(model: Model, tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids = [tokens.ids(t) for t in texts]
-    found, begins = keys(ids)
-    n = np.array([len(x) for x in ids], np.int64)
-    total = np.concatenate(([0.0], np.cumsum(log_probabilities(model, found))))
-    return n, total[begins + n] - total[begins]
+    spark = model.triples.sparkSession
+    rows = spark.createDataFrame(pa.table({"h": np.arange(len(found)), "k": found}))
+    got = _logarithms(model, rows.withColumn("n", F.lit(1))).groupBy("h").agg(F.sum("x").alias("x"))
+    out = np.zeros(len(found))
+    for h, x in got.collect():
+        out[h] = x / UNIT
+    return out
+
+
+def _sums(rows: DataFrame, model: Model | None) -> DataFrame:
+    """(h, n, total): tokens and logarithm of probability of each text; texts without words are left out."""
+    grams = _grams(rows, model.words if model else {})
+    if model is None:
+        parts = grams.select("h", "n", F.lit(0).alias("x"))
+    else:
+        parts = _logarithms(model, grams)
+    # Every copy of a text was counted.
+    copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
+    sums = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).join(copies, "h")
+    return sums.select("h", F.expr("n div copies").alias("n"), (F.expr("x div copies") / UNIT).alias("total"))
+
+
+def _judged(settings: Settings, mean: float) -> Column:
+    return (F.lit(settings.prior * mean) - F.col("total")) / (F.col("n") + settings.prior)
 
 
 def score(docs: DataFrame, model: Model | None, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns, with n_tokens, perplexity, threshold and accepted."""
-    new = {"n_tokens": "bigint", "perplexity": "double", "threshold": "double", "accepted": "boolean"}
+    new = ["n_tokens", "perplexity", "threshold", "accepted"]
     kept = [c for c in docs.columns if c not in new]
     names = [f"c{i}" for i in range(len(kept))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
-    text, lang = names[kept.index(text_col)], names[kept.index(lang_col)]
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        tokens = Tokens(model.words if model else {})
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                if model is None:
-                    n = np.array([len(t.split()) for t in texts], np.int64)
-                    shown, limit, ok = [None] * len(texts), [None] * len(texts), n > 0
-                else:
-                    n, total = _sums(model, tokens, texts)
-                    judged = (settings.prior * model.mean - total) / (n + settings.prior)
-                    limits = np.array([model.thresholds.get(x, model.thresholds[None]) for x in batch.column(lang).to_pylist()])
-                    shown = [math.exp(min(700.0, -t / k)) if k else None for t, k in zip(total, n)]
-                    limit, ok = np.exp(limits), (n > 0) & (judged <= limits)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(shown, pa.float64()), pa.array(limit, pa.float64()),
-                                                  pa.array(ok, pa.bool_())], names=[*names, *new])
-
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), *(f"{c} {t}" for c, t in new.items())])
-    return rows.mapInArrow(run, schema).toDF(*kept, *new)
+    text, lang = F.coalesce(F.col(names[kept.index(text_col)]), F.lit("")), F.col(names[kept.index(lang_col)])
+    rows = rows.withColumn("h", F.xxhash64(text))
+    judged = rows.join(_sums(rows.select("h", text.alias("text")), model).withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if model is None:
+        return judged.select(*names, "n", F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("n") > 0).toDF(*kept, *new)
+    limit = F.lit(model.thresholds[None])
+    own = [F.lit(x) for pair in model.thresholds.items() if pair[0] is not None for x in pair]
+    if own:
+        limit = F.when(lang.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*own), lang), limit)).otherwise(limit)
+    perplexity = F.when(F.col("n") > 0, F.exp(F.least(F.lit(700.0), -F.col("total") / F.col("n"))))
+    accepted = (F.col("n") > 0) & (_judged(settings, model.mean) <= limit)
+    return judged.select(*names, "n", perplexity, F.exp(limit), F.coalesce(accepted, F.lit(False))).toDF(*kept, *new)
 
 
 def _set_thresholds(model: Model, texts: DataFrame, settings: Settings) -> None:
     """The quantiles of the mean surprise of all trusted documents that were held out."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        tokens = Tokens(model.words)
-        for batch in batches:
-            n, total = _sums(model, tokens, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(total)], names=["lang", "n", "total"])
-
-    rows = stored(texts.mapInArrow(run, "lang string, n bigint, total double").filter("n > 0"))
+    rows = texts.withColumn("h", F.xxhash64("text"))
+    rows = stored(rows.select("h", "lang").join(_sums(rows, model), "h").select("lang", "n", "total"))
     got = rows.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("rows")).first()
     model.held_out = got["rows"]
     model.mean = -(got["total"] or 0.0) / max(1, got["n"] or 0)
-    judged = (F.lit(settings.prior * model.mean) - F.col("total")) / (F.col("n") + settings.prior)
-    cut = F.percentile_approx(judged, F.lit(settings.quantile), F.lit(10_000)).alias("cut")
+    cut = F.percentile_approx(_judged(settings, model.mean), F.lit(settings.quantile), F.lit(10_000)).alias("cut")
     overall = rows.agg(cut).first()["cut"]
     model.thresholds = {None: overall * settings.margin if overall is not None else math.inf}
     for r in rows.filter("lang is not null").groupBy("lang").agg(cut, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.least).collect():

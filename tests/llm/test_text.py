@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -230,6 +231,54 @@ def test_probabilities_sum_to_one(spark):
         assert np.exp(kneser_ney.log_probabilities(model, found)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_perplexities(texts, words):
+    """Modified Kneser-Ney over all n-grams of the texts, from dictionaries."""
+    tokens = kneser_ney.Tokens(words)
+    padded = [[kneser_ney.BEGIN] * 2 + tokens.ids(t).tolist() for t in texts]
+    counts = [Counter(), Counter(), Counter(tuple(p[i - 2:i + 1]) for p in padded for i in range(2, len(p)))]
+    for order in (1, 0):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    # Repetitions are unigrams only.
+    counts[1:] = [Counter({g: c for g, c in of.items() if not kneser_ney.REPEATED <= g[-1] < kneser_ney.FIRST_SHAPE}) for of in counts[1:]]
+    cuts, total, left = [], [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for order in range(3):
+        of = Counter(counts[order].values())
+        n = [max(1, of[i]) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cuts.append([min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i * 0.95) for i in (1, 2, 3)])
+        for g, c in counts[order].items():
+            total[order][g[:-1]] += c
+            left[order][g[:-1]] += cuts[order][min(c, 3) - 1]
+
+    def p(g):
+        order, c = len(g) - 1, g[:-1]
+        if not g:
+            return 1 / (kneser_ney.FIRST_WORD + len(words))
+        if c not in total[order]:
+            return p(g[1:])
+        own = counts[order][g] - cuts[order][min(counts[order][g], 3) - 1] if g in counts[order] else 0
+        return (own + left[order][c] * p(g[1:])) / total[order][c]
+
+    return [math.exp(-sum(math.log(p(tuple(x[i - 2:i + 1]))) for i in range(2, len(x))) / (len(x) - 2)) for x in padded]
+
+
+def test_rare_trigrams_count_as_they_are(spark):
+    # Each pair of documents has a phrase of its own, far below any share of all of them; copies of a text are judged alike.
+    names = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "mnopqr"]
+    texts = [f"common words of style come {names[i // 2 % 150]} then {names[i // 2 * 7 % 150]} and {names[i // 2 * 11 % 149]} again{' again' * (i % 9 // 7)}" for i in range(1600)]
+    texts += [texts[7]] * 40 + ["word word word word word word then word word"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    settings = kneser_ney.Settings(model_share=1.1)
+    model = kneser_ney.fit(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"), settings)
+    assert model.counted == len(texts)
+    more = ["again style of common words", "one #two THREE 4 ab ab ab ab ab ab ab"]
+    got = {r.text: (r.n_tokens, r.perplexity) for r in kneser_ney.score(docs.select("text", "lang").union(spark.createDataFrame([(m, "en") for m in more], "text string, lang string")), model).collect()}
+    seen = plain_perplexities(texts, model.words)
+    for text, wanted in zip(texts, seen):
+        assert got[text] == (len(text.split()), pytest.approx(wanted, rel=1e-6))
+    assert got[more[0]][0] == 5 and got[more[0]][1] > max(seen) and got[more[1]][0] == 11
+
+
 def test_no_trusted_text(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, "", "en")], "doc_id long, text string, lang string")
     model = kneser_ney.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
