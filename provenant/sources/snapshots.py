@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from provenant.functions.hashing import stable_id
 
 _KEY = r"([^/]+)/([^/]+?)\.(?:html|meta\.json)$"
+#: Tasks that list the folders of pages.
+LISTING_TASKS_PER_CORE = 4
 PAGE_COLUMNS = ["page_id", "slug", "language", "url", "html", "fetched_at", "not_modified"]
 
 
@@ -67,8 +69,20 @@ def write_snapshot_files(pages: DataFrame, root: str) -> None:
 
 
 def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
-    """Pages as written by ``write_snapshot_files``, each file whole."""
-    texts = spark.read.schema("value string, slug string, language string").text(f"{root}/html", wholetext=True)
+    """Pages as written by ``write_snapshot_files``, each file whole.
+
+    Spark lists folders in a job of one task per folder, up to 10 000 of them. Here a folder is a page, so a few tasks per core list them.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    try:
+        texts = spark.read.schema("value string, slug string, language string").text(f"{root}/html", wholetext=True)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
     html = texts.select("slug", "language", F.rtrim(F.col("value"), F.lit("\x00")).alias("html"))
     return html.join(spark.read.parquet(f"{root}/meta"), ["slug", "language"]).select(
         stable_id(F.col("slug"), F.col("language")).alias("page_id"), "slug", "language", "url", "html", "fetched_at", F.lit(False).alias("not_modified"))

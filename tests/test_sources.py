@@ -28,6 +28,23 @@ def test_snapshot_files(spark, tmp_path):
     assert [(r.slug, r.language, r.url, r.html, r.fetched_at) for r in rows] == [("labour", "bn", "http://u", "<p>\nছুটি</p>", datetime(2024, 1, 2, 3, 4, 5))]
 
 
+def test_written_files_are_listed_by_few_tasks(spark, tmp_path):
+    root, n = str(tmp_path / "files"), 100
+    pages = spark.createDataFrame([(f"p{i}", "bn", "u", f"<p>\n{i}</p>", datetime(2024, 1, 1)) for i in range(n)],
+                                  "slug string, language string, url string, html string, fetched_at timestamp")
+    snapshots.write_snapshot_files(pages, root)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(name), spark.sparkContext
+    context.setJobGroup("listing", "")
+    rows = snapshots.read_snapshot_files(spark, root)
+    tracker = context.statusTracker()
+    listed = [tracker.getStageInfo(stage).numTasks for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert listed and max(listed) <= snapshots.LISTING_TASKS_PER_CORE * context.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert {r.slug: r.html for r in rows.collect()} == {f"p{i}": f"<p>\n{i}</p>" for i in range(n)}
+
+
 def _page(slug, html):
     return (slug + "-bn", slug, "bn", "u", html, datetime(2024, 1, 1), False)
 
