@@ -151,3 +151,37 @@ def test_language_counts_a_text_once(spark):
     found = rows.select(language.detect_language(F.col("t"))["language"].alias("l"), language.detect_language(F.col("t"))["confidence"].alias("c"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4
     assert [(r.l, r.c if r.c is None else round(r.c, 4)) for r in found.collect()] == [("mixed", 0.6667), ("en", 1.0), ("en", 1.0), ("en", 1.0), ("en", 1.0), ("bn", 1.0)]
+
+
+def test_similar_texts_are_compared_by_their_edits(monkeypatch):
+    """A few edits in a long text take waves of edits, not a pass over all letters; both ways agree with the plain table."""
+    import random
+
+    from provenant.functions import distance
+
+    def plain(a, b):
+        above = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+            above = row
+        return above[-1]
+
+    draw = random.Random(3)
+    for round_ in range(400):
+        letters = "ab\0\1" if round_ % 2 else "abcdefgh "
+        a = "".join(draw.choice(letters) for _ in range(draw.randrange(60)))
+        b = "".join(draw.choice(letters) if draw.random() < 0.1 else x for x in a if draw.random() > 0.05)
+        assert distance.distance(a, b) == plain(a, b)
+        a, b = sorted((a + "x", b + "y"), key=len, reverse=True)
+        found = plain(a, b)
+        assert distance._waves(a, b, 4) == (found if found <= 4 else None)
+
+    def passes(*_):
+        raise AssertionError("all letters are passed")
+
+    monkeypatch.setattr(distance, "_within", passes)
+    text = "".join(draw.choice("abcdefgh ") for _ in range(20_000))
+    changed = text[:50] + "X" + text[50:7000] + text[7001:15_000] + "Y" + text[15_001:] + "Z"
+    assert distance.distance(text, changed) == 4
