@@ -61,12 +61,12 @@ def _balanced(rest: Column, tag: Column) -> Column:
 def _container(html: Column, containers: Sequence[tuple[str, str]]) -> Column:
     def begin(mark: str, name: str) -> Column:
         attribute = "class" if mark == "." else "id"
-        tag = (rf"(?is)<(\w+)\b[^>]*\b{attribute}\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^>]*>"
-               r"(.*?)(?:</body\s*>|\z)")
-        found = let(F.struct(F.regexp_extract(html, tag, 1).alias("tag"), F.regexp_extract(html, tag, 2).alias("rest")),
+        start = rf"(?is)<(\w+)\b[^>]*\b{attribute}\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^>]*>"
+        # The start tag alone ends the search for its name, so only one pattern passes the whole page.
+        found = let(F.struct(F.regexp_extract(html, start, 1).alias("tag"), F.regexp_extract(html, start + r"(.*?)(?:</body\s*>|\z)", 2).alias("rest")),
                     lambda x: F.when(x["tag"] != "", _balanced(x["rest"], x["tag"])))
-        # Most pages lack most containers: a substring test spares them the pattern.
-        return F.when(html.contains(name), F.nullif(found, F.lit("")))
+        # Most pages lack most containers: a substring test spares them the pattern. What is found is compared once it is held.
+        return F.when(html.contains(name), let(found, lambda inner: F.when(inner != "", inner)))
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return F.coalesce(*[begin(*c) for c in containers], F.nullif(body, F.lit("")), html)
 
@@ -144,10 +144,12 @@ def _elements(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
 
 def _finished(nodes: DataFrame, base: str) -> DataFrame:
     """Titles, numbers and addresses are set by the same columns as in every other mode."""
-    title = F.nullif(norm_title(F.col("title")), F.lit(""))
+    # Of its own, the title is normalised once and not wherever it is read.
+    titled = nodes.filter("kind is not null").withColumn("title", norm_title(F.col("title")))
+    title = F.nullif(F.col("title"), F.lit(""))
     # A null number is "read it from the title"; sub-provisions carry their own.
     number = F.coalesce(F.col("number"), provision_number(title), F.lit(UNKNOWN_NUMBER))
-    return nodes.filter("kind is not null").select(
+    return titled.select(
         "page_id", "ordinal", "parent_ordinal", "kind", number.alias("number"),
         title.alias("title"), clean_ws(F.col("text")).alias("text"),
         detail_url(F.col("markup"), F.col("source_url"), base).alias("source_url"))

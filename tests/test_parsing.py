@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from provenant.operators import parsing
 
@@ -80,3 +81,13 @@ def test_walker_holds_few_pages_at_once():
     assert max(b.num_rows for b in walked) <= parsing.PAGES_AT_ONCE
     rows = [r for b in walked for r in b.to_pylist()]
     assert [r["page_id"] for r in rows] == list(range(200)) and [r["kind"] for r in rows] == ["part"] * 199 + [None]
+
+
+def test_a_page_is_passed_once_for_its_container(spark):
+    """What a container holds is taken by one pattern over the page, and not again where it is compared."""
+    html = '<html><body class="x"><div class="a lawCon"><p>1</p><div>2</div></div>rest</body></html>'
+    pages = spark.createDataFrame([(html,), ('<div class="lawCon"></div><p>whole</p>',), ("<body class='lawCon'>open</body> after",)], "html string")
+    held = pages.select(parsing.content_container(F.col("html"), [(".", "lawCon")]).alias("inner"))
+    assert [r.inner for r in held.collect()] == ["<p>1</p><div>2</div>", '<div class="lawCon"></div><p>whole</p>', "open"]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lawCon(?![\\w-])[^>]*>(.*?)") == 1
