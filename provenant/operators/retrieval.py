@@ -135,8 +135,10 @@ def rerank(hits: DataFrame, queries: DataFrame, contents: DataFrame, scorer: Sco
     if scores is not None:
         scored = cut.join(scores, ["query_id", "chunk_id"], "left")
     else:
-        pairs = cut.join(queries.select("query_id", "query_text"), "query_id").join(
-            contents.select("chunk_id", "content"), "chunk_id")
+        # Stored, the cut has a known size: Spark can broadcast its ids, so that only texts of candidates are shuffled.
+        cut = stored(cut)
+        texts = contents.select("chunk_id", "content").join(cut.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        pairs = cut.join(queries.select("query_id", "query_text"), "query_id").join(texts, "chunk_id")
         if scorer is None:
             scored = pairs.withColumn("rerank_score", overlap_score(F.col("query_text"), F.col("content")))
         else:

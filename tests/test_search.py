@@ -318,3 +318,27 @@ def test_paths_with_a_word_in_common(spark):
         scores = {c: round(0.1 * sum(w in text.split() for w in (p or "").lower().replace(">", " ").split()), 9) for c, p, lang in paths if lang == "en"}
         want[i] = [(c, s) for c, s in sorted(scores.items(), key=lambda x: (-x[1], x[0])) if s][:9]
     assert got == {i: w for i, w in want.items() if w}
+
+
+def test_only_texts_of_candidates_are_joined(spark):
+    """Reranking cuts the texts to those of the candidates before they are shuffled."""
+    found = spark.createDataFrame([("q", f"c{i}", 1.0 - i / 100) for i in range(4)], "query_id string, chunk_id string, score double")
+    asked = spark.createDataFrame([("q", "rest day")], "query_id string, query_text string")
+    texts = spark.createDataFrame([(f"c{i}", "rest" if i % 2 else "x") for i in range(50)] + [("c1", "rest day")], "chunk_id string, content string")
+    ranked = retrieval.rerank(found, asked, texts)
+    assert [r.chunk_id for r in ranked.orderBy("rank").collect()] == ["c1", "c1", "c3", "c0", "c2"]
+    physical = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in physical.splitlines())
+
+
+def test_hybrid_chunks_carry_no_texts(spark, tmp_path):
+    """The joined chunks are written for the search; the index holds the tokens and texts are read from their own table."""
+    from workload import search
+    from workload.base import Tables
+
+    spark.createDataFrame([(1, "a b", "en", "s"), (2, None, "fr", "s"), (3, "c", "en", None)], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, [0.5, 1.0]), (3, None)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    chunks = search._hybrid_chunks(Tables(spark, str(tmp_path)))
+    assert sorted(chunks.columns) == ["act_id", "chunk_id", "embedding", "hierarchy_path", "language"]
+    assert sorted((r.chunk_id, r.language, r.embedding) for r in chunks.collect()) == [(1, "en", [0.5, 1.0]), (2, "fr", None), (3, "en", None)]

@@ -243,7 +243,8 @@ _HYBRID_DOCS = _DOCS.replace("from documents)", "from documents), e as (select v
 
 
 def _hybrid_chunks(t):
-    return stored(_text_chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left"))
+    # The index holds the tokens; texts are read again for the few chunks that are scored anew.
+    return stored(_text_chunks(t).drop("content", "tokens").join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left"))
 
 
 def _hybrid_queries(t):
