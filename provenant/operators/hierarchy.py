@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from provenant.plans.session import stored
 
 READABLE_KINDS = ["section", "subsection", "clause"]
+#: Parts that the roots of one tree are dealt to, at most.
+DEALS = 4096
 _NAMED_KINDS = ["part", "chapter", "section"]
 
 
@@ -27,18 +29,16 @@ def _joined(above: str, own: str) -> Column:
     return F.concat(above, F.lit("/"), own)
 
 
-def _climb(nodes: DataFrame, tree: str, joined: Callable[[str, str], Column] = _joined) -> DataFrame:
-    """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans and cycles are left out.
+def _reached(nodes: DataFrame, tree: str, number: Column, suffix: Column, joined: Callable[[str, str], Column] = _joined) -> DataFrame:
+    """(tree, _up, depth, _path, _label, _siblings): what the children of each placed node take from it, and how many they are.
 
+    Only nodes that have children climb, by pointer doubling; those that have arrived are not shuffled to meet others.
     ``joined`` puts the numbers of a path together.
-
-    Only nodes that have children climb, by pointer doubling; all others then take the path of
-    their parent in a single join, so the bulk of a tree is shuffled once.
     """
-    parents = nodes.select(F.col(tree), F.col("_up").alias("id")).filter("id is not null").distinct()
-    climbing = stored(nodes.join(parents, [tree, "id"], "left_semi").select(
-        F.col(tree), "id", F.lit(0).alias("depth"), F.col("_number").alias("_path"),
-        F.col("_suffix").alias("_label"), F.col("_up").alias("_next"), F.lit(False).alias("_lost")))
+    parents = nodes.select(F.col(tree), F.col("_up").alias("id")).filter("id is not null").groupBy(tree, "id").agg(F.count(F.lit(1)).cast("int").alias("_siblings"))
+    climbing = stored(nodes.join(parents, [tree, "id"]).select(
+        F.col(tree), "id", F.lit(0).alias("depth"), number.alias("_path"),
+        suffix.alias("_label"), F.col("_up").alias("_next"), F.lit(False).alias("_lost"), "_siblings"))
     waiting = None
     while True:
         open_ = climbing.filter("_next is not null and not _lost").count()
@@ -49,17 +49,26 @@ def _climb(nodes: DataFrame, tree: str, joined: Callable[[str, str], Column] = _
         above = climbing.select(F.col(tree), F.col("id").alias("_next"), F.col("depth").alias("_d"), F.col("_path").alias("_p"),
                                 F.col("_label").alias("_l"), F.col("_next").alias("_then"), F.col("_lost").alias("_gone"), F.lit(True).alias("_met"))
         met = F.col("_met").isNotNull()
-        climbing = stored(climbing.join(above, [tree, "_next"], "left").select(
+        done = F.col("_next").isNull() | F.col("_lost")
+        climbing = stored(climbing.filter(~done).join(above, [tree, "_next"], "left").select(
             tree, "id", F.when(met, F.col("depth") + F.col("_d") + 1).otherwise(F.col("depth")).alias("depth"),
             F.when(met, joined("_p", "_path")).otherwise(F.col("_path")).alias("_path"),
             F.when(met, F.concat("_l", "_label")).otherwise(F.col("_label")).alias("_label"),
             F.when(met, F.col("_then")).otherwise(F.col("_next")).alias("_next"),
-            (F.col("_lost") | F.coalesce("_gone", F.col("_next").isNotNull())).alias("_lost")))
-    reached = climbing.filter("_next is null and not _lost").select(
-        F.col(tree), F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "_path", "_label")
+            (F.col("_lost") | F.coalesce("_gone", F.col("_next").isNotNull())).alias("_lost"), "_siblings").union(climbing.filter(done)))
+    return climbing.filter("_next is null and not _lost").select(
+        F.col(tree), F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "_path", "_label", "_siblings")
+
+
+def _climb(nodes: DataFrame, tree: str) -> DataFrame:
+    """Add depth, _path and _label to (tree, id, _up, _number, _suffix); orphans and cycles are left out.
+
+    Nodes take the path of their parent in a single join, so the bulk of a tree is shuffled once.
+    """
+    reached = _reached(nodes, tree, F.col("_number"), F.col("_suffix")).drop("_siblings")
     roots = nodes.filter("_up is null").select("*", F.lit(0).alias("depth"), F.col("_number").alias("_path"), F.col("_suffix").alias("_label"))
     below = nodes.filter("_up is not null").join(reached, [tree, "_up"]).withColumns(
-        {"_path": joined("_path", "_number"), "_label": F.concat("_label", "_suffix")})
+        {"_path": _joined("_path", "_number"), "_label": F.concat("_label", "_suffix")})
     return roots.unionByName(below.select(*roots.columns))
 
 
@@ -121,26 +130,34 @@ def nest(nodes: DataFrame, tree: str = "act_id",
     joins does not depend on the depth, though the type of the result does. The result is one value per root
     by definition, so it fits trees of document size; for wider ones use ``descend``.
     """
-    columns = list(dict.fromkeys([tree, "id", "parent_id", "sort_path", *fields]))
+    columns = list(dict.fromkeys([tree, "id", "sort_path", *fields]))
     # A path of (sort_path, id) pairs: nodes of one level in its order keep siblings together.
-    keyed = nodes.select(*columns).withColumns({
-        "_up": F.col("parent_id"), "_number": F.array(F.struct("sort_path", "id")), "_suffix": F.lit("")})
-    placed = _climb(keyed, tree, lambda above, own: F.concat(above, own))
-    children = nodes.filter("parent_id is not null").groupBy(F.col(tree), F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = placed.join(children, [tree, "id"], "left").withColumns({
-        "_root": F.col("_path")[0]["id"], "_n": F.coalesce("_n", F.lit(0)).cast("int")})
-    before = Window.partitionBy(tree, "_root", "depth").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.repartition(tree, "_root").withColumns({
-        "_first": F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int"), "_place": F.count(F.lit(1)).over(before).cast("int")})
-    node = F.struct("depth", "_place", "_first", "_n", F.struct(*columns).alias("_all"))
-    roots = stored(numbered.groupBy(tree, "_root").agg(F.array_sort(F.collect_list(node)).alias("_nodes")))
+    own = F.array(F.struct("sort_path", "id"))
+    keyed = nodes.select(tree, "id", F.col("parent_id").alias("_up"), "sort_path")
+    reached = _reached(keyed, tree, own, F.lit(""), lambda above, number: F.concat(above, number)).drop("_label")
+    top = nodes.filter("parent_id is null").select(*columns, F.lit(0).alias("depth"), F.slice(own, 1, 0).alias("_above"), F.lit(0).alias("_siblings"))
+    under = nodes.filter("parent_id is not null").select(*columns, F.col("parent_id").alias("_up")).join(
+        reached.withColumnRenamed("_path", "_above"), [tree, "_up"]).select(*columns, "depth", "_above", "_siblings")
+    # What a node shares with its path is not dealt twice.
+    root = lambda: F.when(F.col("depth") == 0, F.col("id")).otherwise(F.col("_above")[0]["id"])
+    placed = top.unionByName(under).withColumn("_deal", F.pmod(F.xxhash64(root()), F.lit(DEALS)).cast("int")).repartition(tree, "_deal").withColumns(
+        {"_root": root(), "_path": F.concat("_above", own)}).drop("_above")
+    # In the order of paths a node, its repetitions and its first child follow each other; the child knows the number of its siblings.
+    walk_ = Window.partitionBy(tree, "_deal", "_root").orderBy("_path")
+    eldest = F.when(F.lead("depth").over(walk_) == F.col("depth") + 1, F.lead("_siblings").over(walk_))
+    counted = placed.withColumns({"_eldest": eldest, "_at": F.row_number().over(walk_)}).withColumn(
+        "_n", F.coalesce(F.max("_eldest").over(Window.partitionBy(tree, "_deal", "_root", "_path")), F.lit(0))).drop("_path", "_siblings", "_eldest")
+    before = Window.partitionBy(tree, "_deal", "_root", "depth").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int"))
+    node = F.struct("depth", "_at", "_first", "_n", F.struct(*columns).alias("_all"))
+    roots = stored(numbered.groupBy(tree, "_deal", "_root").agg(F.array_sort(F.collect_list(node)).alias("_nodes")))
     deepest = roots.agg(F.max(F.element_at("_nodes", -1)["depth"])).first()[0] or 0
     folded, below = roots, None
     for depth in range(deepest, 0, -1):
         folded = folded.withColumn(f"_level{depth}", _level(depth, below, fields))
         below = F.col(f"_level{depth}")
-    root = F.element_at("_nodes", 1)["_all"]
-    return folded.select(*[root[c].alias(c) for c in columns if c != "parent_id"],
+    first = F.element_at("_nodes", 1)["_all"]
+    return folded.select(*[first[c].alias(c) for c in columns if c != "parent_id"],
                          (F.array() if below is None else below).alias("children"))
 
 

@@ -33,7 +33,7 @@ def stored(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/provenant-{uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
