@@ -18,6 +18,8 @@ from provenant.operators import revisions as rev
 from provenant.plans.session import stored
 
 BUCKETS = 64
+#: Rows of a batch that one task writes to a bucket, about.
+PART_ROWS = 20_000
 _KEYS = ["provision_id", "language"]
 _PLACE = [T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())]
 
@@ -31,8 +33,12 @@ def _ends(schema: T.StructType) -> T.StructType:
 
 def _write(rows: DataFrame, path: str, keys: Sequence[str], batch: int, buckets: int) -> None:
     """Append by batch; a large bucket is split over several tasks and files."""
-    placed = rows.withColumns({"bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"), "batch": F.lit(batch).cast("long")})
-    placed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket", "batch").mode("overwrite").option(
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    _append(placed.hint("rebalance", F.col("bucket")), path, batch)
+
+
+def _append(placed: DataFrame, path: str, batch: int) -> None:
+    placed.withColumn("batch", F.lit(batch).cast("long")).write.partitionBy("bucket", "batch").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -81,11 +87,16 @@ def merge_revisions(spark: SparkSession, root: str, incoming: DataFrame, batch:
         *_KEYS, "_hash", "_since", F.col("id").alias("_id"), F.col("batch").alias("_batch"))
     judged = stored(rev.judge(heads, batch_rows))
     names = [c for c in _read(spark, f"{root}/versions", schema).columns if c not in ("bucket", "batch")]
-    opened, row = rev.inserted(judged), [*_KEYS, "fetched_at", "content_hash"]
-    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in row])
-    texts = written.select(*[F.col(c).alias(f"_{c}") for c in row], "text")
-    opened = texts.join(opened, same).dropDuplicates(row)
-    _write(opened.select(*names), f"{root}/versions", _KEYS, batch, buckets)
+    opened, row = stored(rev.inserted(judged)), [*_KEYS, "fetched_at", "content_hash"]
+    # Texts cross one shuffle: to their buckets, a large one in several parts, where the opened revisions meet them and repeated rows go.
+    parts = max(1, opened.count() // (buckets * PART_ROWS))
+    dealt = {"bucket": place, "_part": F.pmod(F.xxhash64(*row), F.lit(parts))}
+    rest = F.struct(*[c for c in opened.columns if c not in row])
+    both = written.select(*row, "text", F.lit(None).cast(opened.select(rest.alias("r")).schema["r"].dataType).alias("_r")).unionByName(
+        opened.select(*row, F.lit(None).cast("string").alias("text"), rest.alias("_r")))
+    met = both.withColumns(dealt).repartition("bucket", "_part").groupBy("bucket", "_part", *row).agg(
+        F.first("text", ignorenulls=True).alias("text"), F.first("_r", ignorenulls=True).alias("_r")).filter("_r is not null")
+    _append(met.select(*[F.col(f"_r.{c}") if c not in [*row, "text"] else F.col(c) for c in names], "bucket"), f"{root}/versions", batch)
     ends = rev.closing(judged, "_id", "_batch").select(*_KEYS, F.col("_id").alias("id"), F.col("_batch").alias("closed_batch"), "_closed")
     _write(ends, f"{root}/closings", _KEYS, batch, buckets)
     return rev.outcomes_of(judged)

@@ -52,6 +52,31 @@ def test_deep_and_wide_trees_nest_without_a_join_per_level(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+@pytest.fixture
+def merged_by_sort(spark):
+    """Joins as large tables have them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_nesting_shuffles_nodes_to_their_parents_and_roots_only(spark, monkeypatch, merged_by_sort):
+    seen, keep = [], hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda rows: (seen.append(rows), keep(rows))[1])
+    rows = [("t", "a", None, "1"), ("t", "c", "a", "3"), ("t", "b", "a", "2"), ("t", "d", "c", "1"), ("t", "e", "c", "1"), ("t", "z", None, "9"), ("t", "lost", "none", "1")]
+    rows += [rows[3]] + [("u", f"r{i}", None, "1") for i in range(50)] + [("u", f"k{i}", f"r{i}", "1") for i in range(50)]
+    got = {r.id: r for r in hierarchy.nest(spark.createDataFrame(rows, "act_id string, id string, parent_id string, sort_path string"), fields=("id",)).collect()}
+    assert set(got) == {"a", "z", *[f"r{i}" for i in range(50)]} and all([c.id for c in got[f"r{i}"].children] == [f"k{i}"] for i in range(50))
+    assert [(c.id, [x.id for x in c.children]) for c in got["a"].children] == [("b", []), ("c", ["d", "d", "e"])] and got["z"].children == []
+    # The nodes and what their parents know, then the deal by root.
+    assert _exchanges(seen[-1]) == 3
+
+
 def _merge(spark, current, rows, day):
     incoming = spark.createDataFrame([(p, l, t, "u", day, i) for i, (p, l, t) in enumerate(rows)], "provision_id string, language string, text string, source_url string, fetched_at timestamp, ordinal int")
     merged, outcomes = revisions.merge_revisions(current, incoming)
@@ -179,6 +204,20 @@ def test_bucketed_revisions(spark, tmp_path):
     assert content(bucketed.read_revisions(spark, str(tmp_path / "small"), schema)) == content(revisions.merge_revisions(plain, last)[0])
 
 
+def test_texts_of_a_batch_are_shuffled_once(spark, tmp_path, monkeypatch, merged_by_sort):
+    from pyspark.sql import types as T
+    schema, root, seen, write = T.StructType.fromDDL(EMPTY), str(tmp_path), [], bucketed._append
+    bucketed.begin_revisions(spark, root, schema)
+    monkeypatch.setattr(bucketed, "_append", lambda rows, path, batch: (seen.append(rows), write(rows, path, batch)))
+    monkeypatch.setattr(bucketed, "PART_ROWS", 1)
+    rows = [("p", "en", "x", "u", datetime(2024, 1, 1))] * 3 + [("p", "en", "y", None, datetime(2024, 1, 2)), ("p", None, "x", "u", datetime(2024, 1, 1))]
+    rows += [(f"q{i}", "en", f"t{i}", "u", datetime(2024, 1, 1)) for i in range(20)]
+    bucketed.merge_revisions(spark, root, spark.createDataFrame(rows, "provision_id string, language string, text string, source_url string, fetched_at timestamp"), 0, schema, 4)
+    got = sorted((r.provision_id, str(r.language), r.text, str(r.source_url), str(r.effective_to)) for r in bucketed.read_revisions(spark, root, schema).collect())
+    assert got == sorted([("p", "en", "x", "u", "2024-01-02"), ("p", "en", "y", "None", "None"), ("p", "None", "x", "u", "None")] + [(f"q{i}", "en", f"t{i}", "u", "None") for i in range(20)])
+    assert "text" in seen[0].columns and _exchanges(seen[0]) == 1
+
+
 def test_bucketed_chunks(spark, tmp_path):
     root = str(tmp_path)
     old = spark.createDataFrame([("r1", 0, "a"), ("r1", 1, "b"), ("r2", 0, "c")], "revision_id string, chunk_index int, content string")
