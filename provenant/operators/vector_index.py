@@ -29,6 +29,8 @@ from provenant.settings import Settings
 #: Vectors that k-means is fitted on, cells, and vectors in a block.
 SAMPLE, CELLS, BLOCK_ROWS = 20_000, 64, 4096
 LEVELS = 127
+#: Scores of a block that a task holds at once.
+SCORES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -121,6 +123,19 @@ def probes_of(queries: DataFrame, index: VectorIndex, probes: int, rows_in_pack:
     return rows.mapInArrow(run, V._packed_type(rows, ("cell", T.IntegerType())))
 
 
+def best_in_block(asked: V._Block, block: dict, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, chunks and scores of the n best of a block for each query, by a few queries at a time: of at most ``SCORES`` scores, unless a block has more rows."""
+    step = max(1, SCORES // max(1, len(block["chunk_id"])))
+    for at in range(0, len(asked.ids), step):
+        some = np.arange(at, min(at + step, len(asked.ids)))
+        scores = asked.scores(block, some)
+        keep = np.isfinite(scores)
+        if scores.shape[1] > n:
+            keep &= scores >= np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n, None]
+        q, c = np.nonzero(keep)
+        yield some[q], c, scores[q, c]
+
+
 def short_lists(queries: DataFrame, index: VectorIndex, n: int, probes: int, settings: Settings) -> DataFrame:
     """(query_id, chunk_id): the n best of each query by the codes in the cells that it probes."""
     packs = probes_of(queries, index, probes, settings.query_block_rows)
@@ -136,14 +151,10 @@ def short_lists(queries: DataFrame, index: VectorIndex, n: int, probes: int, set
                 centre = centroids[batch.column("cell")[i].as_py()]
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int8).reshape(-1, len(centre))
                 block = V.chunk_block({c: batch.column(c)[i].values for c in theirs}) | {"embedding": centre + codes * scale}
-                scores = asked.scores(block, np.arange(len(asked.ids)))
-                keep = np.isfinite(scores)
-                if scores.shape[1] > n:
-                    keep &= scores >= np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n, None]
-                q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked.ids[q], batch.schema.field("q_query_id").type.value_type), pa.array(block["chunk_id"][c], batch.schema.field("chunk_id").type.value_type),
-                     pa.array(scores[q, c], pa.float64())], names=["query_id", "chunk_id", "score"])
+                for q, c, scores in best_in_block(asked, block, n):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(asked.ids[q], batch.schema.field("q_query_id").type.value_type), pa.array(block["chunk_id"][c], batch.schema.field("chunk_id").type.value_type),
+                         pa.array(scores, pa.float64())], names=["query_id", "chunk_id", "score"])
 
     rough = met.mapInArrow(run, f"query_id {ids[0]}, chunk_id {ids[1]}, score double")
     return top_per_group(rough, ["query_id"], [F.desc("score"), F.asc("chunk_id")], n).select("query_id", "chunk_id")
