@@ -1,4 +1,4 @@
-"""Revisions and chunks in Parquet folders by key bucket and batch, changed by appending.
+"""Provisions, revisions and chunks in Parquet folders by key bucket and batch, changed by appending.
 
 A batch writes the folders ``bucket=b/batch=n`` of the buckets it touches and no others. What it ends (an open revision,
 the former chunks of a revision) is a narrow row of a second table, applied when the table is read; texts that are
@@ -102,6 +102,11 @@ def merge_revisions(spark: SparkSession, root: str, incoming: DataFrame, batch:
     return rev.outcomes_of(judged)
 
 
+def opened_revisions(spark: SparkSession, root: str, batch: int, schema: T.StructType = schemas.REVISIONS) -> DataFrame:
+    """The revisions that a batch wrote and left open: the only ones to chunk."""
+    return _read(spark, f"{root}/versions", schema).filter((F.col("batch") == batch) & F.col("effective_to").isNull()).drop("bucket", "batch")
+
+
 def compact_revisions(spark: SparkSession, root: str, target: str, batch: int, schema: T.StructType = schemas.REVISIONS,
                       buckets: int = BUCKETS) -> None:
     """Write all batches before ``batch`` as one, with their ends applied, to a new folder that takes on from there."""
@@ -109,6 +114,26 @@ def compact_revisions(spark: SparkSession, root: str, target: str, batch: int, s
     _write(read_revisions(spark, root, schema, batch), f"{target}/versions", _KEYS, batch - 1, buckets)
 
 
+def begin_provisions(spark: SparkSession, root: str) -> None:
+    _begin(spark, f"{root}/provisions", schemas.PROVISIONS)
+
+
+def read_provisions(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Each provision as the last batch that changed it wrote it, of all batches or those before one."""
+    rows = _read(spark, f"{root}/provisions", schemas.PROVISIONS)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    names = schemas.PROVISIONS.fieldNames()
+    return rows.groupBy("act_id", "sort_path").agg(F.max_by(F.struct(*names), "batch").alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in names])
+
+
+def merge_provisions(spark: SparkSession, root: str, incoming: DataFrame, batch: int, buckets: int = BUCKETS) -> None:
+    """Upsert as ``revisions.upsert_provisions`` does, by appending the provisions that are new or changed."""
+    merged = rev.upsert_provisions(read_provisions(spark, root, batch), incoming)
+    fresh = merged.filter(F.col("outcome").isin("inserted", "updated")).drop("outcome")
+    _write(fresh, f"{root}/provisions", ["act_id", "sort_path"], batch, buckets)
+
+
 def begin_chunks(spark: SparkSession, root: str, schema: T.StructType) -> None:
     """``schema`` holds a revision_id."""
     _begin(spark, f"{root}/chunks", schema)
@@ -132,3 +157,8 @@ def read_chunks(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
     last = _read(spark, f"{root}/replaced", _replaced(schema)).groupBy("bucket", "revision_id").agg(F.max("batch").alias("batch"))
     return chunks.join(last, ["bucket", "revision_id", "batch"], "left_semi").select(
         *[c for c in chunks.columns if c not in ("bucket", "batch")])
+
+
+def written_chunks(spark: SparkSession, root: str, schema: T.StructType, batch: int) -> DataFrame:
+    """The chunks that a batch wrote."""
+    return _read(spark, f"{root}/chunks", schema).filter(F.col("batch") == batch).drop("bucket", "batch")

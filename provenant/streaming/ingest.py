@@ -16,8 +16,8 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 
 
 def stream_ingest(pages: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """Writer that hands each micro-batch to ``merge``, usually ``bucketed.merge_revisions`` of parsed pages,
-    which appends the batch to the store.
+    """Writer that hands each micro-batch to ``merge``, usually ``plans.ingest.ingest_batch``, which parses,
+    places, merges and chunks the pages of the batch and appends what they change to the stored corpus.
 
     Every fetch reaches the merge, which takes the fetches of a page in time order, drops repeats and reports those
     older than the open revision; nothing is dropped before it can be counted. ``merge`` gets the batch id: a batch

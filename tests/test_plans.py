@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from check import TABLES, rows_of
 from provenant import schemas
-from provenant.operators import embedding, lexical, vectors
+from provenant.operators import bucketed, embedding, lexical, vectors
 from provenant.plans.answer import retrieve
-from provenant.plans.ingest import ingest
+from provenant.plans.ingest import begin_corpus, ingest, ingest_batch
 from provenant.settings import Settings
+from provenant.streaming import ingest as streaming
 from test_parsing import HEADED, NESTED
-from workload import QUERIES, SQL
+from workload import QUERIES, SQL, streams
 
 FOLDER = "/root/testdata/sf0.001"
 PAGES = "page_id string, slug string, language string, url string, html string, fetched_at timestamp, not_modified boolean"
@@ -53,6 +54,65 @@ def test_ingest_twice_then_ask(spark):
     assert set(r.confidence for r in found.confidence.collect()) <= {"HIGH", "MEDIUM", "LOW"}
 
 
+def test_streamed_pages_are_parsed_placed_merged_and_chunked(spark, tmp_path):
+    """Three crawls, the last two in one micro-batch after a restart, leave the corpus of three batch ingests."""
+    acts = spark.createDataFrame([("a", "a", "Law", "আইন", 2006), ("b", "b", "Rules", "বিধি", 2010)], "id string, slug string, full_name_en string, full_name_bn string, act_year int")
+    day = lambda n: datetime(2024, 1, n)
+    changed = NESTED.replace("Ten days", "Twelve days")
+    crawls = [[("1", "a", "en", "http://a", NESTED, day(1), False), ("2", "b", "bn", "http://b", HEADED, day(1), False), ("3", "none", "en", "http://n", HEADED, day(1), False)],
+              [("1", "a", "en", "http://a", changed, day(2), False), ("2", "b", "bn", "http://b", "", day(2), True)],
+              [("1", "a", "en", "http://a", changed.replace("Weekly", "Daily"), day(3), False), ("2", "b", "bn", "http://b", HEADED, day(3), False), ("4", "b", "en", "http://e", "<body> </body>", day(3), False)]]
+    stamp, root = F.lit("2024-01-01").cast("timestamp"), str(tmp_path / "corpus")
+    provisions, revisions, chunks = spark.createDataFrame([], schemas.PROVISIONS), spark.createDataFrame([], schemas.REVISIONS), spark.createDataFrame([], CHUNKS)
+    fix = lambda rows: spark.createDataFrame(rows.collect(), rows.schema)
+    for crawl in crawls:
+        one = ingest(spark.createDataFrame(crawl, PAGES), acts, provisions, revisions, chunks, stamp, stamp)
+        provisions, revisions, chunks = fix(one.provisions), fix(one.revisions), fix(one.chunks)
+
+    begin_corpus(spark, root)
+    merge = lambda batch, number: ingest_batch(batch, acts, root, number, stamp, stamp)
+
+    def run():
+        pages = streaming.page_stream(spark, str(tmp_path / "pages"))
+        streaming.stream_ingest(pages, merge, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    for number, crawl in enumerate(crawls):
+        spark.createDataFrame(crawl, PAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        if number != 1:
+            run()
+    plain = lambda rows, *names: sorted(map(str, rows.select(*names).collect()))
+    names = ["id", "act_id", "parent_id", "kind", "number", "title", "sort_path"]
+    assert plain(bucketed.read_provisions(spark, root), *names) == plain(provisions, *names)
+    names = ["id", "provision_id", "language", "text", "effective_from", "effective_to", "content_hash", "source_url"]
+    assert plain(bucketed.read_revisions(spark, root), *names) == plain(revisions, *names) and revisions.filter("effective_to is not null").count() >= 1
+    # Revisions that were replaced within the batch are stored, but not chunked.
+    open_ = lambda rows: rows.join(revisions.filter("effective_to is null").selectExpr("id as revision_id"), "revision_id", "left_semi")
+    stored_chunks = bucketed.read_chunks(spark, root, chunks.schema)
+    assert plain(open_(stored_chunks), *chunks.columns) == plain(open_(chunks), *chunks.columns)
+    assert not any("<" in r.content for r in stored_chunks.collect())
+    told = spark.read.parquet(f"{root}/warnings").collect()
+    assert [(r.act_id, r.language, r.message) for r in told] == [("b", "en", "content container yielded no provisions")]
+    runs = {(r.batch, r.act_id, r.language): (r.status, r.provisions_processed > 0) for r in spark.read.parquet(f"{root}/runs").collect()}
+    assert runs == {(0, "a", "en"): ("succeeded", True), (0, "b", "bn"): ("succeeded", True), (1, "a", "en"): ("succeeded", True),
+                    (1, "b", "bn"): ("succeeded", True), (1, "b", "en"): ("succeeded", False)}
+    before = plain(stored_chunks, *chunks.columns)
+    merge(spark.createDataFrame(crawls[1] + crawls[2], PAGES), 1)
+    assert plain(bucketed.read_chunks(spark, root, chunks.schema), *chunks.columns) == before and bucketed.read_revisions(spark, root).count() == revisions.count()
+
+
+def test_stream_ingest_chunks_what_it_parsed(spark, tmp_path, monkeypatch):
+    rows = [(1, "a & b\n<c> &amp; d", "en", "s"), (2, "same", "fr", "s"), (3, "same", "fr", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    root = str(tmp_path / "store")
+    monkeypatch.setattr(streams, "scratch", lambda _: root)
+    got = {(r.provision_id, str(r.effective_from), r.content_hash, r.language) for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(f"select provision_id, effective_from, content_hash, language from ({SQL['stream_ingest']})").fetchall()
+    assert got == {(i, str(day), h, lang) for i, day, h, lang in want}
+    chunks = spark.read.parquet(f"{root}/chunks").filter("act_id = 'act-1'").collect()
+    assert "Act, 2024 > Section 1 (1. Document)\na & b\n<c> &amp; d" in {r.content for r in chunks}
+
+
 def test_plan_shapes(spark):
     read = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
     q = read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))

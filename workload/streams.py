@@ -1,11 +1,13 @@
 """Streaming jobs run to the end of the tables, each written to a folder and read back."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from provenant.operators import bucketed
+from provenant.plans.ingest import begin_corpus, ingest_batch
+from provenant.plans.session import stored
 from provenant.streaming import flags, ingest, metrics
 from workload.base import query, scratch
-from workload.corpus import _EMPTY, FETCHES, fetches
+from workload.corpus import FETCHES, fetches
 from workload.logs import METRIC_SQL, event_log, rounded
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,21 +60,27 @@ def stream_flags(t):
 
 @query(f"with {FETCHES} select doc_id as provision_id, lang as language, h as content_hash, cast(day as date) as effective_from, cast(until as date) as effective_to from changed")
 def stream_ingest(t):
-    """Four crawls of all documents arrive one after the other, the last with the first's pages again; the stream is
-    stopped and started anew half way. The stored revisions equal those of one batch merge."""
-    root, schema = scratch(t.spark), T.StructType.fromDDL(_EMPTY)
-    bucketed.begin_revisions(t.spark, root, schema)
+    """Four crawls of all documents arrive one after the other, each document as the page of an act of one section, the last with the first's
+    pages again; the stream is stopped and started anew half way. Each micro-batch is parsed, placed, merged and chunked into the stored corpus.
+    The stored revisions equal those of one batch merge."""
+    root, stamp = scratch(t.spark), F.lit("2024-01-01").cast("timestamp")
+    begin_corpus(t.spark, root)
+    named = lambda c: F.concat(F.lit("act-"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    acts = stored(t.documents.select(named("doc_id").alias("slug"), F.lit("Act").alias("full_name_en"), F.lit(2024).alias("act_year")).distinct())
 
     def merge(batch, batch_id):
-        incoming = batch.select(F.col("page_id").cast("long").alias("provision_id"), "language", F.col("html").alias("text"), F.col("url").alias("source_url"), "fetched_at")
-        bucketed.merge_revisions(batch.sparkSession, root, incoming, batch_id, schema)
+        ingest_batch(batch, acts, root, batch_id, stamp, stamp)
 
-    rows = fetches(t).select(F.col("provision_id").cast("string").alias("page_id"), F.col("source_url").alias("slug"), "language", F.col("source_url").alias("url"),
-                             F.col("text").alias("html"), "fetched_at", F.lit(False).alias("not_modified"))
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit('<div class="section"><div class="sec_head">1. Document</div><div class="sec_content">'), escaped, F.lit("</div></div>"))
+    rows = fetches(t).select(F.col("provision_id").cast("string").alias("page_id"), named("provision_id").alias("slug"), "language", F.col("source_url").alias("url"),
+                             html.alias("html"), "fetched_at", F.lit(False).alias("not_modified"))
     days = [F.to_date("fetched_at") == F.lit(f"2024-01-0{d}").cast("date") for d in (1, 2, 3, 4)]
     for crawl in (days[0], days[1], days[2], days[3] | days[0]):
         rows.filter(crawl).write.mode("append").parquet(f"{root}/pages")
         if crawl is not days[0]:
             pages = ingest.page_stream(t.spark, f"{root}/pages")
             ingest.stream_ingest(pages, merge, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return bucketed.read_revisions(t.spark, root, schema).select("provision_id", "language", "content_hash", "effective_from", "effective_to")
+    names = bucketed.read_provisions(t.spark, root).select(F.col("id").alias("provision_id"), "act_id")
+    return bucketed.read_revisions(t.spark, root).join(names, "provision_id").select(
+        F.nullif(F.substring("act_id", 5, 64), F.lit("")).cast("long").alias("provision_id"), "language", "content_hash", "effective_from", "effective_to")
