@@ -7,14 +7,18 @@ collected, so a walk takes the logarithm of the depth in rounds.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from provenant.functions.regex import let
 from provenant.plans.session import stored
 
 READABLE_KINDS = ["section", "subsection", "clause"]
 #: Parts that the roots of one tree are dealt to, at most.
 DEALS = 4096
+#: Trees of at most so many nodes and levels below their roots are nested as one value each.
+WHOLE_NODES, WHOLE_LEVELS = 256, 16
 _NAMED_KINDS = ["part", "chapter", "section"]
 
 
@@ -121,16 +125,27 @@ def _level(depth: int, below: Column | None, fields: Sequence[str]) -> Column:
     return F.transform(F.array(both), lambda s: F.transform(s["here"], lambda x: node(x, s["under"])))[0]
 
 
-def nest(nodes: DataFrame, tree: str = "act_id",
-         fields: Sequence[str] = ("id", "kind", "number", "title", "sort_path")) -> DataFrame:
-    """One row per root with its descendants nested as arrays, ordered by sort_path.
+def _levels(held: Column) -> Column:
+    """The levels below the roots of a tree that is held as one array of (sort_path, id, _up, _all)."""
+    of = lambda rows: F.transform(rows, lambda x: x["id"])
+    begin = F.struct(of(F.filter(held, lambda x: x["_up"].isNull())).alias("ids"), F.lit(0).alias("depth"))
 
-    Each node gets its place within its level of the root's tree, and the place and number of its children in the
-    level below, where siblings stand together; the levels of a root then fold into each other by slices. The number of
-    joins does not depend on the depth, though the type of the result does. The result is one value per root
-    by definition, so it fits trees of document size; for wider ones use ``descend``.
-    """
-    columns = list(dict.fromkeys([tree, "id", "sort_path", *fields]))
+    def step(state: Column, _: Column) -> Column:
+        return let(of(F.filter(held, lambda x: F.coalesce(F.array_contains(state["ids"], x["_up"]), F.lit(False)))), lambda found: F.struct(
+            found.alias("ids"), (state["depth"] + (F.size(found) > 0).cast("int")).alias("depth")))
+    return F.aggregate(held, begin, step, lambda state: state["depth"])
+
+
+def _held_below(parent: Column, depth: int, deepest: int, fields: Sequence[str]) -> Column:
+    """The children of a node with all below them, from the array that holds its tree in order."""
+    if depth > deepest:
+        return F.array()
+    return F.transform(F.filter("_held", lambda x: x["_up"] == parent), lambda x: F.struct(
+        *[x["_all"][f].alias(f) for f in fields], _held_below(x["id"], depth + 1, deepest, fields).alias("children")))
+
+
+def _in_levels(nodes: DataFrame, tree: str, columns: Sequence[str]) -> DataFrame:
+    """A row per root: its nodes by level, each with its stretch of the level below, for trees of any width, depth and repetition."""
     # A path of (sort_path, id) pairs: nodes of one level in its order keep siblings together.
     own = F.array(F.struct("sort_path", "id"))
     keyed = nodes.select(tree, "id", F.col("parent_id").alias("_up"), "sort_path")
@@ -150,15 +165,54 @@ def nest(nodes: DataFrame, tree: str = "act_id",
     before = Window.partitionBy(tree, "_deal", "_root", "depth").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int"))
     node = F.struct("depth", "_at", "_first", "_n", F.struct(*columns).alias("_all"))
-    roots = stored(numbered.groupBy(tree, "_deal", "_root").agg(F.array_sort(F.collect_list(node)).alias("_nodes")))
-    deepest = roots.agg(F.max(F.element_at("_nodes", -1)["depth"])).first()[0] or 0
+    return stored(numbered.groupBy(tree, "_deal", "_root").agg(F.array_sort(F.collect_list(node)).alias("_nodes")))
+
+
+def nest(nodes: DataFrame, tree: str = "act_id",
+         fields: Sequence[str] = ("id", "kind", "number", "title", "sort_path")) -> DataFrame:
+    """One row per root with its descendants nested as arrays, ordered by sort_path.
+
+    A small tree is collected once and nested as one value: its nodes are shuffled by their tree and nowhere else. In a large one, or
+    one in which an id repeats, each node gets its place within its level of the root's tree, and the place and number of its children in the
+    level below, where siblings stand together; the levels of a root then fold into each other by slices. The number of
+    joins does not depend on the depth, though the type of the result does. The result is one value per root
+    by definition, so it fits trees of document size; for wider ones use ``descend``.
+    """
+    columns = list(dict.fromkeys([tree, "id", "sort_path", *fields]))
+    # Sizes come first, so that no large tree is ever collected.
+    large = stored(nodes.groupBy(F.col(tree).alias("_tree")).agg(F.count(F.lit(1)).alias("_size")).filter(
+        F.col("_tree").isNull() | (F.col("_size") > WHOLE_NODES)).select("_tree"))
+    among = lambda how: nodes.join(large, nodes[tree].eqNullSafe(large["_tree"]), how)
+    any_large = not large.isEmpty()
+    held = F.collect_list(F.struct("sort_path", "id", F.col("parent_id").alias("_up"), F.struct(*columns).alias("_all")))
+    trees = (among("left_anti") if any_large else nodes).groupBy(F.col(tree).alias("_tree")).agg(held.alias("_held")).select(F.array_sort("_held").alias("_held"))
+    ids = F.transform("_held", lambda x: x["id"])
+    alone = F.forall(ids, lambda x: x.isNotNull()) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    trees = stored(trees.withColumn("_levels", F.when(alone, _levels(F.col("_held")))))
+    fits = F.coalesce(F.col("_levels") <= WHOLE_LEVELS, F.lit(False))
+    deepest, others = trees.agg(F.max(F.when(fits, F.col("_levels"))), F.count_if(~fits)).first()
+
+    rest = []
+    if others:
+        one = trees.filter(~fits).select(F.explode("_held").alias("_x"))
+        rest.append(one.select(*[F.col(f"_x._all.{c}").alias(c) for c in columns if c != "parent_id"], F.col("_x._up").alias("parent_id")))
+    if any_large:
+        rest.append(among("left_semi").select(*[c for c in columns if c != "parent_id"], "parent_id"))
+    roots = _in_levels(reduce(DataFrame.unionByName, rest), tree, columns) if rest else None
+    if rest:
+        deepest = max(deepest or 0, roots.agg(F.max(F.element_at("_nodes", -1)["depth"])).first()[0] or 0)
+    whole = trees.filter(fits).select("_held", F.explode(F.filter("_held", lambda x: x["_up"].isNull())).alias("_root")).select(
+        *[F.col(f"_root._all.{c}").alias(c) for c in columns if c != "parent_id"],
+        _held_below(F.col("_root.id"), 1, deepest or 0, fields).alias("children"))
+    if not rest:
+        return whole
     folded, below = roots, None
     for depth in range(deepest, 0, -1):
         folded = folded.withColumn(f"_level{depth}", _level(depth, below, fields))
         below = F.col(f"_level{depth}")
     first = F.element_at("_nodes", 1)["_all"]
-    return folded.select(*[first[c].alias(c) for c in columns if c != "parent_id"],
-                         (F.array() if below is None else below).alias("children"))
+    return whole.unionByName(folded.select(*[first[c].alias(c) for c in columns if c != "parent_id"],
+                                           (F.array() if below is None else below).alias("children")))
 
 
 def reading_order(nodes: DataFrame, kinds: Sequence[str] = READABLE_KINDS, tree: str = "act_id",

@@ -77,6 +77,37 @@ def test_nesting_shuffles_nodes_to_their_parents_and_roots_only(spark, monkeypat
     assert _exchanges(seen[-1]) == 3
 
 
+def test_small_trees_are_shuffled_by_their_tree_only(spark, monkeypatch, merged_by_sort):
+    seen, keep = [], hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda rows: (seen.append(_exchanges(rows)), keep(rows))[1])
+    rows = [(t, i, None if i == 0 else (i - 1) // 2, f"{9 - i}") for t in range(40) for i in range(7)]
+    frame = spark.createDataFrame(rows, "act_id int, id int, parent_id int, sort_path string")
+    got = {r.act_id: r for r in hierarchy.nest(frame, fields=("id",)).collect()}
+    assert len(got) == 40 and all([(c.id, [x.id for x in c.children]) for c in r.children] == [(2, [6, 5]), (1, [4, 3])] for r in got.values())
+    assert sum(seen) == 2, seen
+    seen.clear()
+    hierarchy.nest(frame.repartition("act_id"), fields=("id",)).collect()
+    assert sum(seen) == 2, seen
+
+
+def test_small_trees_nest_as_large_ones_do(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for t in range(30):
+        for i in range(rng.randrange(1, 30)):
+            up = None if i == 0 or rng.random() < .1 else f"n{rng.randrange(i)}" if rng.random() < .9 else rng.choice(["none", f"n{i}", f"n{i + 1}"])
+            rows.append((f"t{t}", f"n{i}", up, rng.choice(["1", "2", None])))
+    rows += [("deep", f"d{i}", f"d{i - 1}" if i else None, "1") for i in range(20)]
+    rows += [("t3", "n0", None, "1"), ("t4", "n1", "n0", "9"), (None, "a", None, "1"), (None, "b", "a", "1"), ("t5", None, "n0", "1"), ("t6", None, None, "1")]
+    frame = spark.createDataFrame(rows, "act_id string, id string, parent_id string, sort_path string")
+    tuples = lambda r: (r.id, [tuples(c) for c in r.children])
+    content = lambda: sorted(((str(r.act_id), str(r.id), str(r.sort_path), str(tuples(r))) for r in hierarchy.nest(frame, fields=("id",)).collect()))
+    mixed = content()
+    monkeypatch.setattr(hierarchy, "WHOLE_NODES", 12)
+    some = content()
+    monkeypatch.setattr(hierarchy, "WHOLE_NODES", 0)
+    assert mixed == some == content()
+
+
 def _merge(spark, current, rows, day):
     incoming = spark.createDataFrame([(p, l, t, "u", day, i) for i, (p, l, t) in enumerate(rows)], "provision_id string, language string, text string, source_url string, fetched_at timestamp, ordinal int")
     merged, outcomes = revisions.merge_revisions(current, incoming)

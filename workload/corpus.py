@@ -113,19 +113,19 @@ def unplaced_nodes(t):
 
 def _order_nodes(t):
     none = F.lit(None).cast("string")
-    orders = t.orders.select(F.col("o_orderkey").alias("act_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"), none.alias("parent_id"),
+    orders = t.orders.repartition("o_orderkey").select(F.col("o_orderkey").alias("act_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"), none.alias("parent_id"),
                              F.lit("chapter").alias("kind"), F.col("o_orderkey").cast("string").alias("number"), F.lit("1").alias("sort_path"))
-    # Lines and flags are told apart after one deal of the rows by order.
+    # The rows are dealt by order once; a line and its flags come from one row.
     dealt = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").repartition("l_orderkey")
-    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    below = lines.select(F.col("l_orderkey").alias("act_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("id"),
-                         F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), F.lit("section").alias("kind"),
-                         F.col("l_linenumber").cast("string").alias("number"), F.concat(F.lit("1/"), "l_linenumber").alias("sort_path"))
-    flags = dealt.distinct()
-    leaves = flags.select(F.col("l_orderkey").alias("act_id"), F.concat_ws("-", F.lit("f"), "l_orderkey", "l_linenumber", "l_returnflag").alias("id"),
-                          F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("parent_id"), F.lit("clause").alias("kind"),
-                          F.col("l_returnflag").alias("number"), F.concat(F.lit("1/"), "l_linenumber", F.lit("/"), "l_returnflag").alias("sort_path"))
-    return orders.unionByName(below).unionByName(leaves).withColumn("title", none)
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.collect_set(F.struct("l_returnflag")).alias("flags"))
+    line = F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber")
+    own = F.struct(line.alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), F.lit("section").alias("kind"),
+                   F.col("l_linenumber").cast("string").alias("number"), F.concat(F.lit("1/"), "l_linenumber").alias("sort_path"))
+    leaf = lambda x: F.struct(F.concat_ws("-", F.lit("f"), "l_orderkey", "l_linenumber", x["l_returnflag"]).alias("id"), line.alias("parent_id"),
+                              F.lit("clause").alias("kind"), x["l_returnflag"].alias("number"),
+                              F.concat(F.lit("1/"), "l_linenumber", F.lit("/"), x["l_returnflag"]).alias("sort_path"))
+    below = lines.select(F.col("l_orderkey").alias("act_id"), F.explode(F.concat(F.array(own), F.transform("flags", leaf))).alias("n")).select("act_id", "n.*")
+    return orders.unionByName(below).withColumn("title", none)
 
 
 @query("""
