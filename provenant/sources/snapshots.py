@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from provenant.functions.hashing import stable_id
 
 _KEY = r"([^/]+)/([^/]+?)\.(?:html|meta\.json)$"
-#: Tasks that list the folders of pages.
+#: Tasks that list the folders of pages and read them.
 LISTING_TASKS_PER_CORE = 4
+#: Bytes of pages that a worker holds as it reads them, about.
+READ_BYTES = 8 << 20
 PAGE_COLUMNS = ["page_id", "slug", "language", "url", "html", "fetched_at", "not_modified"]
 
 
@@ -61,18 +70,77 @@ def read_snapshot_store(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select(*PAGE_COLUMNS)
 
 
-def write_snapshot_files(pages: DataFrame, root: str) -> None:
-    """One text file per page under html/slug=/language=/, and the pages' addresses beside them as a table."""
-    texts = pages.select("slug", "language", F.coalesce("html", F.lit("")).alias("value"))
-    texts.write.partitionBy("slug", "language").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(f"{root}/html")
-    pages.select("slug", "language", "url", "fetched_at").write.parquet(f"{root}/meta")
+def _address(spark: SparkSession, root: str) -> str | None:
+    """The folder as workers can open it themselves, or nothing where only Spark knows its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    # Without a scheme a path is in Spark's default file system, which need not be the local one.
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri().toString().replace("s3a://", "s3://", 1)
+    try:
+        fs.FileSystem.from_uri(whole)
+    except (pa.ArrowException, NotImplementedError, OSError):
+        return None
+    return whole
+
+
+def _folder(top: str, slug: str | None, language: str | None) -> str:
+    parts = [f"{name}={'__HIVE_DEFAULT_PARTITION__' if value is None else quote(value, safe='')}" for name, value in (("slug", slug), ("language", language))]
+    return "/".join([top.rstrip("/"), *parts])
+
+
+def _written(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Write the pages and pass on their addresses. A file is named by its task and its place among those of its folder there, so a retry replaces it."""
+    (files, top), task, seen = fs.FileSystem.from_uri(root), TaskContext.get().partitionId(), Counter()
+    for batch in batches:
+        for slug, language, html in zip(*(batch.column(c) for c in ("slug", "language", "html"))):
+            folder = _folder(top, slug.as_py(), language.as_py())
+            name = f"part-{task:05}-{seen[folder]}.txt"
+            seen[folder] += 1
+            files.create_dir(folder)
+            with files.open_output_stream(f"{folder}/.{name}") as out:
+                out.write(html.as_buffer())
+            files.move(f"{folder}/.{name}", f"{folder}/{name}")
+        yield batch.select([c for c in batch.schema.names if c != "html"])
+
+
+def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """The rows of folders, once for each file of theirs."""
+    files, top = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        places, texts, size = [], [], 0
+
+        def taken():
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(places, pa.int32())).columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "html"])
+        for place, (slug, language) in enumerate(zip(batch.column("slug").to_pylist(), batch.column("language").to_pylist())):
+            for file in files.get_file_info(fs.FileSelector(_folder(top, slug, language), allow_not_found=True)):
+                if file.base_name.startswith("part-"):
+                    with files.open_input_stream(file.path) as page:
+                        texts.append(page.read())
+                    places.append(place)
+                    size += len(texts[-1])
+            if size > READ_BYTES:
+                yield taken()
+                places, texts, size = [], [], 0
+        if places:
+            yield taken()
 
 
-def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
-    """Pages as written by ``write_snapshot_files``, each file whole.
+def write_snapshot_files(pages: DataFrame, root: str) -> None:
+    """One text file per page under html/slug=/language=/, and the pages' addresses beside them as a table.
 
-    Spark lists folders in a job of one task per folder, up to 10 000 of them. Here a folder is a page, so a few tasks per core list them.
+    Workers write the files themselves: Spark's own writer takes some 30 ms a file on a local disk, for two folders, checksums and modes.
     """
+    html = F.coalesce("html", F.lit(""))
+    about, address = pages.select("slug", "language", "url", "fetched_at"), _address(pages.sparkSession, root)
+    if address is None:
+        texts = pages.select("slug", "language", html.alias("value"))
+        texts.write.partitionBy("slug", "language").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(f"{root}/html")
+    else:
+        about = pages.select(*about.columns, html.cast("binary").alias("html")).mapInArrow(lambda batches: _written(batches, f"{address}/html"), about.schema)
+    about.write.parquet(f"{root}/meta")
+
+
+def _listed_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """Spark lists folders in a job of one task per folder, up to 10 000 of them. Here a folder is a page, so a few tasks per core list them."""
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(name, None)
     spark.conf.set(name, LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
@@ -84,5 +152,24 @@ def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
         else:
             spark.conf.set(name, before)
     html = texts.select("slug", "language", F.rtrim(F.col("value"), F.lit("\x00")).alias("html"))
-    return html.join(spark.read.parquet(f"{root}/meta"), ["slug", "language"]).select(
+    return html.join(spark.read.parquet(f"{root}/meta"), ["slug", "language"])
+
+
+def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
+    """Pages as written by ``write_snapshot_files``, each file whole.
+
+    The table of addresses names the folders, and each task lists and reads those of its rows: the driver holds no list of files,
+    and pages are not shuffled to meet their addresses.
+    """
+    address = _address(spark, root)
+    if address is None:
+        rows = _listed_by_spark(spark, root)
+    else:
+        tasks = LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        meta = spark.read.parquet(f"{root}/meta").filter("slug is not null and language is not null")
+        folders = meta.repartition(tasks, "slug", "language").groupBy("slug", "language").agg(F.collect_list(F.struct("url", "fetched_at")).alias("about"))
+        schema = T.StructType([*folders.schema.fields, T.StructField("html", T.BinaryType())])
+        files = folders.mapInArrow(lambda batches: _read(batches, f"{address}/html"), schema)
+        rows = files.select("slug", "language", F.col("html").cast("string").alias("html"), F.inline("about"))
+    return rows.select(
         stable_id(F.col("slug"), F.col("language")).alias("page_id"), "slug", "language", "url", "html", "fetched_at", F.lit(False).alias("not_modified"))

@@ -45,6 +45,35 @@ def test_written_files_are_listed_by_few_tasks(spark, tmp_path):
     assert {r.slug: r.html for r in rows.collect()} == {f"p{i}": f"<p>\n{i}</p>" for i in range(n)}
 
 
+ADDRESSED = "slug string, language string, url string, html string, fetched_at timestamp"
+
+
+@pytest.mark.parametrize("workers", [True, False])
+def test_snapshot_files_keep_any_page(spark, tmp_path, monkeypatch, workers):
+    if not workers:
+        monkeypatch.setattr(snapshots, "_address", lambda *_: None)
+    root, day = str(tmp_path / "a b"), datetime(2024, 1, 1)
+    rows = [("a/b c", "bn", "u", "ছুটি\r\n\n<p>", day), ("..", "en", None, "", day), ("x", "en", "u", None, day), (None, "en", "u", "lost", day), ("%41=é", "b:n", "u", "y", day),
+            ("twice", "en", "u", "one", day), ("twice", "en", "v", "two", None), ("a", "en", "u", "a" * 100_000, day)]
+    snapshots.write_snapshot_files(spark.createDataFrame(rows, ADDRESSED).repartition(3), root)
+    got = snapshots.read_snapshot_files(spark, root).collect()
+    files = {(slug, language): [x[3] or "" for x in rows if x[:2] == (slug, language)] for slug, language, *_ in rows}
+    want = [(*x[:3], html, x[4]) for x in rows if x[0] for html in files[x[:2]]]
+    assert sorted(map(str, [(r.slug, r.language, r.url, r.html, r.fetched_at) for r in got])) == sorted(map(str, want))
+    assert len([p for p in (tmp_path / "a b" / "html").rglob("part-*.txt")]) == len(rows)
+
+
+def test_snapshot_files_are_not_indexed_by_the_driver(spark, tmp_path):
+    """Tasks list and read the pages, whose texts are not shuffled to their addresses."""
+    root = str(tmp_path)
+    pages = spark.createDataFrame([(f"p{i}", "en", "u", f"{i}", datetime(2024, 1, 1)) for i in range(200)], ADDRESSED)
+    snapshots.write_snapshot_files(pages, f"{root}/files")
+    rows = snapshots.read_snapshot_files(spark, f"{root}/files")
+    assert not any("/html/" in name for name in rows.inputFiles())
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.slug: r.html for r in rows.collect()} == {f"p{i}": f"{i}" for i in range(200)}
+
+
 def _page(slug, html):
     return (slug + "-bn", slug, "bn", "u", html, datetime(2024, 1, 1), False)
 
