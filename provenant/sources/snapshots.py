@@ -82,19 +82,20 @@ def _address(spark: SparkSession, root: str) -> str | None:
     return whole
 
 
-def _folder(top: str, slug: str | None, language: str | None) -> str:
-    parts = [f"{name}={'__HIVE_DEFAULT_PARTITION__' if value is None else quote(value, safe='')}" for name, value in (("slug", slug), ("language", language))]
-    return "/".join([top.rstrip("/"), *parts])
+def _place(top: str, slug: str | None, language: str | None) -> tuple[str, str]:
+    """The folder of a page's act and how the names of the page's files begin."""
+    slug, language = ("__HIVE_DEFAULT_PARTITION__" if x is None else quote(x, safe="") for x in (slug, language))
+    return f"{top}/slug={slug}", f"language={language}="
 
 
 def _written(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
-    """Write the pages and pass on their addresses. A file is named by its task and its place among those of its folder there, so a retry replaces it."""
+    """Write the pages and pass on their addresses. A file is named by its task and its place among those of its page there, so a retry replaces it."""
     (files, top), task, seen = fs.FileSystem.from_uri(root), TaskContext.get().partitionId(), Counter()
     for batch in batches:
         for slug, language, html in zip(*(batch.column(c) for c in ("slug", "language", "html"))):
-            folder = _folder(top, slug.as_py(), language.as_py())
-            name = f"part-{task:05}-{seen[folder]}.txt"
-            seen[folder] += 1
+            folder, page = _place(top, slug.as_py(), language.as_py())
+            name = f"{page}{task:05}-{seen[folder, page]}.txt"
+            seen[folder, page] += 1
             files.create_dir(folder)
             with files.open_output_stream(f"{folder}/.{name}") as out:
                 out.write(html.as_buffer())
@@ -103,7 +104,7 @@ def _written(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Record
 
 
 def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
-    """The rows of folders, once for each file of theirs."""
+    """The rows of pages, once for each file of theirs."""
     files, top = fs.FileSystem.from_uri(root)
     for batch in batches:
         places, texts, size = [], [], 0
@@ -111,10 +112,11 @@ def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBat
         def taken():
             return pa.RecordBatch.from_arrays([*batch.take(pa.array(places, pa.int32())).columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "html"])
         for place, (slug, language) in enumerate(zip(batch.column("slug").to_pylist(), batch.column("language").to_pylist())):
-            for file in files.get_file_info(fs.FileSelector(_folder(top, slug, language), allow_not_found=True)):
-                if file.base_name.startswith("part-"):
-                    with files.open_input_stream(file.path) as page:
-                        texts.append(page.read())
+            folder, page = _place(top, slug, language)
+            for file in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if file.base_name.startswith(page):
+                    with files.open_input_stream(file.path) as text:
+                        texts.append(text.read())
                     places.append(place)
                     size += len(texts[-1])
             if size > READ_BYTES:
@@ -125,9 +127,10 @@ def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBat
 
 
 def write_snapshot_files(pages: DataFrame, root: str) -> None:
-    """One text file per page under html/slug=/language=/, and the pages' addresses beside them as a table.
+    """One text file per page in the folder of its act, html/slug=/, and the pages' addresses beside them as a table.
 
     Workers write the files themselves: Spark's own writer takes some 30 ms a file on a local disk, for two folders, checksums and modes.
+    It serves where only Spark knows the scheme of ``root``, with a folder per page.
     """
     html = F.coalesce("html", F.lit(""))
     about, address = pages.select("slug", "language", "url", "fetched_at"), _address(pages.sparkSession, root)
@@ -158,7 +161,7 @@ def _listed_by_spark(spark: SparkSession, root: str) -> DataFrame:
 def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
     """Pages as written by ``write_snapshot_files``, each file whole.
 
-    The table of addresses names the folders, and each task lists and reads those of its rows: the driver holds no list of files,
+    The table of addresses names the pages, and each task lists and reads those of its rows: the driver holds no list of files,
     and pages are not shuffled to meet their addresses.
     """
     address = _address(spark, root)
@@ -167,9 +170,9 @@ def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
     else:
         tasks = LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
         meta = spark.read.parquet(f"{root}/meta").filter("slug is not null and language is not null")
-        folders = meta.repartition(tasks, "slug", "language").groupBy("slug", "language").agg(F.collect_list(F.struct("url", "fetched_at")).alias("about"))
-        schema = T.StructType([*folders.schema.fields, T.StructField("html", T.BinaryType())])
-        files = folders.mapInArrow(lambda batches: _read(batches, f"{address}/html"), schema)
+        named = meta.repartition(tasks, "slug", "language").groupBy("slug", "language").agg(F.collect_list(F.struct("url", "fetched_at")).alias("about"))
+        schema = T.StructType([*named.schema.fields, T.StructField("html", T.BinaryType())])
+        files = named.mapInArrow(lambda batches: _read(batches, f"{address}/html"), schema)
         rows = files.select("slug", "language", F.col("html").cast("string").alias("html"), F.inline("about"))
     return rows.select(
         stable_id(F.col("slug"), F.col("language")).alias("page_id"), "slug", "language", "url", "html", "fetched_at", F.lit(False).alias("not_modified"))
